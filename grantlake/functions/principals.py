@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from . import rules
 
-NO_NAMES = F.array().cast("array<string>")
 PRINCIPAL = "struct<type:string,name:string>"
 
 
+def no_names() -> Column:
+    return F.array().cast("array<string>")
+
+
 def lookup(mapping: dict[str, str]) -> Column:
     """A literal map column for a fixed table."""
     return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
@@ -21,7 +24,7 @@ def is_blank(name: Column) -> Column:
 
 
 def or_empty(names: Column) -> Column:
-    return F.coalesce(names, NO_NAMES)
+    return F.coalesce(names, no_names())
 
 
 def principal_list(groups: Column, users: Column, roles: Column) -> Column:
@@ -61,7 +64,7 @@ def access_list(accesses: Column, mapping: dict[str, str], unknown: str | None =
         other = F.upper(a["type"]) if unknown is None else F.lit(unknown)
         return F.coalesce(table[a["type"]], other)
 
-    return F.coalesce(F.transform(kept, privilege), NO_NAMES)
+    return F.coalesce(F.transform(kept, privilege), no_names())
 
 
 def resolved_name(kind: Column, mapped: Column) -> Column:

@@ -233,12 +233,11 @@ def _inner() -> Column:
     )
 
 
-ALL_GROUP = F.struct(F.lit("group").alias("type"), F.lit("ALL").alias("name"))
 LEAF = f"struct<leaf_no:bigint,principal:{PRINCIPAL},leaf_column:string,is_blank:boolean>"
 
 
 def first_principal() -> Column:
-    return F.coalesce(F.get("principals", F.lit(0)), ALL_GROUP)
+    return F.coalesce(F.get("principals", F.lit(0)), F.named_struct(F.lit("type"), F.lit("group"), F.lit("name"), F.lit("ALL")))
 
 
 def _leaves() -> Column:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.principals import PRINCIPAL
 from .items import (
-    ALL_GROUP,
     as_items,
     first_principal,
     policy_units,
