@@ -37,6 +37,12 @@ def principal_list(groups: Column, users: Column, roles: Column) -> Column:
     return F.concat(named("group", groups), named("user", users), named("role", roles))
 
 
+def principal_count(groups: Column, users: Column, roles: Column) -> Column:
+    """Length of ``principal_list`` without building it."""
+    names = F.concat(or_empty(groups), or_empty(users), or_empty(roles))
+    return F.size(F.filter(names, lambda n: ~is_blank(n)))
+
+
 def blank_entries(groups: Column, users: Column, roles: Column) -> Column:
     """Labels of blank names: users first, then groups, then roles."""
 
@@ -52,19 +58,17 @@ def blank_entries(groups: Column, users: Column, roles: Column) -> Column:
     return F.array_compact(every)
 
 
-def access_list(accesses: Column, mapping: dict[str, str], unknown: str | None = None) -> Column:
+def access_list(accesses: Column, table: Column, unknown: Column | None = None) -> Column:
     """Allowed accesses as privileges, in order, repeats kept.
 
-    A word outside ``mapping`` becomes ``unknown``, or its upper case when that is None.
+    ``table`` maps access words. A word it lacks becomes ``unknown``, or its own upper case where
+    that is null.
     """
     kept = F.filter(accesses, lambda a: F.coalesce(a["isAllowed"], F.lit(True)))
-    table = lookup(mapping)
-
-    def privilege(a: Column) -> Column:
-        other = F.upper(a["type"]) if unknown is None else F.lit(unknown)
-        return F.coalesce(table[a["type"]], other)
-
-    return F.coalesce(F.transform(kept, privilege), no_names())
+    other = F.lit(None).cast("string") if unknown is None else unknown
+    return F.coalesce(
+        F.transform(kept, lambda a: F.coalesce(table[a["type"]], other, F.upper(a["type"]))), no_names()
+    )
 
 
 def resolved_name(kind: Column, mapped: Column) -> Column:

@@ -15,8 +15,11 @@ from ..functions.principals import (
     PRINCIPAL,
     access_list,
     blank_entries,
+    lookup,
+    principal_count,
     principal_list,
 )
+from ..sources.exports import SUB_ITEM
 
 # Columns of the item fact, in order.
 ITEM_COLUMNS = {
@@ -53,11 +56,6 @@ ITEM_COLUMNS = {
 }
 
 NEEDS_REVIEW = ["deny", "row_filter", "column_mask", "tag_placeholder", "skipped_blank_principal"]
-UNIT = (
-    "struct<kind:string,stride:bigint,principals:array<" + PRINCIPAL + ">,blanks:array<string>,"
-    "privileges:array<string>,conditions:array<struct<type:string,values:array<string>>>,"
-    "filter_expr:string,mask_type:string,mask_expr:string,delegate_admin:boolean>"
-)
 # Running numbers of one policy stay below this, so (policy position, number) packs into a long.
 PER_POLICY = 1 << 32
 
@@ -111,93 +109,43 @@ def route() -> Column:
     )
 
 
-def _unit(item: Column, kind: Column | str, stride: Column, privileges: Column, principals: Column) -> Column:
-    return F.struct(
-        (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
-        stride.cast("bigint").alias("stride"),
-        principals.alias("principals"),
-        blank_entries(item["groups"], item["users"], item["roles"]).alias("blanks"),
-        privileges.alias("privileges"),
-        item["conditions"].alias("conditions"),
-        F.coalesce(item["rowFilterInfo"]["filterExpr"], F.lit("")).alias("filter_expr"),
-        F.coalesce(item["dataMaskInfo"]["dataMaskType"], F.lit("MASK")).alias("mask_type"),
-        F.coalesce(item["dataMaskInfo"]["valueExpr"], F.lit("")).alias("mask_expr"),
-        F.coalesce(item["delegateAdmin"], F.lit(False)).alias("delegate_admin"),
-    )
-
-
-def route_privileges(accesses: Column) -> Column:
-    """Privileges of an allow item, by the route of its policy; the functions route has none."""
+def access_table() -> Column:
+    """Access words of the policy's route; the functions route has none."""
     where = F.col("route")
-    return F.array_distinct(
-        F.when(where == "path", access_list(accesses, rules.PATH_ACCESS))
-        .when(where == "url", access_list(accesses, rules.PATH_ACCESS, rules.URL_UNKNOWN_ACCESS))
-        .when(where == "kv", access_list(accesses, rules.KV_ACCESS))
-        .when(where != "function", access_list(accesses, rules.TABLE_ACCESS))
+    return (
+        F.when(where.isin("path", "url"), lookup(rules.PATH_ACCESS))
+        .when(where == "kv", lookup(rules.KV_ACCESS))
+        .when(where != "function", lookup(rules.TABLE_ACCESS))
     )
 
 
-def policy_units(policies: DataFrame) -> DataFrame:
-    """One row per sub-item, with its kind, principals, privileges and number offset.
+def sub_items(policies: DataFrame) -> DataFrame:
+    """One row per sub-item (``kind``, ``item``) with its ``stride`` and ``offset``.
 
-    ``stride`` is how many numbers the sub-item takes per resource, ``offset`` the sum of the
-    strides before it.
+    ``stride`` is how many running numbers the sub-item takes per resource, ``offset`` the sum of
+    the strides before it. Only sub-items that the route of the policy reads are kept, and the
+    policy itself is left behind, so a long policy is not copied along with each of its sub-items.
     """
     where = F.col("route")
-    with_route = resource_defaults(policies).withColumn("route", route())
-
-    def principals(item: Column) -> Column:
-        return principal_list(item["groups"], item["users"], item["roles"])
-
-    def allow(item: Column) -> Column:
-        people = principals(item)
-        advisory_slot = F.when(where == "table", 1).otherwise(0)
-        return _unit(item, "allow", F.size(people) + advisory_slot, route_privileges(item["accesses"]), people)
-
-    def deny(item: Column) -> Column:
-        people = principals(item)
-        return _unit(item, "deny", F.size(people), access_list(item["accesses"], rules.TABLE_ACCESS), people)
-
-    def row_filter(item: Column) -> Column:
-        return _unit(item, "filter", F.lit(1), F.array().cast("array<string>"), principals(item))
+    none = F.array().cast(f"array<struct<kind:string,item:{SUB_ITEM}>>")
 
-    def mask(item: Column) -> Column:
-        stride = F.when(where == "table", F.size("columns")).otherwise(1)
-        return _unit(item, "mask", stride, F.array().cast("array<string>"), principals(item))
-
-    def units(field: str, build, on) -> Column:
-        built = F.transform(F.col(f"policy.{field}"), build).cast(f"array<{UNIT}>")
-        return F.when(on & built.isNotNull(), built).otherwise(F.array().cast(f"array<{UNIT}>"))
+    def of(field: str, kind: str, on: Column) -> Column:
+        tagged = F.transform(
+            F.col(f"policy.{field}"), lambda i: F.named_struct(F.lit("kind"), F.lit(kind), F.lit("item"), i)
+        )
+        return F.when(on & tagged.isNotNull(), tagged).otherwise(none)
 
     tag_or_table = where.isin("tag", "table")
-    listed = with_route.withColumn(
-        "units",
-        F.concat(
-            units("policyItems", allow, F.lit(True)),
-            units("denyPolicyItems", deny, where == "table"),
-            units("rowFilterPolicyItems", row_filter, tag_or_table),
-            units("dataMaskPolicyItems", mask, tag_or_table),
-        ),
-    )
-    exceptions = F.flatten(F.transform(F.col("policy.denyExceptions"), principals))
-    offsets = F.aggregate(
-        F.col("units"),
-        F.named_struct(
-            F.lit("out"), F.array().cast("array<bigint>"), F.lit("sum"), F.lit(0).cast("bigint")
-        ),
-        lambda acc, u: F.named_struct(
-            F.lit("out"), F.array_append(acc["out"], acc["sum"]), F.lit("sum"), acc["sum"] + u["stride"]
-        ),
-        lambda acc: acc["out"],
+    exceptions = F.flatten(
+        F.transform(F.col("policy.denyExceptions"), lambda i: principal_list(i["groups"], i["users"], i["roles"]))
     )
-    numbered = listed.withColumn("numbered", F.arrays_zip("units", offsets.alias("offset")))
     recursive = F.coalesce(
         F.when(where == "path", F.col("policy.resources")["path"]["isRecursive"]).when(
             where == "url", F.col("policy.resources")["url"]["isRecursive"]
         ),
         F.lit(False),
     )
-    return numbered.select(
+    listed = resource_defaults(policies.withColumn("route", route())).select(
         "export_id",
         "policy_pos",
         "route",
@@ -211,9 +159,65 @@ def policy_units(policies: DataFrame) -> DataFrame:
         F.when(where == "kv", F.col("families")).alias("families"),
         F.when(where == "tag", resource_values("tag")).alias("tag_names"),
         recursive.alias("is_recursive"),
-        exceptions.alias("deny_exceptions"),
-        F.explode("numbered").alias("n"),
-    ).select("*", "n.units.*", F.col("n.offset").alias("offset")).drop("n")
+        F.when(where == "table", exceptions).alias("deny_exceptions"),
+        F.concat(
+            of("policyItems", "allow", F.lit(True)),
+            of("denyPolicyItems", "deny", where == "table"),
+            of("rowFilterPolicyItems", "filter", tag_or_table),
+            of("dataMaskPolicyItems", "mask", tag_or_table),
+        ).alias("listed"),
+    )
+    advisory_slot = F.when(where == "table", 1).otherwise(0)
+    masked = F.when(where == "table", F.size("all_columns")).otherwise(1)
+
+    def stride(u: Column) -> Column:
+        people = principal_count(u["item"]["groups"], u["item"]["users"], u["item"]["roles"])
+        return (
+            F.when(u["kind"] == "filter", 1)
+            .when(u["kind"] == "mask", masked)
+            .when(u["kind"] == "allow", people + advisory_slot)
+            .otherwise(people)
+            .cast("bigint")
+        )
+
+    strided = listed.withColumn("stride", F.transform("listed", stride))
+    offsets = F.aggregate(
+        F.col("stride"),
+        F.named_struct(F.lit("out"), F.array().cast("array<bigint>"), F.lit("sum"), F.lit(0).cast("bigint")),
+        lambda acc, n: F.named_struct(
+            F.lit("out"), F.array_append(acc["out"], acc["sum"]), F.lit("sum"), acc["sum"] + n
+        ),
+        lambda acc: acc["out"],
+    )
+    kept = [c for c in listed.columns if c != "listed"]
+    zipped = strided.select(*kept, F.arrays_zip("listed", "stride", offsets.alias("offset")).alias("zipped"))
+    return zipped.select(*kept, F.explode("zipped").alias("n")).select(
+        *kept, "n.listed.kind", "n.listed.item", "n.stride", "n.offset"
+    )
+
+
+def policy_units(policies: DataFrame) -> DataFrame:
+    """Sub-items with everything an item needs: principals, privileges, rule texts, resources."""
+    where, item, kind = F.col("route"), F.col("item"), F.col("kind")
+    unknown = F.when(where == "url", F.lit(rules.URL_UNKNOWN_ACCESS))
+    rows = sub_items(policies).withColumn("granted", access_list(item["accesses"], access_table(), unknown))
+    privileges = (
+        F.when(kind == "deny", F.col("granted"))
+        .when(kind == "allow", F.when(where != "function", F.array_distinct("granted")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return rows.select(
+        *[c for c in rows.columns if c not in ("item", "granted", "deny_exceptions")],
+        F.when(kind == "deny", F.col("deny_exceptions")).alias("deny_exceptions"),
+        principal_list(item["groups"], item["users"], item["roles"]).alias("principals"),
+        blank_entries(item["groups"], item["users"], item["roles"]).alias("blanks"),
+        privileges.alias("privileges"),
+        item["conditions"].alias("conditions"),
+        F.coalesce(item["rowFilterInfo"]["filterExpr"], F.lit("")).alias("filter_expr"),
+        F.coalesce(item["dataMaskInfo"]["dataMaskType"], F.lit("MASK")).alias("mask_type"),
+        F.coalesce(item["dataMaskInfo"]["valueExpr"], F.lit("")).alias("mask_expr"),
+        F.coalesce(item["delegateAdmin"], F.lit(False)).alias("delegate_admin"),
+    )
 
 
 def _outer() -> Column:
@@ -279,105 +283,148 @@ def initial_status(kind: Column, schema: Column) -> Column:
     return F.when(kind.isin(NEEDS_REVIEW) | all_spaces, "needs_review").otherwise("pending")
 
 
+CELL = "struct<schema:string,table:string,path:string,udf_name:string,id_part:string,cell_no:bigint>"
+
+
+def _cells() -> Column:
+    """Resources of a sub-item in order: every pair of the outer and inner resource lists."""
+    where, rule = F.col("route"), F.col("kind").isin("filter", "mask")
+    none = F.lit(None).cast("string")
+
+    def cell(db: Column, res: Column, number: Column) -> Column:
+        split = F.split(res, ":", 2)
+        spaced = res.contains(":")
+        namespace = (
+            F.when(spaced, F.get(split, F.lit(0)))
+            .when(res == "*", F.lit(rules.ALL_NAMESPACES))
+            .otherwise(F.lit("default"))
+        )
+        bare = F.when(spaced & (where == "kv"), F.get(split, F.lit(1))).otherwise(res)
+        tabular = where.isin("table", "kv")
+        part = F.when(where.isin("table", "function"), F.concat(F.lit("-"), db, F.lit("-"), res)).otherwise("")
+        return F.struct(
+            F.when(where == "kv", namespace).otherwise(db),
+            F.when(tabular & (rule | (bare != "*")), bare).otherwise(none),
+            F.when(where.isin("path", "url"), res).otherwise(none),
+            F.when(where == "function", res).otherwise(none),
+            part,
+            number.cast("bigint"),
+        ).cast(CELL)
+
+    width = F.size("inner")
+    return F.flatten(
+        F.transform("outer", lambda db, i: F.transform("inner", lambda res, j: cell(db, res, i * width + j)))
+    )
+
+
 def resource_items(policies: DataFrame, catalog: str = "main") -> DataFrame:
-    """Items of all policies that name resources themselves (every route but tags)."""
-    units = policy_units(policies).filter(F.col("route") != "tag")
-    cells = units.select(
-        "*", F.size("outer").alias("outer_n"), F.size("inner").alias("inner_n"),
-        F.posexplode("outer").alias("outer_no", "db"),
-    ).drop("outer")
-    cells = cells.select("*", F.posexplode("inner").alias("inner_no", "res")).drop("inner")
-    rows = cells.withColumn("leaf", F.explode(_leaves())).select("*", "leaf.*").drop("leaf")
+    """Items of all policies that name resources themselves (every route but tags).
 
+    What is the same for all items of a sub-item is worked out once per sub-item, before the
+    fan-out; per item only the number, the id and the picks of resource and principal remain.
+    """
     where, kind = F.col("route"), F.col("kind")
-    cell_no = F.col("outer_no").cast("bigint") * F.col("inner_n") + F.col("inner_no")
-    cell_count = F.col("outer_n").cast("bigint") * F.col("inner_n")
-    number = F.col("offset") * cell_count + cell_no * F.col("stride") + F.col("leaf_no")
-
+    units = policy_units(policies.filter(~F.coalesce(F.size(resource_values("tag")) > 0, F.lit(False))))
     item_type = (
-        F.when(F.col("is_blank"), "skipped_blank_principal")
-        .when(where.isin("path", "url"), "hdfs_grant")
+        F.when(where.isin("path", "url"), "hdfs_grant")
         .when(where == "kv", "hbase_grant")
         .when(where == "function", "udf_grant")
         .when(kind == "allow", "grant")
         .when(kind == "deny", "deny")
         .when(kind == "filter", "row_filter")
-        .when(kind == "mask", "column_mask")
+        .otherwise("column_mask")
     )
-    split = F.split("res", ":", 2)
-    namespace = (
-        F.when(F.col("res").contains(":"), F.get(split, F.lit(0)))
-        .when(F.col("res") == "*", rules.ALL_NAMESPACES)
-        .otherwise("default")
+    id_kind = (
+        F.when(where == "url", "url")
+        .when(where == "path", "hdfs")
+        .when(where == "kv", "hbase")
+        .when(where == "function", "udf")
+        .when(kind == "allow", "grant")
+        .when(kind == "deny", "deny")
+        .when(kind == "filter", "rowfilter")
+        .otherwise("mask")
     )
-    kv_table = F.when(F.col("res").contains(":"), F.get(split, F.lit(1))).otherwise(F.col("res"))
-    star_is_null = F.when(F.col("res") != "*", F.col("res"))
-    is_kv = where == "kv"
-    with_type = rows.withColumns(
-        {
-            "type": item_type,
-            "number": number,
-            "schema": F.when(is_kv, namespace).otherwise(F.col("db")),
-        }
+    pathlike, rule = where.isin("path", "url"), kind.isin("filter", "mask")
+    deny = kind == "deny"
+    scope = F.when(
+        (where == "table") & ~rule & (F.get("all_columns", F.lit(0)) != "*"), F.col("all_columns")
     )
-    kind = F.col("type")
-    pathlike = kind == "hdfs_grant"
-    column_scope = F.when(F.get("all_columns", F.lit(0)) != "*", F.col("all_columns"))
-    rule = kind.isin("row_filter", "column_mask")
-    with_table = with_type.withColumns(
-        {
-            "table": F.when(rule, F.col("res"))
-            .when(is_kv, F.when(kv_table != "*", kv_table))
-            .when(where == "table", star_is_null),
-            "columns": F.when(kind == "column_mask", F.array("leaf_column")).when(
-                kind.isin("grant", "deny"), column_scope
-            ),
-        }
+    families = F.when(F.col("families") != F.array(F.lit("*")), F.col("families")).otherwise(
+        F.array().cast("array<string>")
+    )
+    prepared = units.select(
+        "export_id",
+        "policy_pos",
+        "policy_id",
+        "policy_name",
+        "policy_desc",
+        "enabled",
+        "stride",
+        (F.col("offset") * F.size("outer") * F.size("inner")).alias("base"),
+        item_type.alias("unit_type"),
+        text_or_none(F.col("policy_id")).alias("id_head"),
+        id_kind.alias("id_kind"),
+        F.when(~pathlike, F.lit(catalog)).alias("catalog"),
+        scope.alias("scope_columns"),
+        F.when(pathlike, F.col("is_recursive")).alias("is_recursive"),
+        F.when(where == "kv", families).alias("col_families"),
+        "privileges",
+        F.when(rule, F.col("principals")).alias("all_principals"),
+        F.when(kind == "filter", F.col("filter_expr")).alias("filter_expr"),
+        F.when(kind == "mask", F.col("mask_type")).alias("mask_type"),
+        F.when(kind == "mask", F.col("mask_expr")).alias("mask_expr"),
+        F.when(deny, F.coalesce("conditions", F.array().cast(ITEM_COLUMNS["conditions"]))).alias("conditions"),
+        F.when(deny, F.coalesce("deny_exceptions", F.array().cast(ITEM_COLUMNS["deny_exceptions"]))).alias(
+            "deny_exceptions"
+        ),
+        "blanks",
+        F.when(~rule & ~deny, F.col("delegate_admin")).alias("delegate_admin"),
+        _cells().alias("cells"),
+        _leaves().alias("leaves"),
     )
-    who = F.col("principal.name")
-    pid = text_or_none(F.col("policy_id"))
-    num = F.col("number").cast("string")
-    key = (
-        F.when(kind == "skipped_blank_principal", F.concat_ws("-", pid, F.lit("blank"), num))
-        .when(where == "url", F.concat_ws("-", pid, F.lit("url"), who, num))
-        .when(where == "path", F.concat_ws("-", pid, F.lit("hdfs"), who, num))
-        .when(is_kv, F.concat_ws("-", pid, F.lit("hbase"), who, num))
-        .when(where == "function", F.concat_ws("-", pid, F.lit("udf"), "db", "res", who, num))
-        .when(kind == "row_filter", F.concat_ws("-", pid, F.lit("rowfilter"), "db", "res", who, num))
-        .when(kind == "column_mask", F.concat_ws("-", pid, F.lit("mask"), "db", "res", "leaf_column", who, num))
-        .otherwise(F.concat_ws("-", pid, kind, "db", "res", who, num))
+    by_cell = prepared.select(*[c for c in prepared.columns if c != "cells"], F.explode("cells").alias("cell"))
+    rows = by_cell.select(*[c for c in by_cell.columns if c != "leaves"], F.explode("leaves").alias("leaf"))
+    rows = rows.withColumn(
+        "number", F.col("base") + F.col("cell.cell_no") * F.col("stride") + F.col("leaf.leaf_no")
     )
-    blank = kind == "skipped_blank_principal"
-    return as_items(
-        with_table.withColumns(
-            {
-                "seq": sequence_number(F.col("policy_pos"), F.col("number")),
-                "id": key,
-                "catalog": F.when(~pathlike, F.lit(catalog)),
-                "path": F.when(pathlike, F.col("res")),
-                "is_recursive": F.when(pathlike, F.col("is_recursive")),
-                "col_families": F.when(
-                    is_kv, F.when(F.col("families") != F.array(F.lit("*")), F.col("families")).otherwise(
-                        F.array().cast("array<string>"))
-                ),
-                "udf_name": F.when(kind == "udf_grant", F.col("res")),
-                "privileges": F.when(~blank, F.col("privileges")),
-                "all_principals": F.when(rule, F.col("principals")),
-                "filter_expr": F.when(kind == "row_filter", F.col("filter_expr")),
-                "mask_type": F.when(kind == "column_mask", F.col("mask_type")),
-                "mask_expr": F.when(kind == "column_mask", F.col("mask_expr")),
-                "conditions": F.when(
-                    kind == "deny",
-                    F.coalesce("conditions", F.array().cast(ITEM_COLUMNS["conditions"])),
-                ),
-                "deny_exceptions": F.when(
-                    kind == "deny",
-                    F.coalesce("deny_exceptions", F.array().cast(ITEM_COLUMNS["deny_exceptions"])),
-                ),
-                "blanks": F.when(blank, F.col("blanks")),
-                "delegate_admin": F.when(~(rule | blank | (kind == "deny")), F.col("delegate_admin")),
-                "enabled": F.when(blank, F.lit(True)).otherwise(F.col("enabled")),
-                "status": initial_status(kind, F.col("schema")),
-            }
+    blank = F.col("leaf.is_blank")
+    key = F.when(blank, F.concat_ws("-", "id_head", F.lit("blank"), "number")).otherwise(
+        F.concat_ws(
+            "-", F.concat_ws("-", "id_head", F.concat("id_kind", "cell.id_part")), "leaf.leaf_column",
+            "leaf.principal.name", "number",
         )
     )
+    shaped = rows.select(
+        "export_id",
+        sequence_number(F.col("policy_pos"), F.col("number")).alias("seq"),
+        key.alias("id"),
+        "policy_id",
+        "policy_name",
+        "policy_desc",
+        F.when(blank, "skipped_blank_principal").otherwise(F.col("unit_type")).alias("type"),
+        "catalog",
+        "cell.schema",
+        "cell.table",
+        F.when(F.col("leaf.leaf_column").isNotNull(), F.array("leaf.leaf_column"))
+        .when(~blank, F.col("scope_columns"))
+        .alias("columns"),
+        "cell.path",
+        "is_recursive",
+        "col_families",
+        "cell.udf_name",
+        F.when(~blank, F.col("privileges")).alias("privileges"),
+        "leaf.principal",
+        "all_principals",
+        "filter_expr",
+        "mask_type",
+        "mask_expr",
+        "conditions",
+        "deny_exceptions",
+        F.when(blank, F.col("blanks")).alias("blanks"),
+        F.when(~blank, F.col("delegate_admin")).alias("delegate_admin"),
+        (blank | F.col("enabled")).alias("enabled"),
+        F.when(blank, "needs_review")
+        .otherwise(initial_status(F.col("unit_type"), F.col("cell.schema")))
+        .alias("status"),
+    )
+    return as_items(shaped)

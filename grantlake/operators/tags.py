@@ -115,8 +115,8 @@ def _tag_units(policies: DataFrame) -> DataFrame:
 def tag_items(policies: DataFrame, resources: DataFrame, catalog: str = "main") -> DataFrame:
     """Items of tag policies: grants, placeholders, row filters and column masks.
 
-    Sub-items meet the resolved resources by an inner join on (export, policy, run); policies
-    without any resource are found by an anti join and keep placeholder names.
+    Sub-items meet the resolved resources by a left join on (export, policy, run), so one key has
+    at most ``RUN`` resources; policies without any resource keep placeholder names.
     """
     hits = resolve_tags(policies, resources).withColumn(
         "run", F.floor((F.col("hit") - 1) / RUN).cast("bigint")
@@ -125,21 +125,22 @@ def tag_items(policies: DataFrame, resources: DataFrame, catalog: str = "main")
     units = _tag_units(policies)
     key = ["export_id", "policy_pos"]
 
-    matched = (
-        units.join(totals, key)
-        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("found") - 1) / RUN))))
-        .join(hits, [*key, "run"])
-    )
     names = F.array_join("tag_names", "_")
-    unmatched = units.join(totals, key, "left_anti").select(
-        "*",
-        F.lit(0).cast("bigint").alias("found"),
-        F.lit(1).cast("bigint").alias("hit"),
-        F.concat(F.lit("<schema_with_"), names, F.lit(">")).alias("schema"),
-        F.concat(F.lit("<table_with_"), names, F.lit(">")).alias("table"),
-        F.lit(None).cast("string").alias("column"),
-    )
-    rows = matched.drop("run").unionByName(unmatched)
+    last_run = F.greatest(F.floor((F.col("found") - 1) / RUN), F.lit(0).cast("bigint"))
+    rows = (
+        units.join(totals, key, "left")
+        .na.fill(0, ["found"])
+        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)))
+        .join(hits, [*key, "run"], "left")
+    )
+    resolved = F.col("hit").isNotNull()
+    rows = rows.withColumns(
+        {
+            "schema": F.when(resolved, F.col("schema")).otherwise(F.concat(F.lit("<schema_with_"), names, F.lit(">"))),
+            "table": F.when(resolved, F.col("table")).otherwise(F.concat(F.lit("<table_with_"), names, F.lit(">"))),
+            "hit": F.coalesce("hit", F.lit(1).cast("bigint")),
+        }
+    )
 
     who = F.transform(
         "principals", lambda p, i: F.struct(p.alias("principal"), (i + 1).cast("bigint").alias("leaf_no"))
