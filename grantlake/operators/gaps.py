@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.expressions import expression_issues, is_clean
 from ..functions.principals import lookup
+from ..functions.rows import unnest
 from .conflicts import rule_conflicts
 from .identity import service_accounts
 from .warnings import policy_warnings
@@ -102,7 +103,7 @@ def item_gaps(items: DataFrame) -> DataFrame:
             ),
         )
     )
-    return items.select("export_id", "seq", F.explode(entries).alias("e")).select(
+    return unnest(items, entries, "e", keep=["export_id", "seq"]).select(
         "export_id", "e.category", "seq", "e.resource", "e.principal", "e.detail"
     )
 

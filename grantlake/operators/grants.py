@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.naming import dotted, has_wildcard, quoted, target_privilege, volume_name
+from ..functions.rows import unnest
 from .conflicts import ITEM_KEY, duplicate_grants, wildcard_column_grants
 from .identity import map_principals
 from .review import eligible, guard_code
@@ -136,9 +137,8 @@ def effective_grants(
             "grants", _translated("TABLE", dotted(cat, F.col("match"), F.col("match_table")), table_only())
         )
     )
-    exploded = [
-        p.select("export_id", F.col("principal_name").alias("principal"), F.explode("grants").alias("g")) for p in parts
-    ]
+    named = [p.withColumn("principal", F.col("principal_name")) for p in parts]
+    exploded = [unnest(p, "grants", "g", keep=["export_id", "principal"]) for p in named]
     out = exploded[0]
     for part in exploded[1:]:
         out = out.unionByName(part)

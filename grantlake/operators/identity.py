@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import unnest
 from ..functions.principals import principal_list, resolved_name, service_account_kind
 
 
@@ -36,9 +37,9 @@ def identities(policies: DataFrame) -> DataFrame:
         .when(F.col("route") == "tag", _every_item(tag_fields))
         .otherwise(_every_item(["policyItems"]))
     )
-    named = routed.select("export_id", F.explode(used).alias("i")).select(
-        "export_id",
-        F.explode(principal_list(F.col("i.groups"), F.col("i.users"), F.col("i.roles"))).alias("p"),
+    sub_items = unnest(routed, used, "i", keep=["export_id"])
+    named = unnest(
+        sub_items, principal_list(F.col("i.groups"), F.col("i.users"), F.col("i.roles")), "p", keep=["export_id"]
     )
     return named.select("export_id", "p.type", "p.name").distinct()
 
@@ -72,13 +73,17 @@ def service_accounts(policies: DataFrame) -> DataFrame:
             ]
         )
     )
-    rows = policies.select(
+    listed = policies.select(
         "export_id",
         "policy_pos",
         F.col("policy.id").alias("policy_id"),
         F.col("policy.name").alias("policy_name"),
-        F.posexplode(users).alias("user_pos", "principal"),
-    ).withColumn("kind", service_account_kind(F.col("principal")))
+        users.alias("users"),
+    )
+    head = [c for c in listed.columns if c != "users"]
+    rows = unnest(listed, "users", "principal", "user_pos", head).withColumn(
+        "kind", service_account_kind(F.col("principal"))
+    )
     is_realm = F.col("principal").contains("@")
     return rows.filter(F.col("kind").isNotNull()).select(
         "export_id",

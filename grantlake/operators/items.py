@@ -19,6 +19,7 @@ from ..functions.principals import (
     principal_count,
     principal_list,
 )
+from ..functions.rows import unnest
 from ..sources.exports import SUB_ITEM
 
 # Columns of the item fact, in order.
@@ -191,7 +192,7 @@ def sub_items(policies: DataFrame) -> DataFrame:
     )
     kept = [c for c in listed.columns if c != "listed"]
     zipped = strided.select(*kept, F.arrays_zip("listed", "stride", offsets.alias("offset")).alias("zipped"))
-    return zipped.select(*kept, F.explode("zipped").alias("n")).select(
+    return unnest(zipped, "zipped", "n", keep=kept).select(
         *kept, "n.listed.kind", "n.listed.item", "n.stride", "n.offset"
     )
 
@@ -382,8 +383,8 @@ def resource_items(policies: DataFrame, catalog: str = "main") -> DataFrame:
         _cells().alias("cells"),
         _leaves().alias("leaves"),
     )
-    by_cell = prepared.select(*[c for c in prepared.columns if c != "cells"], F.explode("cells").alias("cell"))
-    rows = by_cell.select(*[c for c in by_cell.columns if c != "leaves"], F.explode("leaves").alias("leaf"))
+    by_cell = unnest(prepared, "cells", "cell", keep=[c for c in prepared.columns if c != "cells"])
+    rows = unnest(by_cell, "leaves", "leaf", keep=[c for c in by_cell.columns if c != "leaves"])
     rows = rows.withColumn(
         "number", F.col("base") + F.col("cell.cell_no") * F.col("stride") + F.col("leaf.leaf_no")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.naming import volume_name
 from ..functions.principals import service_account_kind
+from ..functions.rows import unnest
 from .review import not_translatable
 
 # Report name of the count of each item type and status.
@@ -160,7 +161,7 @@ def object_inventory(items: DataFrame) -> DataFrame:
             one((F.length(principal) > 0) & (F.col("principal.type") != "system"), who, principal),
         )
     )
-    return items.select("export_id", F.explode(found).alias("o")).select("export_id", "o.*").distinct()
+    return unnest(items, found, "o", keep=["export_id"]).select("export_id", "o.*").distinct()
 
 
 def referenced_columns(items: DataFrame) -> DataFrame:
@@ -170,6 +171,5 @@ def referenced_columns(items: DataFrame) -> DataFrame:
     names = F.when(F.col("type") == "column_mask", F.col("columns")).when(
         F.col("type") == "row_filter", filter_columns(F.col("filter_expr"))
     )
-    return items.filter(F.col("type").isin("row_filter", "column_mask")).select(
-        "export_id", "schema", "table", F.explode(names).alias("column")
-    ).distinct()
+    ruled = items.filter(F.col("type").isin("row_filter", "column_mask"))
+    return unnest(ruled, names, "column", keep=["export_id", "schema", "table"]).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.principals import PRINCIPAL
+from ..functions.rows import unnest
 from .items import (
     as_items,
     first_principal,
@@ -62,23 +63,15 @@ def tag_assignments(resources: DataFrame, definitions: DataFrame) -> DataFrame:
     defs = definitions.groupBy("export_id", "tag").agg(
         F.collect_list(F.struct("attr_pos", "key", "value")).alias("attrs")
     )
-    writes = resources.join(defs, ["export_id", "tag"], "left").select(
-        *at,
-        "tag_pos",
-        F.explode(
-            F.concat(
-                F.array(
-                    F.struct(
-                        F.lit(-1).cast("bigint").alias("attr_pos"),
-                        F.col("tag").alias("key"),
-                        F.lit("true").alias("value"),
-                    )
-                ),
-                F.coalesce(
-                    "attrs", F.array().cast("array<struct<attr_pos:bigint,key:string,value:string>>")
-                ),
-            )
-        ).alias("w"),
+    flag = F.struct(
+        F.lit(-1).cast("bigint").alias("attr_pos"), F.col("tag").alias("key"), F.lit("true").alias("value")
+    )
+    none = F.array().cast("array<struct<attr_pos:bigint,key:string,value:string>>")
+    writes = unnest(
+        resources.join(defs, ["export_id", "tag"], "left"),
+        F.concat(F.array(flag), F.coalesce("attrs", none)),
+        "w",
+        keep=[*at, "tag_pos"],
     )
     pos = F.struct("tag_pos", "w.attr_pos")
     return writes.groupBy(*at, F.col("w.key").alias("key")).agg(
@@ -147,9 +140,8 @@ def tag_items(policies: DataFrame, resources: DataFrame, catalog: str = "main")
     )
     one = F.array(F.struct(first_principal().alias("principal"), F.lit(1).cast("bigint").alias("leaf_no")))
     leaf = f"array<struct<principal:{PRINCIPAL},leaf_no:bigint>>"
-    exploded = rows.withColumn(
-        "leaf", F.explode(F.when(F.col("kind") == "allow", who.cast(leaf)).otherwise(one.cast(leaf)))
-    ).select("*", "leaf.*")
+    leaves = F.when(F.col("kind") == "allow", who.cast(leaf)).otherwise(one.cast(leaf))
+    exploded = unnest(rows, leaves, "leaf").select("*", "leaf.*")
 
     cells = F.greatest(F.col("found"), F.lit(1))
     number = F.col("offset") * cells + (F.col("hit") - 1) * F.col("stride") + F.col("leaf_no")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.principals import blank_entries
+from ..functions.rows import unnest
 
 WARNING = "struct<category:string,severity:string,detail:string,recommendation:string>"
 SUB_ITEM_FIELDS = ["policyItems", "denyPolicyItems", "rowFilterPolicyItems", "dataMaskPolicyItems"]
@@ -98,16 +99,15 @@ def policy_warnings(policies: DataFrame) -> DataFrame:
         ),
         _blank_warnings(),
     )
-    rows = policies.withColumn("condition_types", condition_types()).select(
+    head = ["export_id", "policy_pos", "policy_id", "policy_name"]
+    raised = policies.withColumn("condition_types", condition_types()).select(
         "export_id",
         "policy_pos",
         F.col("policy.id").alias("policy_id"),
         F.col("policy.name").alias("policy_name"),
-        F.posexplode(found).alias("warn_pos", "w"),
-    )
-    return rows.select("export_id", "policy_pos", "warn_pos", "policy_id", "policy_name", "w.*").withColumn(
-        "warn_pos", F.col("warn_pos").cast("bigint")
+        found.alias("found"),
     )
+    return unnest(raised, "found", "w", "warn_pos", head).select(*head, "warn_pos", "w.*")
 
 
 def deny_warnings(items: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import expression_issues, filter_columns, is_clean
 from ..functions.naming import dotted, filter_function, has_wildcard, mask_function, privilege_note, quoted, safe_name
 from ..functions.principals import member_test, resolved_name
+from ..functions.rows import unnest
 from ..operators import grants
 from ..operators.conflicts import (
     ITEM_KEY,
@@ -178,9 +179,9 @@ def _note(test: Column, code: Column | str, detail: Column) -> Column:
 
 
 def item_notes() -> Column:
-    """Advisory notes of one item: array of (code, detail)."""
+    """Advisory notes of one item with its ``scope``: array of (code, detail)."""
     kind = F.col("type")
-    where = grants.scope()
+    where = F.col("scope")
     nothing = F.array().cast(f"array<{NOTE}>")
     target = F.lit("target")
     on_table = where.isin("table", "table_pattern")
@@ -238,28 +239,27 @@ def item_notes() -> Column:
 
 def advisories(items: DataFrame) -> DataFrame:
     """Advisory rows of all eligible items."""
-    return eligible(items).select(
-        "export_id", "seq", "type", F.posexplode(item_notes()).alias("note_no", "n")
-    ).select("export_id", "seq", "type", F.col("note_no").cast("bigint").alias("note_no"), "n.code", "n.detail")
+    head = ["export_id", "seq", "type"]
+    scoped = eligible(items).withColumn("scope", grants.scope())
+    return unnest(scoped, item_notes(), "n", "note_no", head).select(*head, "note_no", "n.code", "n.detail")
 
 
 def item_statements(items: DataFrame, mapping: DataFrame | None = None, catalog: str = "main") -> DataFrame:
     """Executable lines of each item, whatever its status: (export_id, seq, type, line_no, line)."""
     named = map_principals(items, mapping).withColumn("scope", grants.scope())
-    return named.select(
-        "export_id", "seq", "type", F.posexplode(item_lines(F.lit(catalog))).alias("line_no", "line")
-    ).withColumn("line_no", F.col("line_no").cast("bigint"))
+    return unnest(named, item_lines(F.lit(catalog)), "line", "line_no", ["export_id", "seq", "type"])
 
 
 def _rows(df: DataFrame, part: int, block, sub, lines: Column) -> DataFrame:
     as_long = lambda c: (F.lit(c) if isinstance(c, int) else c).cast("bigint")
-    return df.select(
+    placed = df.select(
         "export_id",
         F.lit(part).alias("part"),
         as_long(block).alias("block"),
         as_long(sub).alias("sub"),
-        F.posexplode(lines).alias("line_no", "line"),
+        lines.alias("lines"),
     )
+    return unnest(placed, "lines", "line", "line_no", ["export_id", "part", "block", "sub"])
 
 
 # A block key keeps merged filters before merged masks.
