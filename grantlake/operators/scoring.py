@@ -101,14 +101,20 @@ def effort(critical: Column) -> Column:
 def score_breakdown(scores: DataFrame) -> DataFrame:
     """Rows that explain a score; factors that do not apply are left out."""
     lost = F.bround(F.col("not_translatable") / F.col("total") * 100, 0).cast("bigint")
+
+    def row(position: int, factor: str, amount: Column, impact: Column) -> Column:
+        kind = "struct<position:int,factor:string,amount:bigint,impact:bigint>"
+        return F.struct(F.lit(position), F.lit(factor), amount, impact).cast(kind)
+
+    critical, warning = F.col("critical"), F.col("warning")
     rows = F.array(
-        F.struct(F.lit(1), F.lit("translatable"), F.col("total") - F.col("not_translatable"), F.col("base")),
-        F.when(F.col("not_translatable") > 0, F.struct(F.lit(2), F.lit("not_translatable"), F.col("not_translatable"), -lost)),
-        F.when(F.col("critical") > 0, F.struct(F.lit(3), F.lit("critical_penalty"), F.col("critical"), -CRITICAL_PENALTY * F.col("critical"))),
-        F.when(F.col("warning") > 0, F.struct(F.lit(4), F.lit("warning_penalty"), F.col("warning"), -WARNING_PENALTY * F.col("warning"))),
-        F.struct(F.lit(5), F.lit("score"), F.col("total"), F.col("score")),
-    ).cast("array<struct<position:int,factor:string,amount:bigint,impact:bigint>>")
-    return scores.filter(F.col("total") > 0).select("export_id", F.explode(F.array_compact(rows)).alias("r")).select(
+        row(1, "translatable", F.col("total") - F.col("not_translatable"), F.col("base")),
+        F.when(F.col("not_translatable") > 0, row(2, "not_translatable", F.col("not_translatable"), -lost)),
+        F.when(critical > 0, row(3, "critical_penalty", critical, -CRITICAL_PENALTY * critical)),
+        F.when(warning > 0, row(4, "warning_penalty", warning, -WARNING_PENALTY * warning)),
+        row(5, "score", F.col("total"), F.col("score")),
+    )
+    return unnest(scores.filter(F.col("total") > 0), F.array_compact(rows), "r", keep=["export_id"]).select(
         "export_id", "r.*"
     )
 
@@ -121,11 +127,11 @@ def risk_summary(headers: DataFrame, scores: DataFrame) -> DataFrame:
 
 
 def type_rollup(items: DataFrame, key: str = "archive") -> DataFrame:
-    return items.groupBy(key).pivot("type", rules.ITEM_TYPES).agg(F.count("*")).na.fill(0)
+    return items.groupBy(key).pivot("type", rules.ITEM_TYPES).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def status_rollup(items: DataFrame, key: str = "archive") -> DataFrame:
-    return items.groupBy(key).pivot("status", rules.STATUSES).agg(F.count("*")).na.fill(0)
+    return items.groupBy(key).pivot("status", rules.STATUSES).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def map_rollup(mapping: DataFrame, key: str = "archive") -> DataFrame:

@@ -1 +1,587 @@
+"""Queries on names, expressions, patterns, grants and the enforcement of rules on data."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import expressions as X
+from ..functions import masks, naming
+from ..operators import enforce, grants, wildcards
+from ..operators.identity import map_principals
+from ..operators.items import as_items, resource_items
+from ..operators.stage import stage
+from . import bindings as B
+from . import statements
+from .oracle import FLEET
+from .queries_analysis import MAPPED
+from .registry import query
+
+# Names ----------------------------------------------------------------------------------------
+
+
+@query("safe_names", "C1", "SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_]', '_', 'g') AS name FROM pages")
+def safe_names(spark, sf):
+    return B.table(spark, sf, "pages").select("page_id", naming.safe_name(F.col("url")).alias("name"))
+
+
+@query("slugs", "C2", """
+SELECT page_id, substr(regexp_replace(lower(url), '[^a-z0-9_-]', '_', 'g'), 1, 40) AS short, substr(regexp_replace(lower(url), '[^a-z0-9_-]', '_', 'g'), 1, 80) AS long FROM pages""")
+def slugs(spark, sf):
+    return B.table(spark, sf, "pages").select(
+        "page_id", naming.slug(F.col("url")).alias("short"), naming.slug(F.col("url"), 80).alias("long")
+    )
+
+
+@query("quoted_names", "C3", "SELECT doc_id, '`' || source || '`' AS quoted, md5(replace(text, '''', '''''')) AS escaped_md5 FROM documents")
+def quoted_names(spark, sf):
+    return B.table(spark, sf, "documents").select(
+        "doc_id", naming.quoted(F.col("source")).alias("quoted"),
+        F.md5(naming.sql_text(F.col("text"))).alias("escaped_md5"),
+    )
+
+
+@query("like_patterns", "C4", "SELECT page_id, contains(url, '?') AS wild, translate(url, '*?', '%_') AS pattern FROM pages")
+def like_patterns(spark, sf):
+    return B.table(spark, sf, "pages").select(
+        "page_id", naming.has_wildcard(F.col("url")).alias("wild"), naming.like_pattern(F.col("url")).alias("pattern")
+    )
+
+
+VARIANTS = """
+WITH v AS (SELECT page_id, unnest([url, url || '/', url || '/*', url || '//*/', '*', '/']) AS path FROM pages)"""
+
+
+def _variants(spark, sf):
+    return B.table(spark, sf, "pages").selectExpr(
+        "page_id", "explode(array(url, concat(url, '/'), concat(url, '/*'), concat(url, '//*/'), '*', '/')) AS path"
+    )
+
+
+@query("path_keys", "C5", VARIANTS + """
+SELECT page_id, path, CASE WHEN regexp_replace(rtrim(path, '/'), '/*\\*$', '') = '' THEN '/' ELSE regexp_replace(rtrim(path, '/'), '/*\\*$', '') END AS key FROM v""")
+def path_keys(spark, sf):
+    return _variants(spark, sf).withColumn("key", naming.path_key(F.col("path")))
+
+
+@query("volume_names", "C6", VARIANTS + """
+SELECT page_id, path, 'ext_loc_' || CASE WHEN trim(path, '/') = '' THEN 'root' ELSE regexp_replace(trim(path, '/'), '[^a-zA-Z0-9_]', '_', 'g') END AS volume FROM v""")
+def volume_names(spark, sf):
+    return _variants(spark, sf).withColumn("volume", naming.volume_name(F.col("path")))
+
+
+@query("privilege_translation", "C7", """
+WITH p AS (SELECT event_id, event_id % 2 = 0 AS on_table,
+  ['SELECT', 'CREATE', 'DROP', 'ALTER', 'EXECUTE', 'PUBLISH', 'ALL PRIVILEGES', upper(event_type)][CAST(event_id % 8 AS INT) + 1] AS privilege FROM events)
+SELECT *, CASE WHEN privilege = 'CREATE' THEN CASE WHEN NOT on_table THEN 'CREATE TABLE' END WHEN privilege = 'DROP' THEN 'MANAGE'
+    WHEN privilege = 'ALTER' THEN 'ALL PRIVILEGES' WHEN privilege IN ('EXECUTE', 'PUBLISH') THEN NULL ELSE privilege END AS granted,
+  CASE WHEN privilege = 'CREATE' AND on_table THEN 'create_not_on_table' WHEN privilege = 'DROP' THEN 'drop_becomes_manage' WHEN privilege = 'ALTER' THEN 'alter_becomes_all'
+    WHEN privilege = 'EXECUTE' THEN 'execute_needs_function' WHEN privilege = 'PUBLISH' THEN 'no_equivalent' END AS note FROM p""")
+def privilege_translation(spark, sf):
+    rows = B.table(spark, sf, "events").selectExpr(
+        "event_id",
+        "event_id % 2 = 0 AS on_table",
+        "element_at(array('SELECT', 'CREATE', 'DROP', 'ALTER', 'EXECUTE', 'PUBLISH', 'ALL PRIVILEGES', upper(event_type)), "
+        "CAST(event_id % 8 AS INT) + 1) AS privilege",
+    )
+    privilege, on_table = F.col("privilege"), F.col("on_table")
+    return rows.withColumns(
+        {"granted": naming.target_privilege(privilege, on_table), "note": naming.privilege_note(privilege, on_table)}
+    )
+
+
+@query("function_names", "C8", """
+SELECT c_custkey, 'rf_' || c_mktsegment AS merged_filter, 'rf_' || c_mktsegment || '_' || regexp_replace(c_name, '[^a-zA-Z0-9_]', '_', 'g') AS lone_filter,
+  'mask_' || c_mktsegment || '_c' || c_nationkey AS merged_mask,
+  'mask_' || c_mktsegment || '_c' || c_nationkey || '_' || regexp_replace(c_name, '[^a-zA-Z0-9_]', '_', 'g') AS lone_mask FROM customer""")
+def function_names(spark, sf):
+    name, column = F.col("c_name"), F.concat(F.lit("c"), "c_nationkey")
+    table = F.col("c_mktsegment")
+    return B.table(spark, sf, "customer").select(
+        "c_custkey",
+        naming.filter_function(table).alias("merged_filter"),
+        naming.filter_function(table, name).alias("lone_filter"),
+        naming.mask_function(table, column).alias("merged_mask"),
+        naming.mask_function(table, column, name).alias("lone_mask"),
+    )
+
+
+@query("archive_titles", "C9", """
+SELECT c_custkey, 'a' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN '_2024' ELSE '' END AS title FROM customer""")
+def archive_titles(spark, sf):
+    name = F.expr(
+        "concat('a', c_custkey, CASE c_custkey % 3 WHEN 0 THEN '_2024' WHEN 1 THEN '_20240102_030405' ELSE '' END, '.json')"
+    )
+    return B.table(spark, sf, "customer").select("c_custkey", naming.archive_title(name).alias("title"))
+
+
+@query("stamped_names", "C10", """
+SELECT c_custkey, 'user_' || c_custkey || '_20240102_030405.json' AS name FROM customer""")
+def stamped_names(spark, sf):
+    from ..sources.archives import archive_name
+
+    stamp = F.date_format(F.lit("2024-01-02 03:04:05").cast("timestamp"), "yyyyMMdd_HHmmss")
+    return B.table(spark, sf, "customer").select(
+        "c_custkey", archive_name(F.concat(F.lit("User_"), "c_custkey"), stamp).alias("name")
+    )
+
+
+# Expressions ----------------------------------------------------------------------------------
+
+WORDS = ", ".join(
+    f"'{w}'" for w in (
+        "select from where and or not in like is null true false between case when then else end if exists all any some "
+        "union intersect except current_user current_date current_timestamp current_schema is_account_group_member"
+    ).split()
+)
+
+
+@query("filter_columns", "X1", f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(regexp_replace(regexp_replace(text, '''[^'']*''', ' ', 'g'), '"[^"]*"', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+') AS words FROM documents),
+k AS (SELECT doc_id, list_filter(words, lambda x: regexp_full_match(x, '[A-Za-z_][A-Za-z0-9_]*') AND lower(x) NOT IN ({WORDS})) AS names FROM w),
+u AS (SELECT doc_id, unnest(names) AS nm, generate_subscripts(names, 1) AS pos FROM k),
+f AS (SELECT doc_id, nm, min(pos) AS pos FROM u GROUP BY ALL)
+SELECT d.doc_id, count(nm) AS names, coalesce(md5(string_agg(nm, ',' ORDER BY pos)), md5('')) AS names_md5 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
+def filter_columns(spark, sf):
+    found = B.table(spark, sf, "documents").select("doc_id", X.filter_columns(F.col("text")).alias("found"))
+    return found.select(
+        "doc_id", F.size("found").cast("bigint").alias("names"), F.md5(F.array_join("found", ",")).alias("names_md5")
+    )
+
+
+@query("expression_issues", "X2", """
+WITH e AS (SELECT doc_id, text || ['', ' ${{USER.dept}} = ${{TAG.x}} or ${{USER.dept}}', ' {COL} = 1', ' mask_hash ({col}) or MASK(x)',
+  ' in (select 1)', ' = ''SELECT'''][CAST(doc_id % 6 AS INT) + 1] AS t FROM documents)
+SELECT doc_id, concat_ws(';', CASE WHEN regexp_matches(t, '\\$\\{\\{[^}]+\\}\\}') THEN 'request_context=${{USER.dept}}, ${{TAG.x}}' END,
+  CASE WHEN regexp_matches(t, '(?i)\\{col\\}') THEN 'column_mark={col}' END,
+  CASE WHEN regexp_matches(t, '(?i)\\bmask_hash\\s*\\(') THEN 'mask_builtin=mask_hash, MASK' END,
+  CASE WHEN regexp_matches(regexp_replace(t, '''[^'']*''', ' ', 'g'), '(?i)\\bselect\\b') THEN 'subquery=SELECT' END) AS issues FROM e""")
+def expression_issues(spark, sf):
+    tails = F.array(
+        F.lit(""), F.lit(" ${{USER.dept}} = ${{TAG.x}} or ${{USER.dept}}"), F.lit(" {COL} = 1"),
+        F.lit(" mask_hash ({col}) or MASK(x)"), F.lit(" in (select 1)"), F.lit(" = 'SELECT'"),
+    )
+    text = F.concat("text", F.element_at(tails, (F.col("doc_id") % 6 + 1).cast("int")))
+    issues = F.transform(X.expression_issues(F.col("t")), lambda i: F.concat(i["code"], F.lit("="), i["detail"]))
+    return B.table(spark, sf, "documents").select("doc_id", text.alias("t")).select(
+        "doc_id", F.array_join(issues, ";").alias("issues")
+    )
+
+
+CALLS = """element_at(array(concat('mask_show_last_n({col}, ', n, ', ''x'', ''y'')'), concat(' MASK_SHOW_FIRST_N( {COL} ,', n, ')'), 'mask_hash({col})',
+  concat('mask_first_n({col},', n, ')'), concat('mask_last_n({col}, ', n, ')'), 'mask({col}, ''X'')', 'upper({col})'), CAST(k % 7 AS INT) + 1)"""
+CALL_WANTED = """['CONCAT(REPEAT(''x'', GREATEST(0, LENGTH(val) - ' || n || ')), RIGHT(val, ' || n || '))',
+  'CONCAT(LEFT(val, ' || n || '), REPEAT(''x'', GREATEST(0, LENGTH(val) - ' || n || ')))', 'SHA2(val, 256)',
+  'CONCAT(REPEAT(''x'', ' || n || '), RIGHT(val, GREATEST(0, LENGTH(val) - ' || n || ')))',
+  'CONCAT(LEFT(val, GREATEST(0, LENGTH(val) - ' || n || ')), REPEAT(''x'', ' || n || '))', 'REGEXP_REPLACE(val, ''[A-Za-z0-9]'', ''x'')', NULL][CAST(k % 7 AS INT) + 1]"""
+NUMBERED = "WITH o AS (SELECT o_orderkey AS k, o_custkey % 9 AS n FROM orders)"
+
+
+def _numbered(spark, sf):
+    return B.table(spark, sf, "orders").selectExpr("o_orderkey AS k", "o_custkey % 9 AS n")
+
+
+@query("native_masks", "X3", f"{NUMBERED} SELECT k, {CALL_WANTED} AS native FROM o")
+def native_masks(spark, sf):
+    return _numbered(spark, sf).select("k", F.expr(CALLS).alias("call")).select("k", X.native_mask(F.col("call")).alias("native"))
+
+
+@query("else_branches", "X4", f"""{NUMBERED}
+SELECT k, CASE k % 4 WHEN 0 THEN 'left({{col}}, ' || n || ')' WHEN 1 THEN 'b END ELSE ' || n END AS branch,
+  CASE k % 4 WHEN 1 THEN 'b END ELSE ' || n WHEN 3 THEN 'SHA2(val, 256)' END AS fallback FROM o""")
+def else_branches(spark, sf):
+    text = F.expr(
+        "CASE k % 4 WHEN 0 THEN concat(' case WHEN a = 1 \n THEN x ELSE  left({col}, ', n, ') end ') "
+        "WHEN 1 THEN concat('CASE WHEN a THEN CASE WHEN b THEN c ELSE b END ELSE ', n, ' END') "
+        "WHEN 2 THEN 'CASE WHEN a THEN b END' ELSE 'mask_hash({col})' END"
+    )
+    return _numbered(spark, sf).withColumn("t", text).select(
+        "k", X.else_branch(F.col("t")).alias("branch"), X.mask_fallback(F.col("t")).alias("fallback")
+    )
+
+
+@query("custom_masks", "X5", f"""{NUMBERED}
+SELECT k, CASE k % 5 WHEN 0 THEN 'CASE WHEN val > ' || n || ' THEN val ELSE NULL END' WHEN 1 THEN 'CAST(''1' || n || '.5'' AS DECIMAL(5, 2))'
+    WHEN 2 THEN 'concat(other_' || n || ', val)' WHEN 3 THEN 'coalesce(NULL, ''my text'')' ELSE 'upper(val)' END AS adapted,
+  CASE k % 5 WHEN 2 THEN 'other_' || n WHEN 3 THEN 'my,text' ELSE '' END AS others FROM o""")
+def custom_masks(spark, sf):
+    text = F.expr(
+        "CASE k % 5 WHEN 0 THEN concat('CASE WHEN amt > ', n, ' THEN amt ELSE CAST(''XX'' AS INTEGER) END') "
+        "WHEN 1 THEN concat('CAST(''1', n, '.5'' AS DECIMAL(5, 2))') WHEN 2 THEN concat('concat(other_', n, ', amt)') "
+        "WHEN 3 THEN 'coalesce(cast( ''n/a'' as double ), ''my text'')' ELSE 'upper(amt)' END"
+    )
+    adapted = _numbered(spark, sf).select("k", X.adapted_mask(text, F.lit("amt")).alias("adapted"))
+    return adapted.withColumn("others", F.array_join(X.other_columns(F.col("adapted")), ","))
+
+
+# Patterns -------------------------------------------------------------------------------------
+
+TABLES = """,
+tables AS (SELECT DISTINCT s AS "schema", 't' || p_size || CASE WHEN p_partkey % 7 = 0 THEN 'x' ELSE '' END AS "table"
+  FROM (SELECT *, unnest(['db' || (p_partkey % 5), 'db1' || (p_partkey % 3), 'ns' || (p_partkey % 3)]) AS s FROM part)),
+columns AS (SELECT DISTINCT 'db' || (o_custkey % 5) AS "schema", 't' || (o_orderkey % 40) AS "table",
+  CASE WHEN o_orderkey % 3 = 0 THEN 'col_' ELSE 'k_' END || (o_custkey % 4) AS "column" FROM orders)"""
+
+
+def _table_grants(spark, sf) -> DataFrame:
+    return B.approved_items(spark, sf).filter(F.col("type").isin("grant", "hbase_grant"))
+
+
+@query("table_pattern_grants", "J11", FLEET + TABLES + """
+SELECT i.export_id, i.seq, i."schema", t."table" AS match FROM approved i JOIN tables t ON t."schema" = i."schema" AND t."table" LIKE translate(i."table", '*?', '%_')
+WHERE i.type IN ('grant', 'hbase_grant') AND contains(i."table", '*')""")
+def table_pattern_grants(spark, sf):
+    found = wildcards.tables_for_patterns(_table_grants(spark, sf), B.target_tables(spark, sf))
+    return found.select("export_id", "seq", "schema", "match")
+
+
+@query("schema_pattern_grants", "J12", FLEET + TABLES + """
+SELECT i.export_id, i.seq, t."schema" AS match, t."table" AS match_table FROM approved i JOIN tables t ON t."schema" LIKE translate(i."schema", '*?', '%_')
+WHERE i.type = 'grant' AND contains(i."schema", '*') AND i."schema" <> '*'""")
+def schema_pattern_grants(spark, sf):
+    rows = _table_grants(spark, sf).filter((F.col("type") == "grant") & (F.col("schema") != "*"))
+    found = wildcards.tables_of_schema_patterns(rows, B.target_tables(spark, sf))
+    return found.select("export_id", "seq", "match", "match_table")
+
+
+@query("whole_schema_grants", "J13", FLEET + TABLES + """
+SELECT i.export_id, i.seq, t."schema", t."table" AS match FROM approved i JOIN tables t ON t."schema" = i."schema"
+WHERE i.type IN ('grant', 'hbase_grant') AND i."table" IS NULL""")
+def whole_schema_grants(spark, sf):
+    found = wildcards.tables_of_schemas(_table_grants(spark, sf), B.target_tables(spark, sf))
+    return found.select("export_id", "seq", "schema", "match")
+
+
+CALLER_GROUPS = ("g7", "g8")
+CALLER = "(ptype = 'group' AND pname IN ('g7', 'g8') OR ptype = 'user' AND pname = 'u587')"
+
+
+def _caller() -> enforce.Session:
+    return enforce.Session("u587@company.com", CALLER_GROUPS)
+
+
+PERMITTED = FLEET + TABLES + """,
+permitted AS (SELECT DISTINCT e.export_id, c."schema", c."table", c."column", e.ptype, e.pname, e.seq FROM eligible e
+  JOIN columns c ON c."schema" = e."schema" AND c."table" = e."table" AND c."column" LIKE 'col%'
+  WHERE e.type = 'grant' AND e.cols[1] = 'col*')"""
+
+
+@query("column_pattern_grants", "J14", PERMITTED + """
+SELECT DISTINCT export_id, "schema", "table", "column", CASE WHEN ptype = 'user' AND NOT contains(pname, '@') THEN pname || '@company.com' ELSE pname END AS principal FROM permitted""")
+def column_pattern_grants(spark, sf):
+    items = stage(B.approved_items(spark, sf).filter("type = 'grant'"))
+    found = enforce.grant_pattern_columns(items, B.target_columns(spark, sf))
+    return found.select("export_id", "schema", "table", "column", F.col("principal_name").alias("principal"))
+
+
+@query("restricted_columns", "E14", PERMITTED + f""",
+g AS (SELECT export_id, "schema", "table", "column", max({CALLER}) AS permitted FROM permitted GROUP BY ALL),
+l AS (SELECT "schema", "table", "column", arg_max(permitted, export_id) AS permitted FROM g GROUP BY ALL)
+SELECT "schema", "table", "column" FROM l WHERE NOT permitted""")
+def restricted_columns(spark, sf):
+    items = stage(B.approved_items(spark, sf).filter("type = 'grant'"))
+    rows = enforce.grant_pattern_columns(items, B.target_columns(spark, sf))
+    return enforce.restricted_columns(rows, _caller())
+
+
+DENIED = FLEET + TABLES + """,
+denied AS (SELECT e.*, c."column" FROM eligible e JOIN columns c ON c."schema" = e."schema" AND c."table" = e."table" AND c."column" LIKE 'col%'
+  WHERE e.type = 'deny' AND e.cols[1] = 'col*')"""
+EXEMPT = "(c + 1) % 20 IN (7, 8)"
+
+
+@query("column_pattern_denies", "J15", DENIED + """
+SELECT export_id, seq, "schema", "table", "column" FROM denied""")
+def column_pattern_denies(spark, sf):
+    items = resource_items(B.order_policies(spark, sf))
+    return enforce.deny_pattern_columns(items, B.target_columns(spark, sf)).select(
+        "export_id", "seq", "schema", "table", "column"
+    )
+
+
+@query("denied_pattern_columns", "E15", DENIED + f"""
+SELECT DISTINCT "schema", "table", "column" FROM denied WHERE {CALLER} AND NOT {EXEMPT}""")
+def denied_pattern_columns(spark, sf):
+    items = resource_items(B.order_policies(spark, sf))
+    rows = enforce.deny_pattern_columns(items, B.target_columns(spark, sf))
+    return enforce.denied_columns(rows, _caller())
+
+
+@query("co_access_denied_columns", "E13", FLEET + f"""
+SELECT DISTINCT "schema", "table", "column" FROM (SELECT *, unnest(['c1', 'c2']) AS "column" FROM eligible WHERE co_access) WHERE {CALLER} AND NOT {EXEMPT}""")
+def co_access_denied_columns(spark, sf):
+    items = resource_items(B.order_policies(spark, sf))
+    return enforce.denied_columns(enforce.co_access_columns(items), _caller(), users_only_by_name=True)
+
+
+# Enforcement ----------------------------------------------------------------------------------
+
+
+def rule_items(spark: SparkSession, schema: str, table: str, rules: list[dict]) -> DataFrame:
+    """A short rule list as item rows; ``who`` is 'group:name', 'user:name' or 'role:name'."""
+    rows = []
+    for seq, r in enumerate(rules):
+        kind, name = r["who"].split(":", 1)
+        rows.append(
+            (
+                "rules", seq, f"r{seq}", "column_mask" if "column" in r else "row_filter", schema, table,
+                [r["column"]] if "column" in r else None, (kind, name), r.get("filter"), r.get("mask"), r.get("expr"),
+                True, "needs_review",
+            )
+        )
+    return as_items(
+        spark.createDataFrame(
+            rows,
+            "export_id string, seq bigint, id string, type string, schema string, table string, columns array<string>, "
+            "principal struct<type:string,name:string>, filter_expr string, mask_type string, mask_expr string, "
+            "enabled boolean, status string",
+        )
+    )
+
+
+ANA = enforce.Session("ana@company.com", ("analysts", "emea"))
+
+
+def _secured(spark, sf, table: str, rules: list[dict], session: enforce.Session = ANA, **options):
+    return enforce.secure(
+        B.table(spark, sf, table), rule_items(spark, "sales", table, rules), session, "sales", table, **options
+    )
+
+
+@query("secured_customers", "E2 E12 E3", """
+SELECT c_custkey, '***-**-' || right(c_name, 4) AS c_name, c_nationkey, '***REDACTED***' AS c_acctbal, c_mktsegment
+FROM customer WHERE c_mktsegment IN ('MACHINERY', 'FURNITURE') OR c_acctbal < 0""")
+def secured_customers(spark, sf):
+    return _secured(spark, sf, "customer", [
+        {"who": "group:auditors", "column": "c_name", "mask": "MASK_NONE"},
+        {"who": "group:analysts", "column": "c_name", "mask": "MASK_SHOW_LAST_4"},
+        {"who": "group:emea", "column": "c_name", "mask": "MASK_HASH"},
+        {"who": "group:emea", "column": "c_acctbal", "mask": "MASK"},
+        {"who": "group:analysts", "filter": "c_mktsegment = ${{USER.segment}}"},
+        {"who": "group:emea", "filter": "c_mktsegment IN ('MACHINERY', 'FURNITURE') OR c_acctbal < 0"},
+        {"who": "group:apac", "filter": "c_mktsegment = 'BUILDING'"},
+    ])
+
+
+@query("row_filter_member", "E1", """
+SELECT * FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40""")
+def row_filter_member(spark, sf):
+    return _secured(spark, sf, "lineitem", [{"who": "user:ana", "filter": "l_returnflag = 'R' AND l_quantity > 40"}])
+
+
+@query("row_filter_others", "E1", "SELECT * FROM supplier")
+def row_filter_others(spark, sf):
+    return _secured(spark, sf, "supplier", [{"who": "user:bob", "filter": "s_nationkey = 1"}])
+
+
+@query("row_filter_by_membership", "E1 J17", """
+SELECT o_orderkey, o_orderstatus FROM orders WHERE (SELECT c_mktsegment FROM customer ORDER BY c_name LIMIT 1) <> 'BUILDING' OR o_orderstatus = 'F'""")
+def row_filter_by_membership(spark, sf):
+    members = B.membership(spark, sf)
+    me = enforce.Session(members.agg(F.min("user")).first()[0], membership=members)
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    rules = rule_items(spark, "sales", "orders", [{"who": "group:BUILDING", "filter": "o_orderstatus = 'F'"}])
+    return enforce.secure(orders, rules, me, "sales", "orders")
+
+
+@query("merged_row_filter", "E2", "SELECT * FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 400000")
+def merged_row_filter(spark, sf):
+    return _secured(spark, sf, "orders", [
+        {"who": "group:apac", "filter": "o_orderstatus = 'F'"},
+        {"who": "role:emea", "filter": "o_orderpriority = '1-URGENT' OR o_totalprice > 400000"},
+        {"who": "group:analysts", "filter": "FALSE"},
+    ])
+
+
+def _lone_mask(table: str, column: str, mask: str, expr: str | None = None):
+    def run(spark, sf):
+        return _secured(spark, sf, table, [{"who": "group:emea", "column": column, "mask": mask, "expr": expr}])
+
+    return run
+
+
+for _name, _covers, _table, _column, _mask, _expr, _sql in [
+    ("mask_redact", "E3", "orders", "o_orderpriority", "MASK", None, "'***REDACTED***'"),
+    ("mask_last_4", "E4", "customer", "c_name", "MASK_SHOW_LAST_4", "ignored", "'***-**-' || right(c_name, 4)"),
+    ("mask_first_4", "E5", "part", "p_name", "MASK_SHOW_FIRST_4", None, "left(p_name, 4) || '***'"),
+    ("mask_first_4_custom", "E5", "part", "p_type", "MASK_SHOW_FIRST_4", "CONCAT(LEFT(val, 2), '-')", "left(p_type, 2) || '-'"),
+    ("mask_hash", "E6", "documents", "text", "MASK_HASH", None, "sha256(text)"),
+    ("mask_nullify", "E7", "supplier", "s_name", "MASK_NULL", None, "CAST(NULL AS VARCHAR)"),
+    ("mask_year", "E8", "orders", "o_orderdate", "MASK_DATE_SHOW_YEAR", None, "make_date(year(o_orderdate), 1, 1)"),
+    ("mask_none", "E9", "customer", "c_name", "MASK_NONE", None, "c_name"),
+    ("mask_custom", "E10", "documents", "text", "CUSTOM", "CASE WHEN LENGTH(val) > 500 THEN LEFT(val, 10) ELSE UPPER('val') END",
+     "CASE WHEN length(text) > 500 THEN left(text, 10) ELSE 'VAL' END"),
+    ("mask_custom_fallback", "E10 E11", "customer", "c_name", "CUSTOM", "CASE WHEN ${{USER.clear}} THEN {col} ELSE mask_show_last_n({col}, 4, 'x') END",
+     "repeat('x', greatest(0, length(c_name) - 4)) || right(c_name, 4)"),
+]:
+    query(_name, _covers, f"SELECT * REPLACE ({_sql} AS {_column}) FROM {_table}")(_lone_mask(_table, _column, _mask, _expr))
+
+
+@query("builtin_masks", "E11", """
+SELECT c_custkey, repeat('x', greatest(0, length(c_name) - 4)) || right(c_name, 4) AS show_last, left(c_name, 3) || repeat('x', greatest(0, length(c_name) - 3)) AS show_first,
+  sha256(c_name) AS hashed, 'xx' || right(c_name, greatest(0, length(c_name) - 2)) AS first_hidden, left(c_name, greatest(0, length(c_name) - 5)) || 'xxxxx' AS last_hidden,
+  regexp_replace(c_name, '[A-Za-z0-9]', 'x', 'g') AS hidden FROM customer""")
+def builtin_masks(spark, sf):
+    name = F.col("c_name")
+    return B.table(spark, sf, "customer").select(
+        "c_custkey",
+        masks.hide_all_but_last(name, 4).alias("show_last"),
+        masks.hide_all_but_first(name, 3).alias("show_first"),
+        masks.hashed(name).alias("hashed"),
+        masks.hide_first(name, 2).alias("first_hidden"),
+        masks.hide_last(name, 5).alias("last_hidden"),
+        masks.hide_letters_and_digits(name).alias("hidden"),
+    )
+
+
+@query("merged_masks", "E12 E8", """
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN CAST(l_quantity AS DOUBLE) > 25 THEN 'many' END AS l_quantity, l_extendedprice, l_discount, l_tax,
+  '***REDACTED***' AS l_returnflag, sha256(l_linestatus) AS l_linestatus, CAST(make_date(year(l_shipdate), 1, 1) AS VARCHAR) AS l_shipdate FROM lineitem""")
+def merged_masks(spark, sf):
+    return _secured(spark, sf, "lineitem", [
+        {"who": "group:apac", "column": "l_returnflag", "mask": "MASK_NONE"},
+        {"who": "group:emea", "column": "l_returnflag", "mask": "CUSTOM", "expr": "concat(l_linestatus, l_returnflag)"},
+        {"who": "group:analysts", "column": "l_linestatus", "mask": "MASK_HASH"},
+        {"who": "group:emea", "column": "l_linestatus", "mask": "MASK_NULL"},
+        {"who": "group:apac", "column": "l_shipdate", "mask": "MASK"},
+        {"who": "group:emea", "column": "l_shipdate", "mask": "MASK_DATE_SHOW_YEAR"},
+        {"who": "group:apac", "column": "l_quantity", "mask": "MASK"},
+        {"who": "user:ana", "column": "l_quantity", "mask": "MASK_HASH",
+         "expr": "CASE WHEN CAST(l_quantity AS DOUBLE) > 25 THEN upper('') || lower(CHR(109)) || CHR(97) || CHR(110) || CHR(121) ELSE CAST('XX' AS INT) END"},
+    ])
+
+
+@query("text_masks", "E3 E4 E5 E6 E8", """
+SELECT o_orderkey, '***REDACTED***' AS redacted, '***-**-' || right(o_orderpriority, 4) AS last_4, left(o_orderpriority, 4) || '***' AS first_4,
+  sha256(o_orderpriority) AS hashed, CAST(make_date(year(o_orderdate), 1, 1) AS VARCHAR) AS year, CAST(NULL AS VARCHAR) AS no_date FROM orders""")
+def text_masks(spark, sf):
+    kinds = masks.TEXT_MASKS
+    word, date = F.col("o_orderpriority"), F.col("o_orderdate").cast("string")
+    return B.table(spark, sf, "orders").select(
+        "o_orderkey",
+        kinds["REDACT"](word).alias("redacted"),
+        kinds["LAST_4"](word).alias("last_4"),
+        kinds["FIRST_4"](word).alias("first_4"),
+        kinds["HASH"](word).alias("hashed"),
+        kinds["DATE_YEAR"](date).alias("year"),
+        kinds["DATE_YEAR"](word).alias("no_date"),
+    )
+
+
+@query("hidden_columns", "E13 E15", """
+SELECT o_orderkey, CAST(NULL AS VARCHAR) AS o_orderstatus, o_totalprice FROM orders""")
+def hidden_columns(spark, sf):
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    hidden = B.table(spark, sf, "region").selectExpr("'sales' AS schema", "'orders' AS table", "'o_orderstatus' AS column")
+    return enforce.hide_columns(orders, hidden, "sales", "orders")
+
+
+# Effective grants -----------------------------------------------------------------------------
+
+ON_TABLE = "CASE WHEN p = 'CREATE' THEN NULL WHEN p = 'DROP' THEN 'MANAGE' WHEN p = 'ALTER' THEN 'ALL PRIVILEGES' WHEN p IN ('EXECUTE', 'SERVICEADMIN') THEN NULL ELSE p END"
+ON_SCHEMA = ON_TABLE.replace("'CREATE' THEN NULL", "'CREATE' THEN 'CREATE TABLE'")
+VOLUME = "'ext_loc_' || CASE WHEN trim(path, '/') = '' THEN 'root' ELSE regexp_replace(trim(path, '/'), '[^a-zA-Z0-9_]', '_', 'g') END"
+EFFECTIVE = FLEET + TABLES + MAPPED + f""",
+sigs AS (SELECT export_id, seq, row_number() OVER (PARTITION BY export_id, "schema", "table", pname, array_to_string(list_sort(privs), ',') ORDER BY seq) AS n
+  FROM eligible WHERE type = 'grant' AND NOT ("table" IS NOT NULL AND coalesce(cols[1] = 'col*', false))),
+kept AS (SELECT m.*, CASE WHEN type = 'grant' AND "schema" = '*' THEN 'catalog' WHEN "schema" = '_all_namespaces' THEN 'none'
+    WHEN type IN ('grant', 'hbase_grant') AND contains("table", '*') THEN 'table_pattern' WHEN type = 'grant' AND contains("schema", '*') THEN 'schema_pattern'
+    WHEN type IN ('grant', 'hbase_grant') AND "table" IS NULL THEN 'schema' WHEN type IN ('grant', 'hbase_grant') THEN 'table' ELSE type END AS scope
+  FROM mapped m LEFT JOIN sigs s USING (export_id, seq)
+  WHERE status IN ('approved', 'needs_review') AND (type IN ('hbase_grant', 'hdfs_grant', 'udf_grant') OR type = 'grant' AND s.n = 1)
+    AND NOT coalesce(contains("table", '${{{{'), false) AND NOT contains(pname, '{{USER}}')),
+privs AS (SELECT *, unnest(privs) AS p FROM kept),
+given AS (
+  SELECT export_id, target, 'CATALOG' AS securable_type, '`main`' AS securable, 'USE CATALOG' AS privilege FROM kept WHERE scope IN ('catalog', 'schema')
+  UNION ALL SELECT export_id, target, 'CATALOG', '`main`', p FROM privs WHERE scope = 'catalog' AND p = 'ALL PRIVILEGES'
+  UNION ALL SELECT export_id, target, 'SCHEMA', '`main`.`' || "schema" || '`', 'USE SCHEMA' FROM kept WHERE scope = 'schema'
+  UNION ALL SELECT export_id, target, 'SCHEMA', '`main`.`' || "schema" || '`', {ON_SCHEMA} FROM privs WHERE scope = 'schema' AND p NOT IN ('SELECT', 'MODIFY')
+  UNION ALL SELECT export_id, target, 'TABLE', '`main`.`' || "schema" || '`.`' || "table" || '`', {ON_TABLE} FROM privs WHERE scope = 'table'
+  UNION ALL SELECT export_id, target, 'VOLUME', '`main`.`ranger_hdfs_volumes`.`' || {VOLUME} || '`', p FROM privs WHERE type = 'hdfs_grant'
+  UNION ALL SELECT export_id, target, 'FUNCTION', '`main`.`' || "schema" || '`.`' || udf_name || '`', 'EXECUTE' FROM kept WHERE type = 'udf_grant'
+  UNION ALL SELECT export_id, target, 'TABLE', '`main`.`' || t."schema" || '`.`' || t."table" || '`', {ON_TABLE} FROM privs i JOIN tables t
+    ON t."schema" = i."schema" AND t."table" LIKE translate(i."table", '*?', '%_') WHERE scope = 'table_pattern'
+  UNION ALL SELECT export_id, target, 'TABLE', '`main`.`' || t."schema" || '`.`' || t."table" || '`', p FROM privs i JOIN tables t
+    ON t."schema" = i."schema" WHERE scope = 'schema' AND p IN ('SELECT', 'MODIFY')
+  UNION ALL SELECT export_id, target, 'CATALOG', '`main`', 'USE CATALOG' FROM kept WHERE scope = 'schema_pattern'
+  UNION ALL SELECT export_id, target, 'SCHEMA', '`main`.`' || t."schema" || '`', 'USE SCHEMA' FROM kept i JOIN tables t ON t."schema" LIKE translate(i."schema", '*?', '%_')
+    WHERE scope = 'schema_pattern'
+  UNION ALL SELECT export_id, target, 'SCHEMA', '`main`.`' || t."schema" || '`', {ON_SCHEMA} FROM privs i JOIN tables t ON t."schema" LIKE translate(i."schema", '*?', '%_')
+    WHERE scope = 'schema_pattern' AND p NOT IN ('SELECT', 'MODIFY')
+  UNION ALL SELECT export_id, target, 'TABLE', '`main`.`' || t."schema" || '`.`' || t."table" || '`', p FROM privs i JOIN tables t
+    ON t."schema" LIKE translate(i."schema", '*?', '%_') WHERE scope = 'schema_pattern' AND p IN ('SELECT', 'MODIFY'))
+"""
+
+
+@query("effective_grants", "E16 E17", EFFECTIVE + """
+SELECT DISTINCT export_id, target AS principal, securable_type, securable, privilege FROM given WHERE privilege IS NOT NULL""")
+def effective_grants(spark, sf):
+    items = stage(B.approved_items(spark, sf))
+    return grants.effective_grants(items, B.target_tables(spark, sf), B.identity_map(spark, sf))
+
+
+@query("catalog_grants", "E17", EFFECTIVE + """
+SELECT DISTINCT export_id, target AS principal, privilege FROM (
+  SELECT export_id, target, 'USE CATALOG' AS privilege FROM kept WHERE scope = 'catalog'
+  UNION ALL SELECT export_id, target, p FROM privs WHERE scope = 'catalog' AND p = 'ALL PRIVILEGES')""")
+def catalog_grants(spark, sf):
+    items = stage(B.approved_items(spark, sf))
+    rows = grants.granting_items(items, B.identity_map(spark, sf)).filter(F.col("scope") == "catalog")
+    made = rows.select("export_id", "principal_name", F.explode(grants.direct_grants(F.lit("main"))).alias("g"))
+    return made.select("export_id", F.col("principal_name").alias("principal"), "g.privilege").distinct()
+
+
+# Statements -----------------------------------------------------------------------------------
+
+
+@query("path_statements", "R1", FLEET + f"""
+SELECT seq, CAST(i AS BIGINT) AS line_no, 'GRANT ' || privs[i + 1] || ' ON VOLUME `main`.`ranger_hdfs_volumes`.`' || {VOLUME} || '` TO `' || pname || '`;' AS line
+FROM page_items, LATERAL (SELECT unnest(range(len(privs))) AS i) n""")
+def path_statements(spark, sf):
+    items = resource_items(B.page_policies(spark, sf))
+    return statements.item_statements(items).select("seq", "line_no", "line")
+
+
+@query("filter_statements", "R1", FLEET + """
+SELECT export_id, seq, CAST(i AS BIGINT) AS line_no, ['CREATE OR REPLACE FUNCTION ' || fn || '(region STRING, dept_id STRING)', 'RETURNS BOOLEAN', 'RETURN IF(',
+  '  IS_ACCOUNT_GROUP_MEMBER(''' || pname || '''),', '  ' || filter_expr || ',', '  TRUE  -- others see all rows', ');',
+  'ALTER TABLE `main`.`' || "schema" || '`.`' || "table" || '`', 'SET ROW FILTER ' || fn || ' ON (region, dept_id);'][i + 1] AS line
+FROM (SELECT *, '`main`.`' || "schema" || '`.rf_' || "table" || '_' || pname AS fn FROM order_items WHERE type = 'row_filter' AND NOT contains(filter_expr, '$') AND NOT contains("table", '$')),
+  LATERAL (SELECT unnest(range(9)) AS i) n""")
+def filter_statements(spark, sf):
+    items = resource_items(B.order_policies(spark, sf)).filter("type = 'row_filter'")
+    return statements.item_statements(items).select("export_id", "seq", "line_no", "line")
+
+
+@query("item_statements", "R1")
+def item_statements(spark, sf):
+    return statements.item_statements(B.fleet_items(spark, sf), B.identity_map(spark, sf))
+
+
+@query("advisories", "R2", FLEET + """
+SELECT export_id, seq, code, detail FROM (
+  SELECT export_id, seq, 'deny_not_supported' AS code, 'SELECT, SELECT' AS detail, type, "table", pname FROM eligible WHERE type = 'deny'
+  UNION ALL SELECT export_id, seq, 'deny_columns', array_to_string(cols, ', '), type, "table", pname FROM eligible WHERE type = 'deny' AND cols IS NOT NULL
+  UNION ALL SELECT export_id, seq, 'deny_exceptions', 'group: g' || ((c + 1) % 20) || ', user: boss', type, "table", pname FROM eligible WHERE type = 'deny'
+  UNION ALL SELECT export_id, seq, 'co_access', 'accessed-together: db.t.c1, db.t.c2, db.t.x*', type, "table", pname FROM eligible WHERE co_access
+  UNION ALL SELECT export_id, seq, 'blank_principal', 'groups[1] is empty', type, "table", pname FROM eligible WHERE type = 'skipped_blank_principal')
+WHERE NOT coalesce(contains("table", '${{'), false)
+UNION ALL SELECT export_id, seq, 'dynamic_resource', pname FROM eligible WHERE type IN ('deny', 'skipped_blank_principal') AND contains("table", '${{')""")
+def advisories(spark, sf):
+    items = resource_items(B.order_policies(spark, sf)).filter(F.col("type").isin("deny", "skipped_blank_principal"))
+    return statements.advisories(items).select("export_id", "seq", "code", "detail")
+
+
+@query("script_lines", "R3 S6")
+def script_lines(spark, sf):
+    items = stage(B.approved_items(spark, sf))
+    return statements.script_lines(items, B.identity_map(spark, sf), "main", "2024-01-01", B.target_tables(spark, sf))
+
+
+@query("mapped_members", "J6 J17", FLEET + MAPPED + """
+SELECT export_id, seq, target AS principal FROM mapped WHERE type = 'row_filter'""")
+def mapped_members(spark, sf):
+    items = resource_items(B.order_policies(spark, sf)).filter("type = 'row_filter'")
+    return map_principals(items, B.identity_map(spark, sf)).select(
+        "export_id", "seq", F.col("principal_name").alias("principal")
+    )
