@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 
 from grantlake.plans import load_queries
 
-RUNS = 2
+RUNS = 1
 HEADLINES = [
     "secured_customers",
     "merged_row_filter",

@@ -115,56 +115,67 @@ def tag_items(policies: DataFrame, resources: DataFrame, catalog: str = "main")
         "run", F.floor((F.col("hit") - 1) / RUN).cast("bigint")
     )
     totals = hits.groupBy("export_id", "policy_pos").agg(F.count("*").alias("found"))
-    units = _tag_units(policies)
     key = ["export_id", "policy_pos"]
-
-    names = F.array_join("tag_names", "_")
-    last_run = F.greatest(F.floor((F.col("found") - 1) / RUN), F.lit(0).cast("bigint"))
-    rows = (
-        units.join(totals, key, "left")
-        .na.fill(0, ["found"])
-        .withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), last_run)))
-        .join(hits, [*key, "run"], "left")
-    )
-    resolved = F.col("hit").isNotNull()
-    rows = rows.withColumns(
-        {
-            "schema": F.when(resolved, F.col("schema")).otherwise(F.concat(F.lit("<schema_with_"), names, F.lit(">"))),
-            "table": F.when(resolved, F.col("table")).otherwise(F.concat(F.lit("<table_with_"), names, F.lit(">"))),
-            "hit": F.coalesce("hit", F.lit(1).cast("bigint")),
-        }
-    )
-
-    who = F.transform(
-        "principals", lambda p, i: F.struct(p.alias("principal"), (i + 1).cast("bigint").alias("leaf_no"))
-    )
-    one = F.array(F.struct(first_principal().alias("principal"), F.lit(1).cast("bigint").alias("leaf_no")))
-    leaf = f"array<struct<principal:{PRINCIPAL},leaf_no:bigint>>"
-    leaves = F.when(F.col("kind") == "allow", who.cast(leaf)).otherwise(one.cast(leaf))
-    exploded = unnest(rows, leaves, "leaf").select("*", "leaf.*")
-
-    cells = F.greatest(F.col("found"), F.lit(1))
-    number = F.col("offset") * cells + (F.col("hit") - 1) * F.col("stride") + F.col("leaf_no")
-    kind = (
-        F.when((F.col("kind") == "allow") & (F.col("found") > 0), "tag_grant")
-        .when(F.col("kind") == "allow", "tag_placeholder")
-        .when(F.col("kind") == "filter", "row_filter")
+    counted = _tag_units(policies).join(totals, key, "left").na.fill(0, ["found"])
+
+    # Everything that is the same for all resources of a sub-item, before the fan-out.
+    kind, found = F.col("kind"), F.col("found")
+    item_type = (
+        F.when((kind == "allow") & (found > 0), "tag_grant")
+        .when(kind == "allow", "tag_placeholder")
+        .when(kind == "filter", "row_filter")
         .otherwise("column_mask")
     )
-    masked = F.coalesce("column", F.concat(F.lit("<col_with_"), names, F.lit(">")))
-    typed = exploded.withColumns({"type": kind, "number": number, "masked": masked})
+    id_kind = (
+        F.when(kind == "filter", "rowfilter-tag").when(kind == "mask", "mask-tag").otherwise(F.col("type"))
+    )
+    names = F.array_join("tag_names", "_")
+    leaf = f"array<struct<principal:{PRINCIPAL},leaf_no:bigint>>"
+    people = F.transform("principals", lambda p, i: F.struct(p, i + F.lit(1))).cast(leaf)
+    first = F.array(F.struct(first_principal(), F.lit(1))).cast(leaf)
+    rule = kind.isin("filter", "mask")
+    prepared = counted.withColumn("type", item_type).select(
+        *key,
+        "policy_id",
+        "policy_name",
+        "policy_desc",
+        "type",
+        "stride",
+        "enabled",
+        "privileges",
+        (F.col("offset") * F.greatest(found, F.lit(1))).alias("base"),
+        F.concat_ws("-", text_or_none(F.col("policy_id")), id_kind).alias("id_head"),
+        F.concat(F.lit("<schema_with_"), names, F.lit(">")).alias("no_schema"),
+        F.concat(F.lit("<table_with_"), names, F.lit(">")).alias("no_table"),
+        F.concat(F.lit("<col_with_"), names, F.lit(">")).alias("no_column"),
+        F.when(F.col("type") != "tag_placeholder", F.lit(catalog)).alias("catalog"),
+        F.when(~rule, F.col("tag_names")).alias("tag_names"),
+        F.when(rule, F.col("principals")).alias("all_principals"),
+        F.when(kind == "filter", F.col("filter_expr")).alias("filter_expr"),
+        F.when(kind == "mask", F.col("mask_type")).alias("mask_type"),
+        F.when(kind == "mask", F.col("mask_expr")).alias("mask_expr"),
+        F.when(F.col("type") == "tag_grant", F.col("delegate_admin")).alias("delegate_admin"),
+        F.when(F.col("type") == "tag_grant", "pending").otherwise("needs_review").alias("status"),
+        F.when(kind == "allow", people).otherwise(first).alias("leaves"),
+        F.sequence(
+            F.lit(0).cast("bigint"), F.greatest(F.floor((found - 1) / RUN), F.lit(0).cast("bigint"))
+        ).alias("runs"),
+    )
+    by_run = unnest(prepared, "runs", "run", keep=[c for c in prepared.columns if c != "runs"])
+    placed = by_run.join(hits, [*key, "run"], "left").drop("run")
+    rows = unnest(placed, "leaves", "leaf", keep=[c for c in placed.columns if c != "leaves"])
+
+    hit = F.coalesce("hit", F.lit(1).cast("bigint"))
+    rows = rows.withColumn("number", F.col("base") + (hit - 1) * F.col("stride") + F.col("leaf.leaf_no"))
     kind = F.col("type")
-    placeholder = kind == "tag_placeholder"
-    rule = kind.isin("row_filter", "column_mask")
-    pid, num, name = text_or_none(F.col("policy_id")), F.col("number").cast("string"), F.col("principal.name")
-    item_id = (
-        F.when(kind == "tag_grant", F.concat_ws("-", pid, kind, "schema", "table", name, num))
-        .when(placeholder, F.concat_ws("-", pid, kind, name, num))
-        .when(kind == "row_filter", F.concat_ws("-", pid, F.lit("rowfilter-tag"), "table", name, num))
-        .otherwise(F.concat_ws("-", pid, F.lit("mask-tag"), "table", "masked", name, num))
+    named = kind != "tag_placeholder"
+    masked = F.when(kind == "column_mask", F.coalesce("column", "no_column"))
+    table = F.when(named, F.coalesce("table", "no_table"))
+    item_id = F.concat_ws(
+        "-", "id_head", F.when(kind == "tag_grant", F.col("schema")), table, masked, "leaf.principal.name", "number"
     )
     return as_items(
-        typed.select(
+        rows.select(
             "export_id",
             sequence_number(F.col("policy_pos"), F.col("number")).alias("seq"),
             item_id.alias("id"),
@@ -172,19 +183,19 @@ def tag_items(policies: DataFrame, resources: DataFrame, catalog: str = "main")
             "policy_name",
             "policy_desc",
             "type",
-            F.when(~placeholder, F.lit(catalog)).alias("catalog"),
-            F.when(~placeholder, F.col("schema")).alias("schema"),
-            F.when(~placeholder, F.col("table")).alias("table"),
-            F.when(kind == "column_mask", F.array("masked")).alias("columns"),
-            F.when(~rule, F.col("tag_names")).alias("tag_names"),
+            "catalog",
+            F.when(named, F.coalesce("schema", "no_schema")).alias("schema"),
+            table.alias("table"),
+            F.when(masked.isNotNull(), F.array(masked)).alias("columns"),
+            "tag_names",
             "privileges",
-            "principal",
-            F.when(rule, F.col("principals")).alias("all_principals"),
-            F.when(kind == "row_filter", F.col("filter_expr")).alias("filter_expr"),
-            F.when(kind == "column_mask", F.col("mask_type")).alias("mask_type"),
-            F.when(kind == "column_mask", F.col("mask_expr")).alias("mask_expr"),
-            F.when(kind == "tag_grant", F.col("delegate_admin")).alias("delegate_admin"),
+            "leaf.principal",
+            "all_principals",
+            "filter_expr",
+            "mask_type",
+            "mask_expr",
+            "delegate_admin",
             "enabled",
-            F.when(kind == "tag_grant", "pending").otherwise("needs_review").alias("status"),
+            "status",
         )
     )

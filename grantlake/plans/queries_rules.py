@@ -143,7 +143,7 @@ u AS (SELECT doc_id, unnest(names) AS nm, generate_subscripts(names, 1) AS pos F
 f AS (SELECT doc_id, nm, min(pos) AS pos FROM u GROUP BY ALL)
 SELECT d.doc_id, count(nm) AS names, coalesce(md5(string_agg(nm, ',' ORDER BY pos)), md5('')) AS names_md5 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def filter_columns(spark, sf):
-    found = B.table(spark, sf, "documents").select("doc_id", X.filter_columns(F.col("text")).alias("found"))
+    found = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.filter_columns(F.col("text")).alias("found"))
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("names"), F.md5(F.array_join("found", ",")).alias("names_md5")
     )
