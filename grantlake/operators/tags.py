@@ -79,26 +79,36 @@ def tag_assignments(resources: DataFrame, definitions: DataFrame) -> DataFrame:
     )
 
 
+# Bits of the order key that hold a resource position; the tag's place in the policy is above them.
+POSITION_BITS = 40
+
+
 def resolve_tags(policies: DataFrame, resources: DataFrame) -> DataFrame:
     """Resources of each tag policy: first hit per (schema, table), with its rank ``hit``.
 
-    The de-duplication is a plain aggregate, so partial results shrink the data before it moves.
+    Resources are reduced to the first one per tag, schema and table before they meet policies, so
+    a tag on very many columns joins once per table. The order of hits is one long, which keeps
+    both aggregates hash aggregates that combine before the shuffle; the column of the winning
+    resource is fetched by its position afterwards.
     """
     wanted = policies.filter(F.size(resource_values("tag")) > 0).select(
         "export_id",
         "policy_pos",
         F.posexplode(resource_values("tag")).alias("list_pos", "tag"),
     )
-    hits = wanted.join(resources, ["export_id", "tag"])
-    first = hits.groupBy("export_id", "policy_pos", "schema", "table").agg(
-        F.min(F.struct("list_pos", "res_pos", "tag_pos", "column")).alias("first")
+    per_tag = resources.groupBy("export_id", "tag", "schema", "table").agg(F.min("res_pos").alias("res_pos"))
+    order = F.shiftleft(F.col("list_pos").cast("bigint"), POSITION_BITS) + F.col("res_pos")
+    first = (
+        wanted.join(per_tag, ["export_id", "tag"])
+        .groupBy("export_id", "policy_pos", "schema", "table")
+        .agg(F.min(order).alias("ord"))
     )
-    order = F.shiftleft(F.col("first.list_pos").cast("bigint"), 40) + F.col("first.res_pos")
-    flat = first.select(
-        "export_id", "policy_pos", "schema", "table", F.col("first.column").alias("column"),
-        order.alias("ord"),
+    ranked = spread_row_number(first, ["export_id", "policy_pos"], "ord", "hit")
+    columns = resources.select("export_id", "res_pos", "column").distinct()
+    position = F.col("ord").bitwiseAND(F.lit((1 << POSITION_BITS) - 1))
+    return ranked.withColumn("res_pos", position).join(columns, ["export_id", "res_pos"]).select(
+        "export_id", "policy_pos", "schema", "table", "column", "hit"
     )
-    return spread_row_number(flat, ["export_id", "policy_pos"], "ord", "hit").drop("ord")
 
 
 def _tag_units(policies: DataFrame) -> DataFrame:
