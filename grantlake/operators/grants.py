@@ -11,6 +11,7 @@ from ..functions.rows import unnest
 from .conflicts import ITEM_KEY, duplicate_grants, wildcard_column_grants
 from .identity import map_principals
 from .review import eligible, guard_code
+from .stage import stage
 from .tags import tag_assignments
 from .wildcards import (
     schemas_for_patterns,
@@ -106,7 +107,9 @@ def effective_grants(
     ``tables`` lists (schema, table) of the target catalog; pattern and whole-schema grants are
     resolved against it.
     """
-    rows = granting_items(items, mapping)
+    needed = ["export_id", "principal_name", "scope", "schema", "table", "path", "udf_name", "privileges"]
+    # Read five times below, so the joins behind it run once.
+    rows = stage(granting_items(items, mapping).select(needed))
     cat = F.lit(catalog)
     parts = [rows.withColumn("grants", direct_grants(cat))]
 
