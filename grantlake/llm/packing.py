@@ -110,16 +110,15 @@ class Bins:
 
     def place(self, size: int) -> tuple[int, int]:
         """Sequence and offset for a piece. Placing into gap g changes the sum of squares by
-        2 (count[g - size] - count[g] + 1), where closed sequences (gap 0) count for nothing."""
+        2 (count[g - size] - count[g] + 1), or by 1 - 2 count[g] if it fills the sequence, which then
+        is no longer open. A new sequence is opened only if the piece fits into no open one."""
         count, full = self.count, self.capacity
-        gaps = count[size:full]
-        after = count[: full - size].copy()
-        if len(after):
-            after[0] = -1  # a filled sequence is no longer open: its term falls away
-        change = np.where(gaps > 0, 2 * (after - gaps) + 2, np.iinfo(np.int64).max)
-        new = 2 * count[full - size] + 1 if size < full else 0
-        best = int(change.argmin()) if len(change) else -1
-        if best >= 0 and change[best] < np.iinfo(np.int64).max and change[best] <= new:
+        there = count[size:full]
+        change = np.where(there > 0, 2 * (count[: full - size] - there) + 2, np.iinfo(np.int64).max)
+        if size < full and there[0]:
+            change[0] = 1 - 2 * there[0]
+        best = int(change.argmin()) if size < full else 0
+        if size < full and there[best]:
             gap = best + size
             bin_ = self.open[gap].pop()
             count[gap] -= 1
