@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing
+from . import langid, packing
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,17 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(parquet(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def remainder(column: str, divisor: int):
+    """crc32 of an id as text, modulo ``divisor``."""
+    return F.crc32(F.col(column).cast("string")) % divisor
+
+
+@query("op3_language")
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    training = docs.where(~held_out).select("text", "lang")
+    found = langid.fit_predict(docs.select("doc_id", "text"), training, keep_text=False)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
