@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, packing
+from . import langid, neardup, packing
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     training = docs.where(~held_out).select("text", "lang")
     found = langid.fit_predict(docs.select("doc_id", "text"), training, keep_text=False)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_neardup")
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(parquet(spark, sf_dir, "documents"), shingle=4, percent=80)
