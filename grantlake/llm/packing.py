@@ -16,7 +16,11 @@ rows are packed like any other; an empty table gives no rows; columns other than
 
 from __future__ import annotations
 
+import itertools
+import os
+import string
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,45 +36,74 @@ CACHED_WORDS = 300_000
 
 class WordTokens:
     """Ids of whole texts. A tokenizer that splits at white space and drops it gives a text's ids as
-    those of its words in order, so each word is encoded once while it stays in the cache."""
+    those of its words in order, so each word is encoded once while it stays in the cache.
 
-    def __init__(self, tokenizer_file: str):
+    ``letters_first`` states that the tokenizer lower-cases, splits runs of letters from other
+    characters and maps bytes to characters before its merges. Latin-1 letters with ASCII marks
+    after them then go straight to its merges, all other words through the whole tokenizer.
+    """
+
+    def __init__(self, tokenizer_file: str, letters_first: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.direct = letters_first
+        shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        hidden = [x for x in range(256) if x not in shown]
+        self.as_letters = [(chr(x), chr(256 + k)) for k, x in enumerate(hidden) if x >= 128]
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.pieces: list[np.ndarray] = []
-        self.table()
-
-    def table(self) -> None:
-        sizes = np.fromiter((len(p) for p in self.pieces), np.int64, len(self.pieces))
-        self.first = np.concatenate(([0], np.cumsum(sizes)))
-        self.sizes = sizes
-        self.flat = np.concatenate(self.pieces) if self.pieces else np.zeros(0, np.uint32)
+        self.number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
+        self.stems: dict[str, list[int]] = {}
+        self.marks: dict[str, list[int]] = {"": []}
+        self.first, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def learn_stems(self, stems: set[str]) -> None:
+        fresh = list(stems.difference(self.stems))
+        if not fresh:
+            return
+        joined = "\n".join(fresh).encode().decode("latin-1")
+        for byte, letter in self.as_letters:
+            joined = joined.replace(byte, letter)
+        merge = self.tokenizer.model.tokenize
+        self.stems.update(zip(fresh, ([t.id for t in merge(w)] for w in joined.split("\n"))))
+
+    def learn(self, words: list[bytes]) -> None:
+        parts: list[tuple[str, str] | None] = []
+        for raw in words:
+            word = raw.decode()
+            stem = word.rstrip(string.punctuation)
+            if self.direct and stem.isalpha() and (stem.isascii() or max(stem) < "\u0100"):
+                parts.append((stem.lower(), word[len(stem) :]))
+            else:
+                parts.append(None)
+        self.learn_stems({p[0] for p in parts if p})
+        rest = [w.decode() for w, p in zip(words, parts) if not p]
+        marks = list({p[1] for p in parts if p}.difference(self.marks))
+        encoded = self.tokenizer.encode_batch_fast(rest + marks, add_special_tokens=False)
+        self.marks.update(zip(marks, (e.ids for e in encoded[len(rest) :])))
+        whole = iter(encoded)
+        stems, ends = self.stems, self.marks
+        found = [stems[p[0]] + ends[p[1]] if p else next(whole).ids for p in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))))
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number of ids."""
         if len(self.number) > CACHED_WORDS:
             self.clear()
         split = [t.split() for t in batch]
-        new = set().union(*split).difference(self.number)
-        if new:
-            fresh = list(new)
-            done = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-            for word, got in zip(fresh, done):
-                self.number[word] = len(self.pieces)
-                self.pieces.append(np.array(got.ids, dtype=np.uint32))
-            self.table()
-        number = self.number
-        words = np.fromiter((number[w] for t in split for w in t), np.int64, sum(map(len, split)))
-        sizes = self.sizes[words] if len(words) else np.zeros(0, np.int64)
-        ids = self.flat[texts.ranges(self.first[words], sizes)] if len(words) else np.zeros(0, np.uint32)
+        words = np.array(list(map(self.number.__getitem__, itertools.chain.from_iterable(split))), dtype=np.int64)
+        if new := len(self.number) - len(self.sizes):
+            self.learn(list(itertools.islice(reversed(self.number), new))[::-1])
+        sizes = self.sizes[words]
+        ids = self.flat[texts.ranges(self.first[words], sizes)]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        bounds = np.cumsum([0, *map(len, split)])
-        return ids, np.diff(ends[bounds])
+        return ids, np.diff(ends[np.cumsum([0, *map(len, split)])])
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, closing_id: int = 0, with_ids: bool = False) -> DataFrame:
