@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing
+from . import langid, neardup, packing, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_neardup")
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(parquet(spark, sf_dir, "documents"), shingle=4, percent=80)
+
+
+@query("op6_substrings")
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(parquet(spark, sf_dir, "documents"), length=50)
