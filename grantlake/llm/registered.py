@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, neardup, packing, substrings
+from . import langid, mixing, neardup, neighbours, packing, products, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,21 @@ def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_substrings")
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(parquet(spark, sf_dir, "documents"), length=50)
+
+
+@query("op8_mixing")
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, entropy_share=0.95, max_repeats=4.0, columns=["doc_id", "source", "n_tokens"])
+
+
+@query("op2_products")
+def op2_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return products.largest_products(vecs, vecs.where("vec_id % 20 = 0"), k=20, scale=64.0)
+
+
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vecs, vecs.where("vec_id % 50 = 0"), k=5)
