@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, neardup, neighbours, packing, products, substrings
+from . import langid, mixing, neardup, neighbours, packing, products, scoring, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,3 +73,11 @@ def op2_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vecs, vecs.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op1_scoring")
+def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("learned"))
+    found = scoring.scores(docs)
+    return found.select("doc_id", (~found.learned).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
