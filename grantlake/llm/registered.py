@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import langid, mixing, neardup, neighbours, packing, products, scoring, substrings
+from . import chat, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,15 @@ def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("learned"))
     found = scoring.scores(docs)
     return found.select("doc_id", (~found.learned).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query("op7_chat")
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text")
+    )
+    return chat.digests(chat.windows(rows.unionByName(added)))

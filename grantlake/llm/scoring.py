@@ -5,8 +5,8 @@ space, is predicted from the bytes before it in its word, the space that opens t
 most ``ORDER`` of them. The end is a word without bytes.
 
 The longest context seen in learning predicts first. A context of total count T with q distinct
-symbols gives a symbol of count n the probability n / (T + q), and an escape q / (T + q) to the
-context shorter by one byte. Symbols of the longer context are excluded there: their counts and
+symbols gives a symbol of count n the probability (n - 1/2) / T, and an escape q / 2T to the context
+shorter by one byte (method D). Symbols of the longer context are excluded there: their counts and
 number leave T and q. Below the empty context, the symbols that are not excluded are equally likely.
 
 How it is spread: documents are coded in blocks, as numbers into the words of their block, and words
@@ -186,7 +186,7 @@ def pair_scores(pairs: DataFrame, counts: DataFrame, nodes: DataFrame, tables: S
     """(pair, logp): base-10 log-probability of the symbol in its context. Pairs that were learned end
     in their longest context; only the others go down the trie."""
     top = pairs.where("n > 0").withColumn("level", pair_length()).withColumn("context", F.shiftright("pair", 8))
-    first = top.join(nodes, ["level", "context"]).select("pair", F.log10(F.col("n") / (F.col("total") + F.col("distinct"))).alias("logp"))
+    first = top.join(nodes, ["level", "context"]).select("pair", F.log10((F.col("n") - 0.5) / F.col("total")).alias("logp"))
     path = suffixes(pairs.where("n = 0"))
     path = path.join(nodes, ["level", "context"], "left").join(counts, ["level", "context", "symbol"], "left")
     # No level beyond the first with a count matters, and levels without a node lie above those with one.
@@ -198,7 +198,7 @@ def pair_scores(pairs: DataFrame, counts: DataFrame, nodes: DataFrame, tables: S
     def step(state: Column, x: Column) -> Column:
         left, fresh = x["total"] - state["gone"], x["distinct"] - state["q"]
         found = x["n"].isNotNull()
-        gain = F.when(found, F.log10(x["n"] / (left + fresh))).when(fresh > 0, F.log10(fresh / (left + fresh))).otherwise(0.0)
+        gain = F.when(found, F.log10((x["n"] - 0.5) / left)).when(fresh > 0, F.log10(fresh / (2 * left))).otherwise(0.0)
         after = F.struct((state["logp"] + gain).alias("logp"), found.alias("done"), x["distinct"].alias("q"), x["shared"].alias("gone"))
         return F.when(state["done"] | x["total"].isNull(), state).otherwise(after)
 
@@ -305,11 +305,11 @@ class AdaptiveTrie:
             if node is None:
                 continue
             left = {s: n for s, n in node.items() if s not in excluded}
-            whole = sum(left.values()) + len(left)
+            whole = sum(left.values())
             if symbol in left:
-                return out + math.log10(left[symbol] / whole)
+                return out + math.log10((left[symbol] - 0.5) / whole)
             if left:
-                out += math.log10(len(left) / whole)
+                out += math.log10(len(left) / (2 * whole))
             excluded |= set(node)
         return out - math.log10(max(SYMBOLS - len(excluded), 1))
 
