@@ -5,14 +5,16 @@ fewer words has one run, all of them. Documents are linked if their sets reach `
 100 * intersection >= percent * union; groups are the connected components of all links.
 
 * Documents with equal sets are one class from the start, so groups of copies never meet as pairs.
-* A class has ``SAMPLES`` MinHash samples. Bands of ``ROWS`` samples give bucket keys: a pair at a
-  similarity of 0.8 shares none with a probability below 1e-7.
+* A class has ``SAMPLES`` MinHash samples. ``BANDS`` bands of ``ROWS`` samples give bucket keys: a pair
+  at a similarity of 0.8 shares none with a probability below 1e-7.
 * The samples are folded into an odd sketch: each sample flips one bit of a bitmap. The number of
   bits in which two bitmaps differ estimates the similarity; candidates ``MARGIN`` (over five
   standard deviations) below the threshold go no further, all others are confirmed on full sets.
 * A bucket is never expanded into all pairs. In a few rounds each member is held against one
   centre of the bucket, a new centre every round, and links merge groups. What then still lies in
-  different groups of one bucket is compared in full, with the sketch test inside the join. So no
+  different groups of one bucket is compared in full, with two tests inside the join: that of the
+  sketches, and an exact one. Shingles that no other member of an open bucket has can't be common,
+  so a document with many of them can't reach the threshold with a document of a given size. So no
   link between groups is lost, and members of one group are not compared again.
 
 Results for odd input: documents without words or text have an empty set and are linked with
@@ -33,9 +35,9 @@ from .components import components
 from .scratch import Scratch
 
 BANDS, ROWS = 32, 4
-SAMPLES = BANDS * ROWS
-SKETCH_LONGS = 8
-MARGIN = 0.2
+SAMPLES = 256
+SKETCH_LONGS = 16
+MARGIN = 0.13
 ROUNDS = 3
 #: A list of ids is sent to all executors up to this many (32 MB); beyond it, tables are joined by a shuffle.
 SENT_IDS = 4_000_000
@@ -88,7 +90,7 @@ def sketches(sample: np.ndarray) -> np.ndarray:
 def bands(sample: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(sample), BANDS), dtype=np.uint64)
     for k in range(ROWS):
-        keys = texts.mix(keys * np.uint64(31) + sample[:, k::ROWS].astype(np.uint64) + np.uint64(k + 1))
+        keys = texts.mix(keys * np.uint64(31) + sample[:, k : BANDS * ROWS : ROWS].astype(np.uint64) + np.uint64(k + 1))
     return texts.mix(keys + np.arange(BANDS, dtype=np.uint64))
 
 
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             placed = tables.keep(placed.join(open_, "key"), f"open-{number}")
             if placed.isEmpty():
                 break
-        pairs = last_pairs(placed, wanted, linker) if number == ROUNDS else linker.candidates(star_pairs(placed, number))
+        pairs = last_pairs(placed, wanted, sets, linker) if number == ROUNDS else linker.candidates(star_pairs(placed, number))
         found = tables.keep(linker.confirm(pairs), f"links-{number}")
         if number == ROUNDS and found.isEmpty():
             break
@@ -244,13 +246,25 @@ def star_pairs(placed: DataFrame, number: int) -> DataFrame:
     return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def last_pairs(placed: DataFrame, wanted: DataFrame, linker: Linker) -> DataFrame:
+def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Linker) -> DataFrame:
     """Pairs of one bucket in different groups: members outside the bucket's largest group with all
-    members of other groups, as far as their sketches are close."""
+    members of other groups, as far as sketches and own shingles allow a link."""
     sized = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sized.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    rows = placed.join(main, "key").join(wanted.select("node", "sketch"), "node")
-    left = rows.where("component <> main").select("key", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("sketch").alias("sketch_a"))
-    right = rows.select("key", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("sketch").alias("sketch_b"))
-    pairs = left.join(right, (left.key == right.key) & (F.col("cx") != F.col("cy")) & linker.close())
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    open_sets = sets.join(placed.select("node").distinct(), "node")
+    single = open_sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    own = single.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
+    sizes = open_sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left")
+    facts = sizes.join(wanted.select("node", "sketch"), "node")
+    facts = facts.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sketch")
+    rows = placed.join(main, "key").join(facts, "node")
+
+    def side(name: str, rows: DataFrame) -> DataFrame:
+        return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "size", "common", "sketch")])
+
+    percent = linker.percent
+    most = F.least("common_a", "common_b")
+    possible = most * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
+    left, right = side("a", rows.where("component <> main")), side("b", rows)
+    pairs = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & possible & linker.close())
+    return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
