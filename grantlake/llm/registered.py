@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
+from . import chat, extraction, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,8 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL_TEXT).alias("text")
     )
     return chat.digests(chat.windows(rows.unionByName(added)))
+
+
+@query("op9_extraction")
+def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(parquet(spark, sf_dir, "pages").select("page_id", "url", "html"))
