@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from grantlake.llm import langid, mixing, neardup, packing, registered, scratch, substrings
 
@@ -14,32 +14,44 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; ``lang`` becomes the predicted one. Documents without
     any letter are rejected, and so is every document if no row states a language."""
-    found = langid.fit_predict(docs, docs.select("text", "lang"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
+    found = langid.fit_predict(rows, docs.select("text", "lang"), keep_text=False)
     found = found.where(found.lang_pred != langid.UNKNOWN)
-    return found.withColumn("lang", found.lang_pred).select(docs.columns)
+    return found.select([F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest ``doc_id``, of each group with a similarity of 0.8 on runs of
-    five words. Of rows that repeat a ``doc_id`` one stays."""
-    kept = neardup.near_duplicates(docs, shingle=5, percent=80).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    five words. Of rows that repeat a ``doc_id`` one stays; rows with a null ``doc_id`` stay."""
+    tables = scratch.Scratch(spark, "kept")
+    found = tables.keep(neardup.near_duplicates(docs, shingle=5, percent=80).select("doc_id", "kept"), "found").where("doc_id is not null")
+    gone = found.where("not kept").select("doc_id").distinct()
+    several = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    n_gone, n_several = gone.count(), several.count()
+    once = without(without(docs, gone, n_gone), several, n_several)
+    if not n_several:
+        return once
+    rows = docs.join(several, "doc_id", "left_semi").select("doc_id", F.struct("*").alias("row"), F.xxhash64("text").alias("order"))
+    return once.unionByName(rows.groupBy("doc_id").agg(F.min_by("row", "order").alias("row")).select("row.*"))
+
+
+def without(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
+    """``docs`` but for those with the given ids, which are sent to all executors if they are few enough."""
+    return docs.join(F.broadcast(ids) if count <= neardup.SENT_IDS else ids, "doc_id", "left_anti")
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has are cut out of ``text``; ``n_chars`` follows."""
     cleaned = substrings.clean(docs, length=50)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.selectExpr(*[f"length(text) as {c}" if c == "n_chars" else f"`{c}`" for c in docs.columns])
-        cleaned = cleaned.withColumn("n_chars", cleaned.n_chars.cast(docs.schema["n_chars"].dataType))
+        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return cleaned
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights whose entropy is 0.95 of the most, within the words there are; documents of
     small sources may come up to four times."""
-    return mixing.mix(docs, entropy_share=0.95, max_repeats=4.0).select(docs.columns)
+    return mixing.mix(docs, entropy_share=0.95, max_repeats=4.0)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -128,20 +128,31 @@ def place(seed: int):
     return F.xxhash64("doc_id", F.lit(seed + 1))
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 18, seed: int = 8, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` (doc_id, source, text) repeated or left out to meet the target weights, with epoch
-    (from 0) and block of each realised row. ``budget`` is in words; None: as many as there are.
-    ``columns`` names what is wanted of ``docs`` (all, if None); n_tokens is on offer too."""
-    tables = Scratch(docs.sparkSession, "mixing")
-    counted = docs.withColumn("n_tokens", word_count())
-    slim = tables.keep(counted.select(F.col("doc_id").cast("long"), "source", "n_tokens"), "slim")
-    plans = plan(slim, tables, budget, entropy_share, max_repeats, block_tokens, seed)
-    rows = counted.select(columns) if columns else docs
-    if columns and "text" not in columns and {"doc_id", "source", "n_tokens"} >= set(columns):
-        rows = slim.select(columns)
-    planned = join_plan(rows, plans.select("source", "epochs", "blocks", "n_full", "upto"), plans.count())
-    planned = planned.withColumn("block", block_rank(seed))
+def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 18, seed: int = 8) -> DataFrame:
+    """Rows of ``docs`` (doc_id, source, text and others) repeated or left out to meet the target
+    weights, unchanged. ``budget`` is in words; None: as many as there are."""
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    return realised(row, *planned(row, budget, entropy_share, max_repeats, block_tokens, seed), seed).select("row.*")
+
+
+def order(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 18, seed: int = 8) -> DataFrame:
+    """The realised mixture without texts: doc_id, source, n_tokens, and epoch (from 0) and block of
+    each row. Read in the order of epoch and block, every source keeps its weight."""
+    row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
+    slim, plans = planned(row, budget, entropy_share, max_repeats, block_tokens, seed)
+    return realised(slim, slim, plans, seed).select("doc_id", "source", "n_tokens", "epoch", "block")
+
+
+def planned(rows: DataFrame, budget: int | None, entropy_share: float, max_repeats: float, block_tokens: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """The documents without texts, and the plan of each source."""
+    tables = Scratch(rows.sparkSession, "mixing")
+    slim = tables.keep(rows.select("doc_id", "source", word_count().alias("n_tokens")), "slim")
+    return slim, plan(slim, tables, budget, entropy_share, max_repeats, block_tokens, seed)
+
+
+def realised(rows: DataFrame, slim: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
+    met = join_plan(rows, plans.select("source", "epochs", "blocks", "n_full", "upto"), plans.count())
+    met = met.withColumn("block", block_rank(seed))
     last = (F.col("block") < F.col("n_full")) | ((F.col("block") == F.col("n_full")) & F.coalesce(place(seed) <= F.col("upto"), F.lit(False)))
-    copies = F.col("epochs") + last.cast("int")
-    out = planned.withColumn("copies", copies).where("copies > 0").withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
-    return out.select(*rows.columns, "epoch", "block")
+    met = met.withColumn("copies", F.col("epochs") + last.cast("int")).where("copies > 0")
+    return met.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))

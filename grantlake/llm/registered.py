@@ -60,7 +60,7 @@ def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs, entropy_share=0.95, max_repeats=4.0, columns=["doc_id", "source", "n_tokens"])
+    return mixing.order(docs, entropy_share=0.95, max_repeats=4.0)
 
 
 @query("op2_products")

@@ -226,13 +226,13 @@ def clean(docs: DataFrame, length: int = 50) -> DataFrame:
 
     Of rows with one doc_id and one text all are treated alike."""
     words = deduplicated(docs, length, with_sha=False).where("n_removed > 0").select("doc_id", "tag", "kept").distinct()
-    tagged = tagged_rows(docs)
-    joined = tagged.join(words.withColumnRenamed("tag", "own_tag").withColumnRenamed("doc_id", "own_id"), (F.col("doc_id") == F.col("own_id")) & (F.col("row_tag") == F.col("own_tag")), "left")
-    return joined.select([F.coalesce("kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    tagged = tagged_rows(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
+    joined = tagged.join(words.withColumnRenamed("doc_id", "id"), ["id", "tag"], "left")
+    return joined.select([F.coalesce("kept", "row.text").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
-def tagged_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with row_tag, the tag of the row's words."""
+def tagged_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` (row, id, text) as row, id and tag, that of the words of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -240,10 +240,10 @@ def tagged_rows(docs: DataFrame) -> DataFrame:
                 words = texts.Words(batch.column("text"), lower=False)
                 hashes = words.hashes(0)
                 tag = [int(texts.fold_hash(hashes[a:b])) & ((1 << TAG_BITS) - 1) if b > a else 0 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tag, pa.int64())], [*batch.schema.names, "row_tag"])
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), pa.array(tag, pa.int64())], ["row", "id", "tag"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", row_tag long"
-    return docs.mapInArrow(run, schema)
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, id long, tag long")
 
 
 def repeat_levels(docs: DataFrame, start: int = 50) -> DataFrame:
