@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, extraction, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
+from . import chat, comparison, extraction, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -14,9 +14,11 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(fn: Query) -> Query:
         QUERIES[name] = fn
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return register
@@ -47,12 +49,12 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-@query("op4_neardup")
+@query("op4_neardup", comparison.NEAR_DUPLICATES)
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(parquet(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
-@query("op6_substrings")
+@query("op6_substrings", comparison.PASSAGES)
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(parquet(spark, sf_dir, "documents"), length=50)
 
@@ -63,7 +65,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.order(docs, entropy_share=0.95, max_repeats=4.0)
 
 
-@query("op2_products")
+@query("op2_products", comparison.PRODUCTS)
 def op2_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return products.largest_products(vecs, vecs.where("vec_id % 20 = 0"), k=20, scale=64.0)
@@ -86,7 +88,7 @@ def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
-@query("op7_chat")
+@query("op7_chat", comparison.CHAT)
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
