@@ -78,38 +78,19 @@ def is_clean(text: Column) -> Column:
 def native_mask(text: Column) -> Column:
     """A call of a source-service mask function as plain SQL over ``val``, else null."""
     call = stripped(text)
-    counted = r"\s*\(\s*\{col\}\s*,\s*(\d+)\s*(?:,.*)?\)"
-    hidden = ["CONCAT(REPEAT('x', GREATEST(0, LENGTH(val) - ", ")), RIGHT(val, ", "))"]
-    shown = ["CONCAT(LEFT(val, ", "), REPEAT('x', GREATEST(0, LENGTH(val) - ", ")))"]
-    first = ["CONCAT(REPEAT('x', ", "), RIGHT(val, GREATEST(0, LENGTH(val) - ", ")))"]
-    last = ["CONCAT(LEFT(val, GREATEST(0, LENGTH(val) - ", ")), REPEAT('x', ", "))"]
-
-    def numbered(name: str, pieces: list[str]) -> tuple[Column, Column]:
-        pattern = f"(?i)^{name}{counted}"
-        number = F.regexp_extract(call, pattern, 1)
-        return call.rlike(pattern), F.concat(
-            F.lit(pieces[0]), number, F.lit(pieces[1]), number, F.lit(pieces[2])
-        )
-
     out = None
-    for test, result in [
-        numbered("mask_show_last_n", hidden),
-        numbered("mask_show_first_n", shown),
-        (call.rlike(r"(?i)^mask_hash\s*\(\s*\{col\}\s*\)"), F.lit("SHA2(val, 256)")),
-        numbered("mask_first_n", first),
-        numbered("mask_last_n", last),
-        (
-            call.rlike(r"(?i)^mask\s*\(\s*\{col\}\s*(?:,.*)?\)"),
-            F.lit("REGEXP_REPLACE(val, '[A-Za-z0-9]', 'x')"),
-        ),
-    ]:
-        out = F.when(test, result) if out is None else out.when(test, result)
+    for pattern, template in rules.MASK_CALLS:
+        value = F.lit(template)
+        if "{n}" in template:
+            value = F.replace(value, F.lit("{n}"), F.regexp_extract(call, pattern, 1))
+        test = call.rlike(pattern)
+        out = F.when(test, value) if out is None else out.when(test, value)
     return out
 
 
 def else_branch(text: Column) -> Column:
     """Text of the ELSE branch when the whole expression is a CASE with one, else null."""
-    pattern = r"(?is)^\s*CASE\s+WHEN\s+.+?\s+THEN\s+.+?\s+ELSE\s+(.+?)\s+END\s*$"
+    pattern = rules.CASE_WITH_ELSE
     return F.when(text.rlike(pattern), stripped(F.regexp_extract(text, pattern, 1)))
 
 
@@ -128,7 +109,7 @@ _DIGITS = r"\d(?:_?\d)*"
 _NUMBER = (
     rf"\s*[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf(?:inity)?|nan)\s*"
 )
-_NUMERIC_TYPES = "DECIMAL|INT|INTEGER|BIGINT|SMALLINT|TINYINT|DOUBLE|FLOAT|REAL|NUMERIC|NUMBER"
+_NUMERIC_TYPES = "|".join(rules.NUMERIC_TYPES)
 BAD_CAST = (
     rf"(?i)CAST\s*\(\s*'(?!{_NUMBER}')([^']*)'\s+AS\s+({_NUMERIC_TYPES})(?:\s*\([^)]*\))?\s*\)"
 )

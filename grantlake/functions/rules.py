@@ -107,3 +107,18 @@ ITEM_TYPES = [
     "tag_set", "tag_grant", "tag_placeholder", "skipped_blank_principal",
 ]
 STATUSES = ["approved", "needs_review", "pending", "rejected"]
+
+# Calls of source-service mask functions, in the order they are tried, and their plain
+# SQL over ``val``. ``{n}`` is the number in the call.
+MASK_CALLS = [
+    (r"(?i)^mask_show_last_n\s*\(\s*\{col\}\s*,\s*(\d+)\s*(?:,.*)?\)", "CONCAT(REPEAT('x', GREATEST(0, LENGTH(val) - {n})), RIGHT(val, {n}))"),
+    (r"(?i)^mask_show_first_n\s*\(\s*\{col\}\s*,\s*(\d+)\s*(?:,.*)?\)", "CONCAT(LEFT(val, {n}), REPEAT('x', GREATEST(0, LENGTH(val) - {n})))"),
+    (r"(?i)^mask_hash\s*\(\s*\{col\}\s*\)", "SHA2(val, 256)"),
+    (r"(?i)^mask_first_n\s*\(\s*\{col\}\s*,\s*(\d+)\s*(?:,.*)?\)", "CONCAT(REPEAT('x', {n}), RIGHT(val, GREATEST(0, LENGTH(val) - {n})))"),
+    (r"(?i)^mask_last_n\s*\(\s*\{col\}\s*,\s*(\d+)\s*(?:,.*)?\)", "CONCAT(LEFT(val, GREATEST(0, LENGTH(val) - {n})), REPEAT('x', {n}))"),
+    (r"(?i)^mask\s*\(\s*\{col\}\s*(?:,.*)?\)", "REGEXP_REPLACE(val, '[A-Za-z0-9]', 'x')"),
+]
+
+# A whole CASE expression with an ELSE branch, and the number types of a cast.
+CASE_WITH_ELSE = r"(?is)^\s*CASE\s+WHEN\s+.+?\s+THEN\s+.+?\s+ELSE\s+(.+?)\s+END\s*$"
+NUMERIC_TYPES = ["DECIMAL", "INT", "INTEGER", "BIGINT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "REAL", "NUMERIC", "NUMBER"]

@@ -67,22 +67,27 @@ def rule_choice(
     mapping: DataFrame | None = None,
     all_principals: bool = False,
     skip_disabled: bool = False,
+    export_id: str | None = None,
 ) -> DataFrame:
     """The rule that counts for the caller, per target column of one table.
 
     One row per (type, column): number of rules that share the target and the chosen body. A lone
-    rule and a merged one differ: see ``rule_bodies``. ``all_principals`` looks at every principal
-    of a rule in place of the first; ``skip_disabled`` leaves disabled policies out. Both are off
-    by default.
+    rule and a merged one differ: see ``rule_bodies``. Rules of all exports count together, in the
+    order of export and place there, unless ``export_id`` names one. ``all_principals`` looks at
+    every principal of a rule in place of the first; ``skip_disabled`` leaves disabled policies
+    out. Both are off by default. ``items`` is read as it is: hand in a staged table if several
+    tables are protected.
     """
     rows = eligible(items).filter(
         F.col("type").isin("row_filter", "column_mask")
         & (F.col("schema") == schema)
         & (F.col("table") == table)
     )
+    if export_id is not None:
+        rows = rows.filter(F.col("export_id") == export_id)
     if skip_disabled:
         rows = rows.filter("enabled")
-    rows = rows.withColumn("rule_seq", F.col("seq"))
+    rows = rows.withColumn("rule_seq", F.struct("export_id", "seq"))
     if all_principals:
         everyone = F.when(F.size("all_principals") > 0, F.col("all_principals")).otherwise(F.array("principal"))
         rows = rows.withColumn("principal", F.explode(everyone))
@@ -100,12 +105,13 @@ def rule_choice(
         guard_code().isNotNull().alias("guarded"),
     )
     hit = F.col("member") & F.col("merged").isNotNull()
+    alone = F.col("member") & ~F.col("guarded")
     chosen = prepared.groupBy("type", "column").agg(
         F.count_distinct("seq").alias("members"),
         F.min_by(F.when(hit, F.col("merged")), F.when(hit, F.col("seq"))).alias("merged"),
-        F.max(F.when(F.col("member") & ~F.col("guarded"), F.col("lone"))).alias("lone"),
+        F.min_by(F.when(alone, F.col("lone")), F.when(alone, F.col("seq"))).alias("lone"),
         F.bool_or(F.col("lone").isNotNull() & ~F.col("guarded")).alias("lone_runs"),
-        F.any_value("kind").alias("kind"),
+        F.min_by("kind", "seq").alias("kind"),
     )
     several = F.col("members") > 1
     return chosen.select(
@@ -160,15 +166,26 @@ def _masked(name: str, rule) -> Column:
     return F.expr(f"CAST({body} AS {kind})").alias(name)
 
 
-def _exceptions_hit(session: Session) -> Column:
-    """Whether the caller is among the deny exceptions (names taken as they are)."""
-    groups = F.array(*[F.lit(g) for g in session.groups]).cast("array<string>")
-    return F.exists(
-        F.coalesce("deny_exceptions", F.array().cast("array<struct<type:string,name:string>>")),
-        lambda e: F.when(e["type"] == "user", resolved_name(e["type"], e["name"]) == session.user).otherwise(
-            F.array_contains(groups, e["name"])
-        ),
-    )
+def without_excepted(rows: DataFrame, session: Session) -> DataFrame:
+    """Rows whose deny exceptions do not name the caller (names are taken as they are).
+
+    Groups given with the session are tested in place. With a membership table the exceptions
+    become rows, meet the caller's groups in a join and lead back by a key.
+    """
+    entries = F.coalesce("deny_exceptions", F.array().cast("array<struct<type:string,name:string>>"))
+    me = F.lit(session.user)
+
+    def by_user(e: Column) -> Column:
+        return (e["type"] == "user") & (resolved_name(e["type"], e["name"]) == me)
+
+    if session.membership is None:
+        groups = F.array(*[F.lit(g) for g in session.groups]).cast("array<string>")
+        return rows.filter(~F.exists(entries, lambda e: by_user(e) | ((e["type"] != "user") & F.array_contains(groups, e["name"]))))
+    left = rows.filter(~F.exists(entries, by_user)).withColumn("__named", F.filter(entries, lambda e: e["type"] != "user"))
+    key = ["export_id", "seq"]
+    named = left.select(*key, F.explode("__named").alias("e")).select(*key, F.col("e.type").alias("kind"), F.col("e.name").alias("name"))
+    excepted = mark_member(named.distinct(), session, "kind", "name").filter("member").select(*key).distinct()
+    return left.drop("__named").join(excepted, key, "left_anti")
 
 
 def co_access_columns(items: DataFrame) -> DataFrame:
@@ -200,7 +217,7 @@ def denied_columns(rows: DataFrame, session: Session, mapping: DataFrame | None
     if users_only_by_name:
         kind = F.when(F.col("principal_type") == "group", "group").otherwise("user")
         named = named.withColumn("principal_type", kind)
-    hit = mark_member(named, session).filter(F.col("member") & ~_exceptions_hit(session))
+    hit = without_excepted(mark_member(named, session).filter("member"), session)
     return hit.select("schema", "table", "column").distinct()
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from ..sources import exports
 from .items import resource_items
+from .stage import stage
 from .tags import tag_items, tag_set_items
 
 
@@ -25,8 +26,9 @@ def policy_items(
 
 
 def items_of_documents(documents: DataFrame, catalog: str = "main") -> DataFrame:
-    """Item fact straight from ``(export_id, document)`` rows."""
-    opened = exports.open_documents(documents)
+    """Item fact straight from ``(export_id, document)`` rows. Documents are parsed once: three kinds
+    of rows are read from what was opened."""
+    opened = stage(exports.open_documents(documents))
     return policy_items(
         exports.policy_rows(opened),
         exports.tag_resources(opened),

@@ -36,6 +36,7 @@ CATEGORIES = {
     "conditions": ("warning", "Policy Conditions (Not Translated)"),
 }
 FROM_WARNINGS = ["deny_all_else", "validity_schedule", "blank_principal", "conditions"]
+#: Fixed value: how many disabled policies a report lists unless told otherwise.
 DISABLED_PREVIEW = 10
 REMEDIATION = {
     "deny": "Move the data into schemas with restricted grants, or use row filters and masks.",
@@ -169,17 +170,25 @@ def gap_summary(gaps: DataFrame) -> DataFrame:
     )
 
 
-def listed_gaps(gaps: DataFrame) -> DataFrame:
-    """Gap rows as a report lists them: all, but only the first ten disabled ones per export.
+def listed_gaps(gaps: DataFrame, disabled_preview: int | None = DISABLED_PREVIEW) -> DataFrame:
+    """Gap rows as a report lists them: all, but only the first disabled ones per export (None: all).
 
-    The row limit is applied before and after the shuffle, so a large group sends ten rows per
-    task and no more.
+    The row limit is applied before and after the shuffle, so a large group sends that many rows
+    per task and no more. ``unlisted_gaps`` counts what is left out.
     """
+    if disabled_preview is None:
+        return gaps
     window = Window.partitionBy("export_id").orderBy("seq")
     disabled = (
         gaps.filter(F.col("category") == "disabled")
         .withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= DISABLED_PREVIEW)
+        .filter(F.col("rank") <= disabled_preview)
         .drop("rank")
     )
     return gaps.filter(F.col("category") != "disabled").unionByName(disabled)
+
+
+def unlisted_gaps(summary: DataFrame, disabled_preview: int | None = DISABLED_PREVIEW) -> DataFrame:
+    """Categories of ``gap_summary`` that ``listed_gaps`` shows in part, with the number left out."""
+    more = F.col("items") - F.lit(disabled_preview if disabled_preview is not None else 2**62)
+    return summary.filter((F.col("category") == "disabled") & (more > 0)).withColumn("unlisted", more)

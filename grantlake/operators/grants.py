@@ -100,18 +100,19 @@ def granting_items(items: DataFrame, mapping: DataFrame | None = None) -> DataFr
 
 
 def effective_grants(
-    items: DataFrame, tables: DataFrame, mapping: DataFrame | None = None, catalog: str = "main"
+    items: DataFrame, tables: DataFrame, mapping: DataFrame | None = None, catalog: str = "main", direct: bool = True
 ) -> DataFrame:
     """Distinct (export, principal, securable type, securable, privilege) of all items.
 
     ``tables`` lists (schema, table) of the target catalog; pattern and whole-schema grants are
-    resolved against it.
+    resolved against it. With ``direct=False`` only what comes from the listing is returned.
     """
     needed = ["export_id", "principal_name", "scope", "schema", "table", "path", "udf_name", "privileges"]
-    # Read five times below, so the joins behind it run once.
-    rows = stage(granting_items(items, mapping).select(needed))
+    # Read five times below, so the joins behind it run once. Items that say the same are one before
+    # they are expanded: grants repeat over policies, and each may become many rows.
+    rows = stage(granting_items(items, mapping).select(needed).distinct())
     cat = F.lit(catalog)
-    parts = [rows.withColumn("grants", direct_grants(cat))]
+    parts = [rows.withColumn("grants", direct_grants(cat))] if direct else []
 
     in_pattern = tables_for_patterns(rows.filter(F.col("scope") == "table_pattern"), tables)
     parts.append(

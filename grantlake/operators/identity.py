@@ -166,6 +166,17 @@ def rules_of_user(items: DataFrame, membership: DataFrame, user: str) -> DataFra
     return by_name.unionByName(by_group.select(by_name.columns))
 
 
+def covered_counts(items: DataFrame, membership: DataFrame) -> DataFrame:
+    """How many users each group or role item covers, and the first of them: (export_id, seq, members,
+    first_user). Groups are counted before they meet items, so a group that everybody uses moves as
+    one row."""
+    groups = membership.groupBy(F.col("group").alias("principal_name")).agg(
+        F.count_distinct("user").alias("members"), F.min("user").alias("first_user")
+    )
+    rows = items.filter(F.col("principal_type") != "user").join(groups, "principal_name")
+    return rows.select("export_id", "seq", "members", "first_user")
+
+
 def covered_members(items: DataFrame, membership: DataFrame) -> DataFrame:
     """Users each group or role item covers: (export_id, seq, user)."""
     return (

@@ -46,13 +46,13 @@ def approve_valid(items: DataFrame) -> DataFrame:
 
 
 def decide(items: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Set single statuses: ``decisions`` has export_id, id, status.
+    """Set single statuses: ``decisions`` has export_id, id, status and may have ``order``.
 
-    Where an id occurs more than once in an export, only its first item changes.
+    Where an id occurs more than once in an export, only its first item changes. Of several
+    decisions on one id the last in ``order`` counts (then, or without it, the last by status).
     """
-    chosen = decisions.select("export_id", "id", F.col("status").alias("decided")).dropDuplicates(
-        ["export_id", "id"]
-    )
+    order = F.struct("order", "status") if "order" in decisions.columns else F.col("status")
+    chosen = decisions.groupBy("export_id", "id").agg(F.max_by("status", order).alias("decided"))
     targets = (
         items.join(chosen, ["export_id", "id"])
         .groupBy("export_id", "id")

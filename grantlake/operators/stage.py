@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,18 @@ DIR_KEY = "spark.checkpoint.dir"
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """Shared folder for stages, as the session names it. Only a local session may go without."""
+    """Shared folder for stages, as the session names it.
+
+    Only a session in one process may go without. It then gets a folder of its own, which goes with
+    the process.
+    """
     named = spark.conf.get(DIR_KEY, None) or spark.sparkContext.getConf().get(DIR_KEY, None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError(f"set {DIR_KEY} to a folder that all executors reach")
     made = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set(DIR_KEY, made)
     return made
 

@@ -17,12 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rows of a small file over all cores; a scan of many splits is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def _sub(groups="array()", users="array()", roles="array()", accesses="array()", delegate="false",
          conditions="null", row_filter="null", mask="null") -> str:
     return (
@@ -125,7 +119,8 @@ def order_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS st", "o_orderpriority AS pr"
     )
-    return spread(keys, "k").selectExpr(
+    # Keys only: a policy grows a thousandfold from them.
+    return keys.repartition("k").selectExpr(
         "concat('svc', c % 7) AS export_id", "'hive' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -310,7 +305,7 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = f"concat('{{', {head}, '\"policies\":', {policies}, '}}')"
     document = (
-        f"CASE WHEN k % 50 = 49 THEN concat('{{broken ', k) WHEN k % 8 = 5 THEN {policies} "
+        f"CASE WHEN k % 50 = 49 THEN concat('{{broken ', k) WHEN k % 8 = 5 THEN concat(CASE WHEN k % 16 = 5 THEN '\\n\\t ' ELSE '' END, {policies}) "
         f"WHEN k % 8 = 6 THEN concat('{{\"testCases\":[{{\"name\":\"x\",\"servicePolicies\":', {body}, '}}]}}') ELSE {body} END"
     )
     return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS nm").selectExpr(

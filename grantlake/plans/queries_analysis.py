@@ -135,13 +135,14 @@ def identity_edits(spark, sf):
 
 
 @query("group_members", "J17", """
-SELECT o_orderkey AS seq, c_name AS "user" FROM orders JOIN customer ON c_custkey % 20 = o_custkey % 20 WHERE o_orderkey % 16 = 1""")
+WITH g AS (SELECT c_custkey % 20 AS g, count(*) AS members, min(c_name) AS first_user FROM customer GROUP BY 1)
+SELECT o_orderkey AS seq, members, first_user FROM orders JOIN g ON g = o_custkey % 20""")
 def group_members(spark, sf):
-    rules = B.table(spark, sf, "orders").filter("o_orderkey % 16 = 1").selectExpr(
+    rules = B.table(spark, sf, "orders").selectExpr(
         "'svc' AS export_id", "o_orderkey AS seq", "'group' AS principal_type",
         "concat('g', o_custkey % 20) AS principal_name",
     )
-    return identity.covered_members(rules, B.membership(spark, sf)).select("seq", "user")
+    return identity.covered_counts(rules, B.membership(spark, sf)).select("seq", "members", "first_user")
 
 
 @query("rules_of_user", "J17", """

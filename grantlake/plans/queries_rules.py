@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import expressions as X
+from ..functions import rules, expressions as X
 from ..functions import masks, naming
 from ..operators import enforce, grants, wildcards
 from ..operators.identity import map_principals
@@ -128,12 +128,7 @@ def stamped_names(spark, sf):
 
 # Expressions ----------------------------------------------------------------------------------
 
-WORDS = ", ".join(
-    f"'{w}'" for w in (
-        "select from where and or not in like is null true false between case when then else end if exists all any some "
-        "union intersect except current_user current_date current_timestamp current_schema is_account_group_member"
-    ).split()
-)
+WORDS = ", ".join(f"'{w}'" for w in rules.FILTER_WORDS)
 
 
 @query("filter_columns", "X1", f"""
@@ -143,7 +138,7 @@ u AS (SELECT doc_id, unnest(names) AS nm, generate_subscripts(names, 1) AS pos F
 f AS (SELECT doc_id, nm, min(pos) AS pos FROM u GROUP BY ALL)
 SELECT d.doc_id, count(nm) AS names, coalesce(md5(string_agg(nm, ',' ORDER BY pos)), md5('')) AS names_md5 FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id""")
 def filter_columns(spark, sf):
-    found = B.spread(B.table(spark, sf, "documents").select("doc_id", "text"), "doc_id").select("doc_id", X.filter_columns(F.col("text")).alias("found"))
+    found = B.table(spark, sf, "documents").select("doc_id", X.filter_columns(F.col("text")).alias("found"))
     return found.select(
         "doc_id", F.size("found").cast("bigint").alias("names"), F.md5(F.array_join("found", ",")).alias("names_md5")
     )
@@ -314,6 +309,29 @@ def co_access_denied_columns(spark, sf):
     return enforce.denied_columns(enforce.co_access_columns(items), _caller(), users_only_by_name=True)
 
 
+def _caller_by_membership(spark, sf) -> enforce.Session:
+    """The same caller, whose groups come from the membership table."""
+    caller = _caller()
+    groups = ", ".join(f"'{g}'" for g in caller.groups)
+    mine = B.table(spark, sf, "region").selectExpr(f"'{caller.user}' AS user", f"explode(array({groups})) AS group").distinct()
+    return enforce.Session(caller.user, membership=B.membership(spark, sf).unionByName(mine))
+
+
+@query("co_access_denied_by_membership", "E13", FLEET + f"""
+SELECT DISTINCT "schema", "table", "column" FROM (SELECT *, unnest(['c1', 'c2']) AS "column" FROM eligible WHERE co_access) WHERE {CALLER} AND NOT {EXEMPT}""")
+def co_access_denied_by_membership(spark, sf):
+    items = resource_items(B.order_policies(spark, sf))
+    return enforce.denied_columns(enforce.co_access_columns(items), _caller_by_membership(spark, sf), users_only_by_name=True)
+
+
+@query("denied_pattern_by_membership", "E15", DENIED + f"""
+SELECT DISTINCT "schema", "table", "column" FROM denied WHERE {CALLER} AND NOT {EXEMPT}""")
+def denied_pattern_by_membership(spark, sf):
+    items = resource_items(B.order_policies(spark, sf))
+    rows = enforce.deny_pattern_columns(items, B.target_columns(spark, sf))
+    return enforce.denied_columns(rows, _caller_by_membership(spark, sf))
+
+
 # Enforcement ----------------------------------------------------------------------------------
 
 
@@ -324,7 +342,7 @@ def rule_items(spark: SparkSession, schema: str, table: str, rules: list[dict])
         kind, name = r["who"].split(":", 1)
         rows.append(
             (
-                "rules", seq, f"r{seq}", "column_mask" if "column" in r else "row_filter", schema, table,
+                r.get("export", "rules"), r.get("seq", seq), f"r{seq}", "column_mask" if "column" in r else "row_filter", schema, table,
                 [r["column"]] if "column" in r else None, (kind, name), r.get("filter"), r.get("mask"), r.get("expr"),
                 True, "needs_review",
             )
@@ -369,6 +387,19 @@ def row_filter_member(spark, sf):
     return _secured(spark, sf, "lineitem", [{"who": "user:ana", "filter": "l_returnflag = 'R' AND l_quantity > 40"}])
 
 
+@query("rules_of_two_exports", "E1 E2 E12", """
+SELECT * REPLACE (sha256(o_orderpriority) AS o_orderpriority) FROM orders WHERE o_orderstatus = 'F'""")
+def rules_of_two_exports(spark, sf):
+    """Two exports have a filter and a mask each for one table, at the same place: they are merged, and
+    the first one that names the caller counts."""
+    return _secured(spark, sf, "orders", [
+        {"export": "b", "seq": 1, "who": "group:emea", "filter": "o_totalprice > 0"},
+        {"export": "a", "seq": 1, "who": "group:analysts", "filter": "o_orderstatus = 'F'"},
+        {"export": "b", "seq": 2, "who": "group:analysts", "column": "o_orderpriority", "mask": "MASK_NONE"},
+        {"export": "a", "seq": 2, "who": "group:emea", "column": "o_orderpriority", "mask": "MASK_HASH"},
+    ])
+
+
 @query("row_filter_others", "E1", "SELECT * FROM supplier")
 def row_filter_others(spark, sf):
     return _secured(spark, sf, "supplier", [{"who": "user:bob", "filter": "s_nationkey = 1"}])
@@ -469,10 +500,27 @@ def text_masks(spark, sf):
 
 
 @query("hidden_columns", "E13 E15", """
-SELECT o_orderkey, CAST(NULL AS VARCHAR) AS o_orderstatus, o_totalprice FROM orders""")
+WITH me AS (SELECT min(c_name) AS nm FROM customer),
+mine AS (SELECT DISTINCT c_mktsegment AS g FROM customer, me WHERE c_name = nm)
+SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM mine WHERE g IN ('BUILDING', 'MACHINERY')) THEN o_orderstatus END AS o_orderstatus,
+  CASE WHEN EXISTS (SELECT 1 FROM mine WHERE g IN ('FURNITURE', 'AUTOMOBILE', 'HOUSEHOLD')) THEN CAST(o_totalprice AS VARCHAR) END AS o_totalprice FROM orders""")
 def hidden_columns(spark, sf):
-    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    hidden = B.table(spark, sf, "region").selectExpr("'sales' AS schema", "'orders' AS table", "'o_orderstatus' AS column")
+    """Columns hidden by deny rows of every segment, for the first customer: one column spares two
+    segments by exception, the other is denied to these two only."""
+    members = B.membership(spark, sf)
+    first = members.agg(F.min("user").alias("user"))
+    mine = members.join(first, "user", "left_semi").selectExpr("'me' AS user", "group")
+    caller = enforce.Session("me", membership=mine)
+    spared = "array(named_struct('type', 'group', 'name', 'BUILDING'), named_struct('type', 'group', 'name', 'MACHINERY'))"
+    segments = B.table(spark, sf, "customer").select("c_mktsegment").distinct()
+    head = ["'rules' AS export_id", "xxhash64(c_mktsegment) AS seq", "'sales' AS schema", "'orders' AS table",
+            "named_struct('type', 'group', 'name', c_mktsegment) AS principal"]
+    status = segments.selectExpr(*head, "'o_orderstatus' AS column", f"{spared} AS deny_exceptions")
+    price = segments.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").selectExpr(
+        *head, "'o_totalprice' AS column", "CAST(array() AS ARRAY<STRUCT<type: STRING, name: STRING>>) AS deny_exceptions"
+    )
+    hidden = enforce.denied_columns(status.unionByName(price), caller)
+    orders = B.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.col("o_totalprice").cast("string").alias("o_totalprice"))
     return enforce.hide_columns(orders, hidden, "sales", "orders")
 
 

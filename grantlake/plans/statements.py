@@ -401,14 +401,15 @@ def script_lines(
     )
     out = header.unionByName(noted).unionByName(merged).unionByName(plain).unionByName(patterns)
     if tables is not None:
-        effective = grants.effective_grants(items, tables, mapping, catalog)
+        # Direct grants are among the statements of their items already.
+        effective = grants.effective_grants(items, tables, mapping, catalog, direct=False)
         out = out.unionByName(_rows(effective, ITEM + 1, 0, 0, _lines(grants.grant_statement())))
     return out
 
 
 def gap_report_lines(summary: DataFrame, gaps: DataFrame, scores: DataFrame) -> DataFrame:
     """Gap report as ordered lines: summary first, then each category with its rows."""
-    from ..operators.gaps import REMEDIATION, category_order, listed_gaps
+    from ..operators.gaps import REMEDIATION, category_order, listed_gaps, unlisted_gaps
     from ..functions.principals import lookup
 
     top = _lines(
@@ -433,4 +434,5 @@ def gap_report_lines(summary: DataFrame, gaps: DataFrame, scores: DataFrame) ->
         _rows(scores, HEADER, 0, 0, top)
         .unionByName(_rows(summary, ITEM, F.col("position"), FIRST, heads))
         .unionByName(_rows(listed_gaps(gaps), ITEM, category_order(F.col("category")), F.col("seq"), rows))
+        .unionByName(_rows(unlisted_gaps(summary), ITEM, F.col("position"), LAST, _lines(_text("  ... and ", F.col("unlisted").cast("string"), " more"))))
     )

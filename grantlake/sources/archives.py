@@ -30,8 +30,11 @@ ARCHIVE = (
     "generatedSQL:string,source_file:string,notes:string>"
 )
 PARSED = (
-    "struct<serviceName:string,serviceType:string,clusterName:string,totalRangerPolicies:bigint>"
+    "struct<serviceName:string,serviceType:string,clusterName:string,totalRangerPolicies:bigint,"
+    "warnings:string,identities:string,kerberosIssues:string>"
 )
+#: Lists of a parsed export that an archive keeps as they are.
+KEPT_LISTS = ["warnings", "identities", "kerberosIssues"]
 ITEM_FIELDS = {
     "id": "id", "policy_id": "rangerPolicyId", "policy_name": "rangerPolicyName",
     "policy_desc": "rangerPolicyDesc", "type": "type", "catalog": "catalog", "schema": "schema",
@@ -46,10 +49,14 @@ ITEM_FIELDS = {
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Archive files as (archive, document, size_kb)."""
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    """Archives of a folder as (archive, document, size_kb): files as they are, and those that
+    ``save_archives`` has written to a folder each."""
+    text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}")
+    saved = F.regexp_extract("_metadata.file_path", "/archive=([^/]*)/[^/]*$", 1)
+    # A folder name is escaped once by the writer and once more in the file's address.
+    name = F.url_decode(F.url_decode(F.replace(saved, F.lit("+"), F.lit("%2B"))))
     return text.select(
-        F.col("_metadata.file_name").alias("archive"),
+        F.when(saved != "", name).otherwise(F.col("_metadata.file_name")).alias("archive"),
         F.col("value").alias("document"),
         (F.col("_metadata.file_size") / 1024).alias("size_kb"),
     )
@@ -84,6 +91,7 @@ def normalised(documents: DataFrame) -> DataFrame:
         F.coalesce(items, no_items).alias("items"),
         F.when(nested, F.col("a.identity_map")).otherwise(F.col("a.identityMap")).alias("identity_map"),
         F.when(nested, F.col("a.generated_sql")).otherwise(F.col("a.generatedSQL")).alias("generated_sql"),
+        F.when(nested, F.struct(*[F.col(f"inner.{c}") for c in KEPT_LISTS])).alias("kept_lists"),
     )
     return shaped.drop("document")
 
@@ -148,6 +156,13 @@ def archive_name(label: Column, stamp: Column | None = None) -> Column:
     return F.concat(base, F.lit(".json")) if stamp is None else F.concat(base, F.lit("_"), stamp, F.lit(".json"))
 
 
+def _kept_lists(sessions: DataFrame) -> list[Column]:
+    """The lists of parsed data that are passed on, as JSON values."""
+    if "kept_lists" not in sessions.columns:
+        return []
+    return [F.try_parse_json(F.col(f"kept_lists.{c}")).alias(c) for c in KEPT_LISTS]
+
+
 def archive_documents(sessions: DataFrame) -> DataFrame:
     """Sessions as archive documents (nested form): (archive, document).
 
@@ -160,6 +175,7 @@ def archive_documents(sessions: DataFrame) -> DataFrame:
         F.col("cluster_name").alias("clusterName"),
         F.col("total_policies").alias("totalRangerPolicies"),
         F.col("items").alias("results"),
+        *_kept_lists(sessions),
     )
     body = F.struct(
         metadata.alias("metadata"),
@@ -172,13 +188,15 @@ def archive_documents(sessions: DataFrame) -> DataFrame:
 
 
 def save_archives(sessions: DataFrame, path: str) -> None:
-    """Append sessions as archive documents. An empty frame is an error: nothing is loaded."""
+    """Write sessions as archive documents, in place of those of the same name; others stay. An empty
+    frame is an error: nothing is loaded."""
     if sessions.isEmpty():
         raise ValueError("no policies loaded to archive")
     (
         archive_documents(sessions)
         .select("archive", F.col("document").alias("value"))
-        .write.mode("append")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("archive")
         .text(path)
     )
@@ -192,6 +210,7 @@ def bundle_parts(archives: DataFrame) -> dict[str, DataFrame]:
         F.col("service_type").alias("serviceType"),
         F.col("cluster_name").alias("clusterName"),
         F.col("total_policies").alias("totalRangerPolicies"),
+        *_kept_lists(archives),
     )
     texts = {
         "metadata": F.to_json(metadata),
@@ -204,6 +223,6 @@ def bundle_parts(archives: DataFrame) -> dict[str, DataFrame]:
 
 
 def write_bundle(archives: DataFrame, path: str) -> None:
-    """Write each part to its own folder, one sub-folder per archive."""
+    """Write each part to its own folder, one sub-folder per archive. Bundles of other archives stay."""
     for name, part in bundle_parts(archives).items():
-        part.write.mode("overwrite").partitionBy("archive").text(f"{path}/{name}")
+        part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("archive").text(f"{path}/{name}")

@@ -47,13 +47,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def begins_list(text: Column) -> Column:
+    """Whether a JSON text is a list, after any of the four white-space characters of JSON."""
+    return text.rlike(r"^[ \t\r\n]*\[")
+
+
 def invalid_documents(documents: DataFrame) -> DataFrame:
     return documents.filter(F.try_parse_json("document").isNull())
 
 
 def open_documents(documents: DataFrame) -> DataFrame:
     """Valid documents as ``(export_id, is_array, body)`` with the export wrapper taken off."""
-    is_array = F.ltrim("document").startswith("[")
+    is_array = begins_list(F.col("document"))
     bare_list = F.from_json(
         F.concat(F.lit('{"policies":'), F.col("document"), F.lit("}")), ROOT
     )
@@ -150,7 +155,7 @@ def tag_resources(opened: DataFrame) -> DataFrame:
 
 def split_tag_resources(entries: DataFrame) -> DataFrame:
     """``(export_id, res_pos, path, tags)`` with ``tags`` as written to one row per tag."""
-    listed = F.ltrim("tags").startswith("[")
+    listed = begins_list(F.col("tags"))
     names = F.when(listed, F.from_json("tags", "array<string>")).otherwise(F.array("tags"))
     parts = F.split("path", r"\.")
     return (
@@ -189,7 +194,7 @@ def tag_definitions(opened: DataFrame) -> DataFrame:
     ).cast(pairs)
     rows = opened.select(
         "export_id",
-        F.posexplode(F.when(F.ltrim(raw).startswith("["), listed).otherwise(keyed)).alias("pos", "d"),
+        F.posexplode(F.when(begins_list(raw), listed).otherwise(keyed)).alias("pos", "d"),
     )
     last = rows.groupBy("export_id", F.col("d.tag").alias("tag")).agg(
         F.max_by("d.attrs", "pos").alias("attrs")

@@ -12,7 +12,7 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write ordered lines as text, one folder per export.
 
     Rows are range-partitioned by their sort key, so file order is line order and a large export
-    is written by many tasks.
+    is written by many tasks. Scripts of other exports in the folder stay.
     """
     key = ["export_id", "part", "block", "sub", "line_no", "line"]
     (
@@ -20,6 +20,7 @@ def write_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
         .sortWithinPartitions(*key)
         .select("export_id", F.col("line").alias("value"))
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy("export_id")
         .text(path)
     )
@@ -31,11 +32,15 @@ def landing_name(name):
 
 
 def land_documents(documents: DataFrame, path: str) -> None:
-    """Append raw documents as they are, one folder per document name."""
+    """Append raw documents as they are, one folder per document name.
+
+    The name is cut and cleaned, so it is a label only; a hash of the whole id keeps documents apart
+    whose labels are the same.
+    """
     (
-        documents.select(landing_name(F.col("export_id")).alias("name"), F.col("document").alias("value"))
+        documents.select(landing_name(F.col("export_id")).alias("name"), F.sha2("export_id", 256).alias("id"), F.col("document").alias("value"))
         .write.mode("append")
-        .partitionBy("name")
+        .partitionBy("name", "id")
         .option("lineSep", "\u001e\n")
         .text(path)
     )

@@ -138,3 +138,21 @@ def test_hide_columns(spark, people):
     hidden = spark.createDataFrame([("hr", "people", "pay"), ("hr", "other", "name")], "schema string, table string, column string")
     got = enforce.hide_columns(people, hidden, "hr", "people").first()
     assert got.pay is None and got.name == "alice"
+
+
+def test_rules_of_several_exports(people):
+    """The same place in two exports is not one rule; the export's name decides who comes first."""
+    rules = [
+        {"export": "b", "seq": 1, "who": "group:b", "filter": "id > 2"},
+        {"export": "a", "seq": 1, "who": "group:b", "filter": "id = 1"},
+    ]
+    assert [r.id for r in secured(people, rules, BOB)] == [1]
+    assert [r.id for r in secured(people, rules, BOB, export_id="b")] == [3]
+
+
+def test_exceptions_by_membership(spark):
+    rows = [("e", k, "s", "t", f"c{k}", ("group", "b"), [("group", g)]) for k, g in enumerate(["b", "z"])] + [("e", 9, "s", "t", "c9", ("group", "b"), None)]
+    denied = spark.createDataFrame(rows, "export_id string, seq long, schema string, table string, column string, principal struct<type:string,name:string>, deny_exceptions array<struct<type:string,name:string>>")
+    members = spark.createDataFrame([(BOB.user, "b")], "user string, group string")
+    for session in (BOB, enforce.Session(BOB.user, membership=members)):
+        assert sorted(r.column for r in enforce.denied_columns(denied, session).collect()) == ["c1", "c9"]

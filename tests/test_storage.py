@@ -39,12 +39,33 @@ def test_landing_appends(spark, folder, tmp_path):
     documents = exports.read_documents(spark, str(folder))
     for _ in range(2):
         sinks.land_documents(documents.filter("export_id = 'one'"), str(tmp_path / "landing"))
-    assert len(list((tmp_path / "landing" / "name=user_one").glob("part-*"))) == 2
+    assert len(list((tmp_path / "landing" / "name=user_one").glob("id=*/part-*"))) == 2
+
+
+def test_landing_keeps_documents_apart(spark, tmp_path):
+    names = ["a b", "a_b", "x" * 90, "x" * 90 + "y"]
+    documents = spark.createDataFrame([(n, f"document {k}") for k, n in enumerate(names)], "export_id string, document string")
+    sinks.land_documents(documents, str(tmp_path / "landing"))
+    folders = [sorted(f.read_text() for f in d.glob("part-*")) for d in (tmp_path / "landing").glob("name=*/id=*")]
+    assert len(folders) == 4 and all(len(f) == 1 for f in folders)
+
+
+def test_lists_after_white_space_are_read(spark):
+    documents = spark.createDataFrame([("n", "\n\t [" + json.dumps(GRANTS["policies"][0]) + "]")], "export_id string, document string")
+    headers = exports.export_headers(exports.open_documents(documents)).first()
+    assert headers.total_policies == 1 and headers.service_type == "hive"
+
+
+def test_last_decision_counts(spark, folder):
+    items = stage(items_of_documents(exports.read_documents(spark, str(folder))))
+    one = items.first()
+    decisions = spark.createDataFrame([(one.export_id, one.id, s, k) for k, s in ((2, "rejected"), (3, "approved"), (1, "needs_review"))], "export_id string, id string, status string, order int")
+    assert review.decide(items, decisions).filter((items.export_id == one.export_id) & (items.id == one.id)).orderBy("seq").first().status == "approved"
 
 
 def test_archives_round_trip(spark, tmp_path):
     rows = [
-        ("a.json", json.dumps({"metadata": {"service_name": "s"}, "parsed_data": {"serviceType": "hdfs"}, "policy_items": [{"id": "1", "type": "grant"}], "identity_map": {"x": "y"}})),
+        ("a.json", json.dumps({"metadata": {"service_name": "s"}, "parsed_data": {"serviceType": "hdfs", "warnings": [{"code": "w"}], "identities": ["i"]}, "policy_items": [{"id": "1", "type": "grant"}], "identity_map": {"x": "y"}})),
         ("b.json", json.dumps({"serviceName": "old", "policyItems": [{"id": "1", "type": "deny"}, {"id": "2", "type": "deny"}]})),
         ("c.json", "not json"),
     ]
@@ -52,13 +73,17 @@ def test_archives_round_trip(spark, tmp_path):
     shaped = archives.normalised(documents)
     assert {(r.archive, r.form, len(r["items"])) for r in shaped.collect()} == {("a.json", "nested", 1), ("b.json", "flat", 2)}
     archives.save_archives(shaped, str(tmp_path / "arch"))
-    saved = spark.read.text(str(tmp_path / "arch")).withColumnRenamed("value", "document")
-    again = archives.normalised(saved.select("archive", "document"))
+    archives.save_archives(shaped.filter("archive = 'b.json'"), str(tmp_path / "arch"))  # replaces b, leaves a
+    again = stage(archives.normalised(archives.read_archives(spark, str(tmp_path / "arch"))))
+    lists = again.filter("archive = 'a.json'").first().kept_lists
+    assert json.loads(lists.warnings) == [{"code": "w"}] and json.loads(lists.identities) == ["i"] and lists.kerberosIssues is None
     assert {(r.archive, r.service_name, len(r["items"])) for r in again.collect()} == {("a.json", "s", 1), ("b.json", "old", 2)}
     left = archives.delete_archives(again, again.filter("archive = 'a.json'"))
     assert [r.archive for r in left.collect()] == ["b.json"]
-    archives.write_bundle(again, str(tmp_path / "bundle"))
-    assert len(list((tmp_path / "bundle").iterdir())) == 5
+    for name in ("a.json", "b.json"):
+        archives.write_bundle(again.filter(again.archive == name), str(tmp_path / "bundle"))
+    parts = list((tmp_path / "bundle").iterdir())
+    assert len(parts) == 5 and all(len(list(p.glob("archive=*"))) == 2 for p in parts)
 
 
 def test_saving_nothing_is_an_error(spark):
