@@ -9,15 +9,25 @@ symbols gives a symbol of count n the probability (n - 1/2) / T, and an escape q
 shorter by one byte (method D). Symbols of the longer context are excluded there: their counts and
 number leave T and q. Below the empty context, the symbols that are not excluded are equally likely.
 
+Long contexts: where the last ``LONG`` words of a text have a hash that marks an anchor (one in
+``EVERY``), the trie also keeps what followed these words, up to the next anchor. If another learned
+document has the anchor (of several, that of the smallest or largest ``doc_id``), its words are
+predicted one by one with the probability 1 - e each, until one is not met. That word escapes: it
+costs e and is coded as above. The escapes e are estimated from the learned documents, each held
+against the others, for the first, the next three and all later words. A document is never its own
+continuation. So passages that documents share cost little, as in a trie of unbounded depth.
+
 How it is spread: documents are coded in blocks, as numbers into the words of their block, and words
 in blocks likewise, as numbers into the context-symbol pairs of their block. Only the dictionaries of
 blocks are shuffled: words meet the counts of all words, pairs meet the trie, and the values come
 back to their blocks. The trie is a table of (context, symbol, count), summed in each task first; it
-grows with the corpus, is never held in one place and is not broadcast.
+grows with the corpus, is never held in one place and is not broadcast. Anchors are met twice: first as hashes
+alone; only those of several documents are sent with what follows.
 
 Results for odd input: a null or empty text is the end alone; if nothing is learned, all symbols are
-equally likely; repeated rows are learned and scored as often as they occur; an empty table gives no
-rows; columns other than those named pass through in ``keys``.
+equally likely; repeated rows are learned and scored as often as they occur; rows with a null
+``doc_id`` are learned and scored, but have no long contexts; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +44,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from . import texts
 from .scratch import Scratch
+from .substrings import SENT_IDS, of_ids
 
 ORDER = 6
 #: Bytes that a word may hold, and the space.
@@ -43,7 +54,163 @@ SPACE = 32
 BLOCK_TOKENS = 2_000_000
 BLOCK_BYTES = 2 << 20
 
-CODED = "block string, doc_id long, learned boolean, n_tokens long, words binary, counts binary, word binary, number int, seen long"
+#: Words of a long context, one anchor in how many words, and the most words that follow one.
+LONG, EVERY, AHEAD = 8, 16, 48
+#: First word after an anchor, the next three, all later ones: their bounds.
+STEPS = (0, 1, 4)
+TAG = (1 << 40) - 1
+
+CODED = "block string, doc_id long, learned boolean, n_tokens long, gain double, words binary, counts binary, left binary, word binary, number int, seen long"
+
+
+class Anchors:
+    """Anchors of the texts of a slice: the number of the text, the hash of the context, and the place
+    of the word after it. ``tags`` names the rows of one doc_id by their words."""
+
+    def __init__(self, column: pa.Array):
+        words = texts.Words(column, lower=True)
+        self.words, self.hashes = words, words.hashes()
+        runs = texts.run_hashes(self.hashes, LONG)
+        many = np.maximum(words.counts() - LONG + 1, 0)
+        start = texts.ranges(words.first[:-1], many)
+        chosen = (runs[start] >> np.uint64(20)) % np.uint64(EVERY) == 0 if len(start) else np.zeros(0, bool)
+        self.text = np.repeat(np.arange(words.texts), many)[chosen]
+        self.context = runs[start[chosen]].view(np.int64) if len(start) else np.zeros(0, np.int64)
+        self.after = start[chosen] + LONG
+        self.tags = np.array([int(texts.fold_hash(self.hashes[a:b])) & TAG if b > a else 0 for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())], dtype=np.int64)
+
+    def ends(self) -> np.ndarray:
+        """Where the words after each anchor end: at the next anchor, the text's end or after ``AHEAD``."""
+        limit = np.minimum(self.after + AHEAD, self.words.first[1:][self.text])
+        if len(limit) > 1:
+            near = self.text[1:] == self.text[:-1]
+            limit[:-1][near] = np.minimum(limit[:-1][near], self.after[1:][near])
+        return limit
+
+
+def anchors(docs: DataFrame) -> DataFrame:
+    """context, doc_id, tag and learned of every anchor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in texts.slices(whole):
+                found = Anchors(batch.column("text"))
+                at = pa.array(found.text)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found.context), batch.column("doc_id").take(at), pa.array(found.tags[found.text]), batch.column("learned").take(at)], ["context", "doc_id", "tag", "learned"]
+                )
+
+    return docs.where("doc_id is not null").mapInArrow(run, "context long, doc_id long, tag long, learned boolean")
+
+
+def following(rows: DataFrame) -> DataFrame:
+    """What follows the anchors that ``rows`` (doc_id, learned, text, tag, contexts) ask for: context,
+    doc_id, tag, learned, start and the hashes of the words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in texts.slices(whole):
+                found = Anchors(batch.column("text"))
+                ends = found.ends()
+                out: list[list] = [[] for _ in range(6)]
+                ids, learned, tags = (batch.column(c).to_pylist() for c in ("doc_id", "learned", "tag"))
+                bounds = np.searchsorted(found.text, np.arange(batch.num_rows + 1))
+                short = found.hashes.astype("<u4")
+                for k in range(batch.num_rows):
+                    if found.tags[k] != tags[k]:
+                        continue
+                    own = slice(bounds[k], bounds[k + 1])
+                    asked = np.isin(found.context[own], batch.column("contexts")[k].values.to_numpy())
+                    for at in np.flatnonzero(asked) + bounds[k]:
+                        a = int(found.after[at])
+                        for column, value in zip(out, (int(found.context[at]), ids[k], tags[k], learned[k], a - int(found.words.first[k]), short[a : int(ends[at])].tobytes())):
+                            column.append(value)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], ["context", "doc_id", "tag", "learned", "start", "next"])
+
+    return rows.mapInArrow(run, "context long, doc_id long, tag long, learned boolean, start long, next binary")
+
+
+def met_words(own: bytes, other: bytes | None) -> tuple[int, bool]:
+    """How many words are as predicted, and whether one follows that is not."""
+    if other is None:
+        return 0, False
+    a, b = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
+    n = min(len(a), len(b))
+    wrong = np.flatnonzero(a[:n] != b[:n])
+    return (int(wrong[0]), True) if len(wrong) else (n, False)
+
+
+def met(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, tag, learned, start, next, other) with the number of words met, and missed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [met_words(a, b) for a, b in zip(batch.column("next").to_pylist(), batch.column("other").to_pylist())]
+            counts, missed = (list(c) for c in zip(*pairs)) if pairs else ([], [])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("doc_id", "tag", "learned", "start")), pa.array(counts, pa.int64()), pa.array(missed, pa.bool_())], ["doc_id", "tag", "learned", "start", "met", "missed"]
+            )
+
+    return rows.mapInArrow(run, "doc_id long, tag long, learned boolean, start long, met long, missed boolean")
+
+
+def of_step(k: int) -> tuple[Column, Column]:
+    """Words met in a step of ``STEPS``, and whether the missed word lies in it."""
+    low, high = STEPS[k], STEPS[k + 1] if k + 1 < len(STEPS) else 1 << 40
+    inside = F.least(F.greatest(F.col("met") - low, F.lit(0)), F.lit(high - low))
+    return inside, F.col("missed") & (F.col("met") >= low) & (F.col("met") < high)
+
+
+def long_contexts(plain: DataFrame, tables: Scratch) -> DataFrame:
+    """doc_id, tag, the log-probability of what long contexts predict (gain), and the words met: starts
+    and lengths."""
+    every = tables.keep(anchors(plain), "anchors")
+    shared = every.groupBy("context").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.bool_or("learned").alias("any")).where("lo < hi and any")
+    wanted = every.join(shared.select("context"), "context").groupBy("doc_id", "tag").agg(F.collect_set("context").alias("contexts"))
+    wanted = tables.keep(wanted, "wanted")
+    chosen = of_ids(plain, wanted, wanted.count()).join(wanted, "doc_id")
+    after = tables.keep(following(chosen.select("doc_id", "learned", "text", "tag", "contexts")), "following")
+    tables.drop("anchors", "wanted")
+    one = F.struct("doc_id", "start", "next")
+    sources = after.where("learned").groupBy("context").agg(F.min(one).alias("lo"), F.max(one).alias("hi"))
+    other = F.when(F.col("lo.doc_id") != F.col("doc_id"), F.col("lo.next")).when(F.col("hi.doc_id") != F.col("doc_id"), F.col("hi.next"))
+    compared = after.join(sources, "context").withColumn("other", other).where("other is not null")
+    outcome = tables.keep(met(compared.select("doc_id", "tag", "learned", "start", "next", "other")), "met")
+    sums = []
+    for k in range(len(STEPS)):
+        inside, missed = of_step(k)
+        sums += [F.coalesce(F.sum(inside), F.lit(0)), F.count_if(missed)]
+    found = outcome.where("learned").agg(*sums).first()
+    gain = F.lit(0.0)
+    for k in range(len(STEPS)):
+        inside, missed = of_step(k)
+        escape = (found[2 * k + 1] + 0.5) / (found[2 * k] + found[2 * k + 1] + 1)
+        gain = gain + inside * F.lit(math.log10(1 - escape)) + F.when(missed, F.lit(math.log10(escape))).otherwise(0.0)
+    spans = outcome.withColumn("gain", gain).groupBy("doc_id", "tag").agg(F.sum("gain").alias("gain"), F.collect_list(F.struct("start", "met")).alias("spans"))
+    tables.drop("following")
+    return tables.keep(spans, "spans")
+
+
+def tagged(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, learned, text) with the tag of the row's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in texts.slices(whole):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(Anchors(batch.column("text")).tags)], [*batch.schema.names, "tag"])
+
+    return docs.mapInArrow(run, "doc_id long, learned boolean, text string, tag long")
+
+
+def with_spans(plain: DataFrame, spans: DataFrame) -> DataFrame:
+    """All rows of ``plain`` with gain and spans, null where there are none."""
+    ids, count = spans.select("doc_id").distinct(), spans.count()
+    rest = plain.join(F.broadcast(ids) if count <= SENT_IDS else ids, "doc_id", "left_anti")
+    some = tagged(of_ids(plain, spans, count).select("doc_id", "learned", "text")).join(spans, ["doc_id", "tag"], "left")
+    kind = spans.schema["spans"].dataType
+    rest = rest.select("doc_id", "learned", "text", F.lit(None).cast("double").alias("gain"), F.lit(None).cast(kind).alias("spans"))
+    return some.select("doc_id", "learned", "text", "gain", "spans").unionByName(rest)
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -60,10 +227,10 @@ def coded(docs: DataFrame) -> DataFrame:
             block, n = uuid.uuid4().hex, len(number)
             nothing = [None] * n
             yield batch_of([[block] * len(rows), *map(list, zip(*rows)), *([None] * len(rows) for _ in range(3))])
-            yield batch_of([[block] * n, *(nothing for _ in range(5)), list(number), list(range(n)), seen])
+            yield batch_of([[block] * n, *(nothing for _ in range(7)), list(number), list(range(n)), seen])
 
         for batch in batches:
-            for doc, learned, raw in zip(batch.column("doc_id").to_pylist(), batch.column("learned").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            for doc, learned, raw, gain, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "learned")), batch.column("text").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("gain", "spans"))):
                 words = (raw or b"").lower().split()
                 count = Counter(words)
                 count[b""] = 1
@@ -72,7 +239,12 @@ def coded(docs: DataFrame) -> DataFrame:
                 if learned:
                     for k, c in zip(own, count.values()):
                         seen[k] += c
-                rows.append((doc, learned, len(words) + 1, np.array(own, "<i4").tobytes(), np.fromiter(count.values(), "<i4", len(own)).tobytes()))
+                counts = np.fromiter(count.values(), "<i4", len(own))
+                left = counts
+                if spans:
+                    met_here = Counter(itertools.chain.from_iterable(words[x["start"] : x["start"] + x["met"]] for x in spans))
+                    left = np.fromiter((c - met_here[w] for w, c in count.items()), "<i4", len(own))
+                rows.append((doc, learned, len(words) + 1, gain or 0.0, np.array(own, "<i4").tobytes(), counts.tobytes(), left.tobytes()))
                 tokens += len(words) + 1
                 if tokens >= BLOCK_TOKENS:
                     yield from out()
@@ -85,7 +257,7 @@ def coded(docs: DataFrame) -> DataFrame:
 
 def batch_of(columns: list[list]) -> pa.RecordBatch:
     names = [c.split()[0] for c in CODED.split(", ")]
-    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32()}
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64()}
     return pa.RecordBatch.from_arrays([pa.array(v, kinds[c.split()[1]]) for v, c in zip(columns, CODED.split(", "))], names=names)
 
 
@@ -242,9 +414,9 @@ def document_scores(rows: DataFrame, known: DataFrame, total: int, distinct: int
         base = np.log10((seen + 1) / (total + distinct + 1))
         docs = table.filter(pa.array(~is_word))
         out = []
-        for words, counts in zip(docs.column("words").to_pylist(), docs.column("counts").to_pylist()):
+        for words, counts, left, gain in zip(*(docs.column(c).to_pylist() for c in ("words", "counts", "left", "gain"))):
             k, c = np.frombuffer(words, "<i4"), np.frombuffer(counts, "<i4")
-            out.append((int(c[seen[k] > 0].sum()), float(base[k] @ c), float(logp[k] @ c)))
+            out.append((int(c[seen[k] > 0].sum()), float(base[k] @ c), float(logp[k] @ np.frombuffer(left, "<i4")) + gain))
         n_known, base_score, score = zip(*out) if out else ((), (), ())
         return pa.table({
             "doc_id": docs.column("doc_id"), "learned": docs.column("learned"), "n_tokens": docs.column("n_tokens"),
@@ -252,7 +424,7 @@ def document_scores(rows: DataFrame, known: DataFrame, total: int, distinct: int
         })
 
     words = rows.where("word is not null").select("block", "word", "number").join(known, "word")
-    empty = {"words": "binary", "counts": "binary", "doc_id": "long", "learned": "boolean", "n_tokens": "long"}
+    empty = {"words": "binary", "counts": "binary", "left": "binary", "doc_id": "long", "learned": "boolean", "n_tokens": "long", "gain": "double"}
     words = words.select("block", "number", "seen", "logp", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()])
     docs = rows.where("word is null").select("block", *[F.lit(None).cast(t).alias(c) for c, t in {"number": "int", "seen": "long", "logp": "double"}.items()], *empty)
     schema = "doc_id long, learned boolean, n_tokens long, n_known long, base_score double, score double"
@@ -264,7 +436,7 @@ def scores(docs: DataFrame) -> DataFrame:
     learned): the model learns from the rows with ``learned`` and scores all."""
     tables = Scratch(docs.sparkSession, "scoring")
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce("learned", F.lit(False)).alias("learned"), F.col("text").cast("string"))
-    rows = tables.keep(coded(plain), "coded")
+    rows = tables.keep(coded(with_spans(plain, long_contexts(plain, tables))), "coded")
     vocabulary = rows.where("word is not null").groupBy("word").agg(F.sum("seen").alias("seen"))
     vocabulary = tables.keep(vocabulary, "vocabulary")
     total, distinct = vocabulary.where("seen > 0").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count("*")).first()

@@ -68,11 +68,51 @@ def plain_scores(rows):
                 trie.learn(*pair)
             counts.update([*(text or "").encode().lower().split(), b""])
     total, distinct = sum(counts.values()), len(counts)
+    gains = plain_long_contexts(rows)
     out = []
-    for doc, text, _ in rows:
+    for (doc, text, _), (gain, met) in zip(rows, gains):
         words = [*(text or "").encode().lower().split(), b""]
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words)
-        out.append((doc, len(words), sum(counts[w] > 0 for w in words), total, base, trie.score(text, adapt=False)))
+        left = trie.score(text, adapt=False) - sum(trie.score(w.decode(), adapt=False) - trie.score("", adapt=False) for w in met)
+        out.append((doc, len(words), sum(counts[w] > 0 for w in words), total, base, left + gain))
+    return out
+
+
+def plain_long_contexts(rows):
+    """Log-probability of what anchors predict, and the words met, per row."""
+    kept = defaultdict(list)
+    places = []
+    for row, (doc, text, learned) in enumerate(rows):
+        words = (text or "").encode().lower().split() if doc is not None else []
+        hashes = texts.Words(pa.array([text or ""]), lower=True).hashes()
+        runs = texts.run_hashes(hashes, scoring.LONG)
+        at = [k + scoring.LONG for k in range(len(runs)) if (int(runs[k]) >> 20) % scoring.EVERY == 0] if words else []
+        for k, start in enumerate(at):
+            end = min(start + scoring.AHEAD, len(words), at[k + 1] if k + 1 < len(at) else len(words))
+            context, following = tuple(words[start - scoring.LONG : start]), words[start:end]
+            places.append((row, doc, learned, context, following))
+            if learned:
+                kept[context].append((doc, start, following))
+    outcome = []
+    for row, doc, learned, context, following in places:
+        known = sorted(kept[context], key=lambda x: x[:2])
+        other = next((x[2] for x in (known[:1] + known[-1:]) if x[0] != doc), None)
+        if other is not None:
+            n = 0
+            while n < min(len(following), len(other)) and following[n] == other[n]:
+                n += 1
+            outcome.append((row, learned, following[:n], n < min(len(following), len(other))))
+    step = lambda k: sum(k >= low for low in scoring.STEPS) - 1
+    hits, misses = Counter(), Counter()
+    for _, learned, met, missed in outcome:
+        if learned:
+            hits.update(step(k) for k in range(len(met)))
+            misses.update([step(len(met))] if missed else [])
+    escape = [(misses[k] + 0.5) / (hits[k] + misses[k] + 1) for k in range(len(scoring.STEPS))]
+    out = [[0.0, []] for _ in rows]
+    for row, _, met, missed in outcome:
+        out[row][0] += sum(math.log10(1 - escape[step(k)]) for k in range(len(met))) + (math.log10(escape[step(len(met))]) if missed else 0)
+        out[row][1] += met
     return out
 
 
@@ -93,6 +133,12 @@ def test_scores(spark):
 
 def test_scores_odd(spark):
     rows = [(1, None, True), (2, "", False), (3, "a b a", True), (3, "a b a", True), (None, "B c", None), (4, "x" * 3000, False), (5, "\x00\x00 é", True), (6, "\x00\x00\x00", False)]
+    rng = random.Random(1)
+    passage = [f"p{rng.randrange(1000)}" for _ in range(300)]
+    for doc in range(20, 32):
+        a, b = sorted(rng.sample(range(300), 2))
+        rows.append((doc, " ".join([*passage[:a], "other", *passage[a:b], "B" if doc % 2 else "c"]), doc % 3 > 0))
+    rows += [(20, "another text of " + " ".join(passage[40:200]), True), (25, None, True)]
     compare_scores(spark, rows)
     compare_scores(spark, [(1, "nothing learned", False)])
     assert scoring.scores(spark.createDataFrame([], "doc_id long, text string, learned boolean")).count() == 0
