@@ -248,23 +248,27 @@ def star_pairs(placed: DataFrame, number: int) -> DataFrame:
 
 def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Linker) -> DataFrame:
     """Pairs of one bucket in different groups: members outside the bucket's largest group with all
-    members of other groups, as far as sketches and own shingles allow a link."""
+    members of other groups, as far as sketches and own shingles allow a link. A pair that shares
+    several buckets comes from the first of them alone."""
     sized = placed.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = sized.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     open_sets = sets.join(placed.select("node").distinct(), "node")
     single = open_sets.select("node", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"))
     own = single.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     sizes = open_sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left")
-    facts = sizes.join(wanted.select("node", "sketch"), "node")
-    facts = facts.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sketch")
+    keys = placed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    facts = sizes.join(wanted.select("node", "sketch"), "node").join(keys, "node")
+    facts = facts.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sketch", "keys")
     rows = placed.join(main, "key").join(facts, "node")
 
     def side(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "size", "common", "sketch")])
+        return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "main", "size", "common", "sketch", "keys")])
 
     percent = linker.percent
     most = F.least("common_a", "common_b")
     possible = most * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b"))
     left, right = side("a", rows.where("component <> main")), side("b", rows)
-    pairs = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & possible & linker.close())
+    once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("main_b"))
+    first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left.key
+    pairs = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & once & possible & linker.close() & first)
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
