@@ -19,7 +19,10 @@ from __future__ import annotations
 import itertools
 import os
 import string
+import sys
+import types
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,7 +34,8 @@ from . import scratch, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>"
-CACHED_WORDS = 300_000
+#: Words that a worker remembers, over all its tasks (some 200 MB), before it starts anew.
+CACHED_WORDS = 1_000_000
 
 
 class WordTokens:
@@ -54,10 +58,23 @@ class WordTokens:
         self.as_letters = [(chr(x), chr(256 + k)) for k, x in enumerate(hidden) if x >= 128]
         self.clear()
 
+    @classmethod
+    def of_worker(cls, tokenizer_file: str) -> "WordTokens":
+        """The one that earlier tasks of this Python worker have left, if there is one. Code comes anew
+        with each task, so what stays is kept in a module of the worker."""
+        kept = sys.modules.setdefault("kept_by_worker", types.ModuleType("kept_by_worker")).__dict__
+        old = kept.get(tokenizer_file)
+        new = kept[tokenizer_file] = cls.__new__(cls)
+        if old is None:
+            new.__init__(tokenizer_file)
+        else:
+            new.__dict__.update(old.__dict__)
+        return new
+
     def clear(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
-        self.stems: dict[str, list[int]] = {}
-        self.marks: dict[str, list[int]] = {"": []}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
         self.first, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def learn_stems(self, stems: set[str]) -> None:
@@ -68,7 +85,7 @@ class WordTokens:
         for byte, letter in self.as_letters:
             joined = joined.replace(byte, letter)
         merge = self.tokenizer.model.tokenize
-        self.stems.update(zip(fresh, ([t.id for t in merge(w)] for w in joined.split("\n"))))
+        self.stems.update(zip(fresh, (array("I", [t.id for t in merge(w)]).tobytes() for w in joined.split("\n"))))
 
     def learn(self, words: list[bytes]) -> None:
         parts: list[tuple[str, str] | None] = []
@@ -83,14 +100,15 @@ class WordTokens:
         rest = [w.decode() for w, p in zip(words, parts) if not p]
         marks = list({p[1] for p in parts if p}.difference(self.marks))
         encoded = self.tokenizer.encode_batch_fast(rest + marks, add_special_tokens=False)
-        self.marks.update(zip(marks, (e.ids for e in encoded[len(rest) :])))
-        whole = iter(encoded)
+        coded = [array("I", e.ids).tobytes() for e in encoded]
+        self.marks.update(zip(marks, coded[len(rest) :]))
+        whole = iter(coded)
         stems, ends = self.stems, self.marks
-        found = [stems[p[0]] + ends[p[1]] if p else next(whole).ids for p in parts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        found = [stems[p[0]] + ends[p[1]] if p else next(whole) for p in parts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         self.first = np.concatenate((self.first, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(found), np.uint32)))
 
     def encode(self, batch: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and each text's number of ids."""
@@ -110,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, closing_i
     """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordTokens(tokenizer_file)
+        coder = WordTokens.of_worker(tokenizer_file)
         for whole in batches:
             for batch in texts.slices(whole):
                 raw = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
