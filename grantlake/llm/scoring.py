@@ -240,11 +240,11 @@ def coded(docs: DataFrame) -> DataFrame:
                     for k, c in zip(own, count.values()):
                         seen[k] += c
                 counts = np.fromiter(count.values(), "<i4", len(own))
-                left = counts
+                left = None
                 if spans:
                     met_here = Counter(itertools.chain.from_iterable(words[x["start"] : x["start"] + x["met"]] for x in spans))
                     left = np.fromiter((c - met_here[w] for w, c in count.items()), "<i4", len(own))
-                rows.append((doc, learned, len(words) + 1, gain or 0.0, np.array(own, "<i4").tobytes(), counts.tobytes(), left.tobytes()))
+                rows.append((doc, learned, len(words) + 1, gain or 0.0, np.array(own, "<i4").tobytes(), small(counts), small(left)))
                 tokens += len(words) + 1
                 if tokens >= BLOCK_TOKENS:
                     yield from out()
@@ -255,6 +255,17 @@ def coded(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, CODED)
 
 
+def small(counts: np.ndarray | None) -> bytes | None:
+    """Counts as a byte each if all fit, else as four."""
+    if counts is None:
+        return None
+    return counts.astype("<u1" if counts.max(initial=0) < 256 else "<i4").tobytes()
+
+
+def read_small(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, "<u1" if len(raw) == n else "<i4").astype(np.int64)
+
+
 def batch_of(columns: list[list]) -> pa.RecordBatch:
     names = [c.split()[0] for c in CODED.split(", ")]
     kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "int": pa.int32(), "double": pa.float64()}
@@ -292,9 +303,9 @@ def pair_blocks(words: DataFrame) -> DataFrame:
             distinct, number = np.unique(pair, return_inverse=True)
             count = np.bincount(number, weights=np.repeat(np.array(seen, dtype=np.float64), sizes), minlength=len(distinct)).astype(np.int64)
             n = len(distinct)
-            kinds = [pa.string(), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
+            kinds = [pa.string(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int64()]
             names = ["block", "words", "sizes", "numbers", "pair", "number", "seen"]
-            whole = [[block], [held], [sizes.astype("<i4").tobytes()], [number.astype("<i4").tobytes()], [None], [None], [None]]
+            whole = [[block], [b"\n".join(held)], [sizes.astype("<i4").tobytes()], [number.astype("<i4").tobytes()], [None], [None], [None]]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(whole, kinds)], names=names)
             for k in range(0, n, 100_000):
                 m = len(distinct[k : k + 100_000])
@@ -313,7 +324,7 @@ def pair_blocks(words: DataFrame) -> DataFrame:
         if held:
             yield from out()
 
-    return words.mapInArrow(run, "block string, words array<binary>, sizes binary, numbers binary, pair long, number int, seen long")
+    return words.mapInArrow(run, "block string, words binary, sizes binary, numbers binary, pair long, number int, seen long")
 
 
 def pair_length() -> Column:
@@ -391,13 +402,13 @@ def word_scores(blocks: DataFrame, scored: DataFrame) -> DataFrame:
         values = rows.column("logp").fill_null(0.0).to_numpy()
         table[number[number >= 0]] = values[number >= 0]
         whole = int(np.flatnonzero(number < 0)[0])
-        words = rows.column("words")[whole].values
+        words = rows.column("words")[whole].as_py().split(b"\n")  # no word holds a line break
         sizes = np.frombuffer(rows.column("sizes")[whole].as_py(), "<i4")
         each = table[np.frombuffer(rows.column("numbers")[whole].as_py(), "<i4")]
         ends = np.cumsum(sizes)
-        return pa.table({"word": words.cast(pa.binary()), "logp": np.add.reduceat(each, ends - sizes)})
+        return pa.table({"word": pa.array(words, pa.binary()), "logp": np.add.reduceat(each, ends - sizes)})
 
-    filled = blocks.where("pair is not null").join(scored, "pair").select("block", F.lit(None).cast("array<binary>").alias("words"), *[F.lit(None).cast("binary").alias(c) for c in ("sizes", "numbers")], "number", "logp")
+    filled = blocks.where("pair is not null").join(scored, "pair").select("block", *[F.lit(None).cast("binary").alias(c) for c in ("words", "sizes", "numbers")], "number", "logp")
     whole = blocks.where("pair is null").select("block", "words", "sizes", "numbers", F.lit(None).cast("int").alias("number"), F.lit(None).cast("double").alias("logp"))
     return filled.unionByName(whole).groupBy("block").applyInArrow(run, "word binary, logp double")
 
@@ -415,8 +426,9 @@ def document_scores(rows: DataFrame, known: DataFrame, total: int, distinct: int
         docs = table.filter(pa.array(~is_word))
         out = []
         for words, counts, left, gain in zip(*(docs.column(c).to_pylist() for c in ("words", "counts", "left", "gain"))):
-            k, c = np.frombuffer(words, "<i4"), np.frombuffer(counts, "<i4")
-            out.append((int(c[seen[k] > 0].sum()), float(base[k] @ c), float(logp[k] @ np.frombuffer(left, "<i4")) + gain))
+            k = np.frombuffer(words, "<i4")
+            c = read_small(counts, len(k))
+            out.append((int(c[seen[k] > 0].sum()), float(base[k] @ c), float(logp[k] @ (c if left is None else read_small(left, len(k)))) + gain))
         n_known, base_score, score = zip(*out) if out else ((), (), ())
         return pa.table({
             "doc_id": docs.column("doc_id"), "learned": docs.column("learned"), "n_tokens": docs.column("n_tokens"),
