@@ -347,8 +347,12 @@ def train(pages: list[str], seed: int = 9) -> Labeller:
 def sample(pages: DataFrame, count: int = TRAIN_PAGES) -> list[str]:
     """At most ``count`` whole pages, the first by a hash of their address and id."""
     order = F.xxhash64(F.coalesce(F.col("url").cast("string"), F.lit("")), F.col("page_id"))
-    rows = pages.where("html is not null and html <> ''").select("html", order.alias("o"), "page_id").orderBy("o", "page_id").limit(count)
-    return [r.html for r in rows.collect()]
+    rows = pages.where("html is not null and html <> ''").select("html", order.alias("o"))
+    # Hashes first: pages themselves are sent only up to the last one wanted.
+    last = rows.select("o").orderBy("o").limit(count).agg(F.max("o")).first()[0]
+    if last is None:
+        return []
+    return [r.html for r in rows.where(F.col("o") <= last).limit(count).collect()]
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
