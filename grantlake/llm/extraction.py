@@ -352,7 +352,7 @@ def sample(pages: DataFrame, count: int = TRAIN_PAGES) -> list[str]:
     last = rows.select("o").orderBy("o").limit(count).agg(F.max("o")).first()[0]
     if last is None:
         return []
-    return [r.html for r in rows.where(F.col("o") <= last).limit(count).collect()]
+    return [html for _, html in sorted((r.o, r.html) for r in rows.where(F.col("o") <= last).limit(count).collect())]
 
 
 def extract(pages: DataFrame, model: Labeller) -> DataFrame:
