@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, comparison, extraction, langid, mixing, neardup, neighbours, packing, products, scoring, substrings
+from . import chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,7 +81,7 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text", (~held_out).alias("learned"))
-    found = scoring.scores(docs)
+    found = contexts.scores(docs)
     return found.select("doc_id", (~found.learned).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
