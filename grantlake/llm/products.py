@@ -96,8 +96,10 @@ def search(q_ids: np.ndarray, q: np.ndarray, p_ids: np.ndarray, p: np.ndarray, l
             need = np.where(q_len[by_length] > 0, least[by_length] / q_len[by_length], -np.inf)
         prefix = int(np.searchsorted(-p_len, -need.min() * (1 - 1e-9) if need.min() > 0 else np.inf, side="right"))
         score = products(q[by_length], p[:prefix])
-        if score.shape[1] > k + 1:
-            floor = -np.partition(-score, k, axis=1)[:, k]
+        if score.shape[1] > k:
+            # rows of the query's own vec_id are no candidates, however many there are
+            others = np.where(p_ids[None, :prefix] == q_ids[by_length][:, None], score.dtype.type(-LONG_MAX), score)
+            floor = -np.partition(-others, k - 1, axis=1)[:, k - 1]
         else:
             floor = np.full(len(score), -LONG_MAX, dtype=score.dtype)
         rows, columns = np.nonzero(score >= np.maximum(floor, least[by_length])[:, None])

@@ -51,6 +51,16 @@ def test_products(spark):
     assert products.largest_products(vecs.limit(0), vecs.limit(0)).count() == 0
 
 
+def test_products_of_a_repeated_query(spark):
+    """Rows of a query's own vec_id take no place of other rows."""
+    rows = odd_vectors() + [(20, [3.0, -2.0, 4.0, 1.0, 2.0, k / 64]) for k in range(30)]
+    rows = [(i, [3.0, -2.0, 4.0, 1.0, 2.0, 0.0]) if i == 20 and k < 300 else (i, v) for k, (i, v) in enumerate(rows) if not v or max((abs(x) for x in v if x is not None), default=0) < 1e6]
+    vecs = vectors_of(spark, rows)
+    asked = vectors_of(spark, [(20, [3.0, -2.0, 4.0, 1.0, 2.0, 0.0])])
+    got = products.largest_products(vecs, asked, k=5)
+    assert sorted(map(tuple, got.collect())) == plain_products(rows, [(20, [3.0, -2.0, 4.0, 1.0, 2.0, 0.0])], 5)
+
+
 def test_products_table(spark):
     vecs = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     rows = [(r.vec_id, list(r.embedding)) for r in vecs.collect()]
