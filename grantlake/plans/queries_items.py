@@ -179,6 +179,15 @@ def archive_bundle(spark, sf):
     )
 
 
+@query("archive_bundle_parts", "S13")
+def archive_bundle_parts(spark, sf):
+    whole = None
+    for name, part in archives.bundle_parts(_archives(spark, sf)).items():
+        rows = part.withColumn("part", F.lit(name))
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
 @query("archive_items", "S10 A10", ARCHIVES + """
 SELECT archive AS export_id, CAST(i AS BIGINT) AS seq, k || '-grant-' || i AS id, CASE WHEN i % 2 = 0 THEN 'grant' ELSE 'deny' END AS type,
   'db' || ((k + i) % 4) AS "schema", 'g' || i AS principal FROM ai""")

@@ -620,6 +620,11 @@ def advisories(spark, sf):
     return statements.advisories(items).select("export_id", "seq", "code", "detail")
 
 
+@query("fleet_advisories", "R2")
+def fleet_advisories(spark, sf):
+    return statements.advisories(B.fleet_items(spark, sf)).select("export_id", "seq", "type", "code", "detail")
+
+
 @query("script_lines", "R3 S6")
 def script_lines(spark, sf):
     items = stage(B.approved_items(spark, sf))
