@@ -58,3 +58,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(shown + CASE WHEN place = 1 THEN CASE WHEN sys IS NOT NULL AND k > 1 THEN sys_shown ELSE 0 END + CASE WHEN one THEN s1 ELSE 0 END + CASE WHEN two THEN s2 ELSE 0 END ELSE 0 END) AS BIGINT) AS formatted_chars
 FROM x GROUP BY conv_id"""
+
+
+def codes(rounds: int = 6) -> str:
+    """Product codes: ``rounds`` of nearest entries and means, one pair of CTEs each."""
+    nearest = """n{k} AS MATERIALIZED (SELECT p.row, p.vec_id, p.label, p.part, p.v, list_min([struct_pack(d := list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(p.v, c.v)]), e := c.entry) FOR c IN b.entries]) AS best
+  FROM p JOIN b{k} b USING (part))"""
+    means = """m{k} AS (SELECT part, entry, list(x ORDER BY place) AS v FROM (
+  SELECT part, best.e AS entry, place, CAST(floor(sum(v[place]) / count(*)) AS BIGINT) AS x FROM n{k}, unnest(range(1, len(v) + 1)) AS u(place) GROUP BY ALL) GROUP BY ALL),
+b{next} AS MATERIALIZED (SELECT part, list(struct_pack(entry := entry, v := coalesce(m.v, o.v)) ORDER BY entry) AS entries
+  FROM (SELECT part, unnest(entries, recursive := true) FROM b{k}) o LEFT JOIN m{k} m USING (part, entry) GROUP BY part)"""
+    steps = [nearest.format(k=0)]
+    for k in range(rounds):
+        steps += [means.format(k=k, next=k + 1), nearest.format(k=k + 1)]
+    return """
+WITH kept AS (SELECT row_number() OVER () AS row, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+p AS MATERIALIZED (SELECT row, vec_id, label, part, v[part * len(v) // 8 + 1 : (part + 1) * len(v) // 8] AS v FROM kept, unnest(range(8)) AS u(part)),
+b0 AS MATERIALIZED (SELECT part, list(struct_pack(entry := entry, v := v) ORDER BY entry) AS entries FROM (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 16) GROUP BY part),
+""" + ",\n".join(steps) + """,
+book AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) AS digest FROM (
+  SELECT part, c.entry AS entry, place, c.v[place] AS x FROM (SELECT part, unnest(entries) AS c FROM b{last}), unnest(range(1, len(c.v) + 1)) AS u(place))),
+coded AS (SELECT row, vec_id, label, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM n{last} GROUP BY row, vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, digest AS codebooks_sha256 FROM coded, book""".format(last=rounds)
+
+
+CODES = codes()

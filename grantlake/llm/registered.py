@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings
+from . import chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings, vector_codes
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,3 +100,9 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_extraction")
 def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_texts(parquet(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_codes", comparison.CODES)
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    return vector_codes.encode(vecs, scale=4096.0, rounds=6).drop("label")
