@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings, vector_codes
+from . import alignment, chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings, vector_codes
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,3 +106,9 @@ def op9_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = parquet(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     return vector_codes.encode(vecs, scale=4096.0, rounds=6).drop("label")
+
+
+@query("op13_alignment")
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))[0]
