@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, products, substrings, vector_codes
+from . import alignment, chat, comparison, contexts, extraction, langid, mixing, neardup, neighbours, packing, perplexity, products, substrings, vector_codes
 from .scratch import parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,3 +112,8 @@ def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
     return alignment.align(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))[0]
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.judge(parquet(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
