@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.naming import has_wildcard, path_ancestors, path_key
 from .review import eligible
+from .skew import skew_join
+from .stage import stage
 
 ITEM_KEY = ["export_id", "seq"]
-SALTS = 64
 
 
 def first_column() -> Column:
@@ -52,14 +53,15 @@ def mask_conflicts(items: DataFrame) -> DataFrame:
 def conflict_members(items: DataFrame) -> DataFrame:
     """Rows of the rules that share their target, with the group's size and first item.
 
-    The group side has one row per target. It is copied under ``SALTS`` salts and every member
-    takes one, so even a target that holds a third of all rules is spread over many tasks.
+    Members and targets are narrow tables: only keys are written, and the join splits a target that holds
+    a large part of all rules. Whole members are found again by their unique keys.
     """
-    copies = rule_conflicts(items).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rule_targets(items).withColumn("salt", F.pmod(F.xxhash64("seq"), F.lit(SALTS)).cast("int"))
-    on = [F.col(f"m.{k}").eqNullSafe(F.col(f"g.{k}")) for k in [*TARGET, "salt"]]
-    joined = salted.alias("m").join(copies.alias("g"), on)
-    return joined.select("m.*", "g.members", "g.first_seq").drop("salt")
+    rules_ = stage(rule_targets(items).select("seq", *TARGET))
+    numbers = rules_.groupBy(*TARGET).agg(F.count("*").alias("members"), F.min("seq").alias("first_seq")).filter("members > 1")
+    key = [F.coalesce(c, F.lit("")).alias(c) for c in TARGET]  # a null schema equals itself
+    nulls = F.col("schema").isNull().alias("no_schema")
+    found = skew_join(rules_.select("seq", *key, nulls), numbers.select(*key, nulls, "members", "first_seq"), [*TARGET, "no_schema"])
+    return items.join(found.select(*ITEM_KEY, "members", "first_seq"), ITEM_KEY)
 
 
 def conflict_count(items: DataFrame) -> DataFrame:
@@ -165,13 +167,18 @@ def grant_signature() -> Column:
     )
 
 
-def plain_grants(items: DataFrame) -> DataFrame:
-    """Eligible grants that no wildcard-column group has taken over."""
-    taken = F.exists(
+def taken_by_pattern() -> Column:
+    """Whether a grant belongs to a wildcard-column group."""
+    by_pattern = F.exists(
         F.coalesce("columns", F.array().cast("array<string>")),
         lambda c: has_wildcard(c) & (c != "*"),
-    ) & (F.coalesce(F.length("table"), F.lit(0)) > 0)
-    return eligible(items).filter((F.col("type") == "grant") & ~taken)
+    )
+    return by_pattern & (F.coalesce(F.length("table"), F.lit(0)) > 0)
+
+
+def plain_grants(items: DataFrame) -> DataFrame:
+    """Eligible grants that no wildcard-column group has taken over."""
+    return eligible(items).filter((F.col("type") == "grant") & ~taken_by_pattern())
 
 
 def first_grants(items: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.naming import dotted, has_wildcard, quoted, target_privilege, volume_name
 from ..functions.rows import unnest
-from .conflicts import ITEM_KEY, duplicate_grants, wildcard_column_grants
+from .conflicts import taken_by_pattern
 from .identity import map_principals
 from .review import eligible, guard_code
 from .stage import stage
@@ -91,12 +91,102 @@ def direct_grants(catalog: Column) -> Column:
 
 
 def granting_items(items: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
-    """Eligible items that may grant: guards, duplicates and wildcard-column grants taken out."""
+    """What may grant: one row per distinct (export, principal, scope, resource, privileges).
+
+    Of grants that say the same (``grant_signature``) the first counts, and only if no guard holds it back;
+    one aggregate finds it, by two flags of the item with the smallest ``seq``. ``items`` is read once.
+    """
+    where = ["export_id", "type", "schema", "table", "path", "udf_name"]
+    name = F.coalesce("principal.name", F.lit(""))
+    is_user = F.coalesce(F.col("principal.type") == "user", F.lit(False))
+    privileges = F.array_sort(F.coalesce("privileges", F.array().cast("array<string>")))
+    flags = (is_user.cast("int") * 2 + guard_code().isNull().cast("int")).alias("flags")
     kinds = ["grant", "hbase_grant", "hdfs_grant", "udf_grant", "tag_grant"]
-    rows = eligible(items).filter(F.col("type").isin(kinds) & guard_code().isNull())
-    gone = duplicate_grants(items).select(*ITEM_KEY).unionByName(wildcard_column_grants(items).select(*ITEM_KEY))
-    kept = rows.join(gone, ITEM_KEY, "left_anti")
-    return map_principals(kept, mapping).withColumn("scope", scope())
+    rows = eligible(items).filter(F.col("type").isin(kinds) & ((F.col("type") != "grant") | ~taken_by_pattern()))
+    own = F.when(F.col("type") != "grant", F.col("flags"))  # of other kinds every item counts
+    told = rows.select(*where, "seq", name.alias("name"), privileges.alias("privileges"), flags).withColumn("own", own)
+    first = told.groupBy(*where, "name", "privileges", "own").agg(F.min_by("flags", "seq").alias("flags"))
+    free = first.filter(F.col("flags").bitwiseAND(1) == 1)
+    kind = F.when(F.col("flags") >= 2, "user").otherwise("group")
+    named = free.select(*where, "privileges", F.struct(kind.alias("type"), F.col("name").alias("name")).alias("principal"))
+    return map_principals(named, mapping).withColumn("scope", scope())
+
+
+# Every privilege a grant can have by name, before or after translation.
+PRIVILEGES = sorted(
+    {*rules.TABLE_ACCESS.values(), *rules.PATH_ACCESS.values(), *rules.KV_ACCESS.values(), rules.URL_UNKNOWN_ACCESS, *rules.NO_EQUIVALENT}
+    | {"CREATE TABLE", "MANAGE", "USE CATALOG", "USE SCHEMA"}
+)
+
+
+def bits(*names: str) -> int:
+    return sum(1 << PRIVILEGES.index(n) for n in set(names))
+
+
+def privilege_mask(privileges: Column) -> Column:
+    """Known privileges of an array as the bits of one long."""
+    table = F.create_map(*[F.lit(x) for n in PRIVILEGES for x in (n, bits(n))])
+    return F.aggregate(privileges, F.lit(0).cast("long"), lambda m, p: m.bitwiseOR(F.coalesce(table[p].cast("long"), F.lit(0).cast("long"))))
+
+
+def _masked(mask: Column, allowed: int) -> Column:
+    return mask.bitwiseAND(F.lit(allowed).cast("long"))
+
+
+def translated_mask(mask: Column, on_table: bool) -> Column:
+    """``target_privilege`` on all bits at once."""
+    moved = {"DROP": "MANAGE", "ALTER": "ALL PRIVILEGES", "CREATE": None if on_table else "CREATE TABLE", "EXECUTE": None}
+    gone = moved | dict.fromkeys(rules.NO_EQUIVALENT)
+    out = _masked(mask, bits(*[p for p in PRIVILEGES if p not in gone]))
+    for old, new in moved.items():
+        if new:
+            out = out.bitwiseOR(F.when(_masked(mask, bits(old)) != 0, F.lit(bits(new)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return out
+
+
+SECURABLE = "struct<kind:string,a:string,b:string,mask:bigint,other:string>"
+
+
+def _on(kind: str, a: Column | None, b: Column | None, mask: Column | int, other: Column | None = None) -> Column:
+    none = F.lit(None).cast("string")
+    mask = F.lit(mask).cast("long") if isinstance(mask, int) else mask
+    return F.struct(F.lit(kind), none if a is None else a, none if b is None else b, mask, none if other is None else other).cast(SECURABLE)
+
+
+def _schema_use() -> Column:
+    """The bit of USE SCHEMA, once per resource: not on rows that hold a privilege without a bit."""
+    return F.when(F.col("other").isNull(), F.lit(bits("USE SCHEMA")).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def _direct() -> Column:
+    """Securables of a row that need no listing, each with its privileges as a mask."""
+    mask, other, where = F.col("mask"), F.col("other"), F.col("scope")
+    schema, table = F.coalesce("schema", F.lit("default")), F.col("table")
+    volume = volume_name(F.coalesce("path", F.lit("/")))
+    use, use_schema = _on("CATALOG", None, None, bits("USE CATALOG")), _schema_use()
+    above = _masked(mask, bits(*[p for p in PRIVILEGES if p not in rules.TABLE_ONLY]))
+    return (
+        F.when(where == "catalog", F.array(use, _on("CATALOG", None, None, _masked(mask, bits("ALL PRIVILEGES")))))
+        .when(where == "schema", F.array(use, _on("SCHEMA", schema, None, translated_mask(above, False).bitwiseOR(use_schema), other)))
+        .when(where == "table", F.array(_on("TABLE", schema, table, translated_mask(mask, True), other)))
+        .when(where == "volume", F.array(_on("VOLUME", F.lit(rules.VOLUME_SCHEMA), volume, mask, other)))
+        .when(where == "function", F.array(_on("FUNCTION", schema, F.coalesce("udf_name", F.lit("unknown")), bits("EXECUTE"))))
+        .when(where == "tag_schema", F.array(use, _on("SCHEMA", schema, None, mask.bitwiseOR(use_schema), other)))
+        .when(where == "tag_table", F.array(_on("TABLE", schema, table, mask, other)))
+        .otherwise(F.array().cast(f"array<{SECURABLE}>"))
+    )
+
+
+def granted_masks(items: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """(export, principal, scope, resource) with all privileges as one ``mask``. A privilege without a
+    bit has a row of its own in ``other``."""
+    rows = granting_items(items, mapping)
+    unknown = F.array_except("privileges", F.array(*[F.lit(p) for p in PRIVILEGES]))
+    none = F.struct(privilege_mask(F.col("privileges")).alias("mask"), F.lit(None).cast("string").alias("other"))
+    alone = F.transform(unknown, lambda p: F.struct(F.lit(0).cast("long").alias("mask"), p.alias("other")))
+    at = ["export_id", "principal_name", "scope", "schema", "table", "path", "udf_name"]
+    told = rows.filter("scope <> 'none'").select(*at, F.explode(F.concat(F.array(none), alone)).alias("m"))
+    return told.groupBy(*at, F.col("m.other").alias("other")).agg(F.bit_or("m.mask").alias("mask"))
 
 
 def effective_grants(
@@ -106,47 +196,42 @@ def effective_grants(
 
     ``tables`` lists (schema, table) of the target catalog; pattern and whole-schema grants are
     resolved against it. With ``direct=False`` only what comes from the listing is returned.
+
+    Privileges are bits from the start: rows on the same resource are one row before they meet the
+    listing, and again after it, and become rows per privilege only at the end.
     """
-    needed = ["export_id", "principal_name", "scope", "schema", "table", "path", "udf_name", "privileges"]
-    # Read five times below, so the joins behind it run once. Items that say the same are one before
-    # they are expanded: grants repeat over policies, and each may become many rows.
-    rows = stage(granting_items(items, mapping).select(needed).distinct())
-    cat = F.lit(catalog)
-    parts = [rows.withColumn("grants", direct_grants(cat))] if direct else []
-
-    in_pattern = tables_for_patterns(rows.filter(F.col("scope") == "table_pattern"), tables)
-    parts.append(
-        in_pattern.withColumn("grants", _translated("TABLE", dotted(cat, F.col("schema"), F.col("match")), F.col("privileges")))
-    )
-    in_schema = tables_of_schemas(
-        rows.filter((F.col("scope") == "schema") & (F.size(table_only()) > 0)), tables
+    rows = stage(granted_masks(items, mapping))
+    keep = ["export_id", "principal_name"]
+    mask, other = F.col("mask"), F.col("other")
+    on_tables = _masked(mask, bits(*rules.TABLE_ONLY))
+    parts = [unnest(rows, _direct(), "s", keep=keep)] if direct else []
+
+    in_pattern = tables_for_patterns(rows.filter("scope = 'table_pattern'"), tables)
+    parts.append(in_pattern.select(*keep, _on("TABLE", F.coalesce("schema", F.lit("default")), F.col("match"), translated_mask(mask, True), other).alias("s")))
+    in_schema = tables_of_schemas(rows.filter((F.col("scope") == "schema") & (on_tables != 0)), tables)
+    parts.append(in_schema.select(*keep, _on("TABLE", F.col("schema"), F.col("match"), on_tables).alias("s")))
+    patterned = rows.filter("scope = 'schema_pattern'")
+    above = translated_mask(_masked(mask, bits(*[p for p in PRIVILEGES if p not in rules.TABLE_ONLY])), False)
+    schemas = F.array(
+        _on("CATALOG", None, None, bits("USE CATALOG")),
+        _on("SCHEMA", F.col("match"), None, above.bitwiseOR(_schema_use()), other),
     )
-    parts.append(
-        in_schema.withColumn("grants", _translated("TABLE", dotted(cat, F.col("schema"), F.col("match")), table_only()))
-    )
-    patterned = rows.filter(F.col("scope") == "schema_pattern")
-    name = dotted(cat, F.col("match"))
-    parts.append(
-        schemas_for_patterns(patterned, tables).withColumn(
-            "grants",
-            F.concat(
-                _fixed("CATALOG", quoted(cat), "USE CATALOG"),
-                _fixed("SCHEMA", name, "USE SCHEMA"),
-                _translated("SCHEMA", name, schema_level()),
-            ),
-        )
-    )
-    parts.append(
-        tables_of_schema_patterns(patterned.filter(F.size(table_only()) > 0), tables).withColumn(
-            "grants", _translated("TABLE", dotted(cat, F.col("match"), F.col("match_table")), table_only())
-        )
+    parts.append(unnest(schemas_for_patterns(patterned, tables), schemas, "s", keep=keep))
+    below = tables_of_schema_patterns(patterned.filter(on_tables != 0), tables)
+    parts.append(below.select(*keep, _on("TABLE", F.col("match"), F.col("match_table"), on_tables).alias("s")))
+
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    merged = every.select(*keep, "s.*").groupBy(*keep, "kind", "a", "b", "other").agg(F.bit_or("mask").alias("mask"))
+    named = F.array_compact(F.array("other", *[F.when(_masked(mask, bits(p)) != 0, F.lit(p)) for p in PRIVILEGES]))
+    return unnest(merged, named, "privilege", keep=[*keep, "kind", "a", "b"]).select(
+        "export_id",
+        F.col("principal_name").alias("principal"),
+        F.col("kind").alias("securable_type"),
+        dotted(F.lit(catalog), F.col("a"), F.col("b")).alias("securable"),
+        "privilege",
     )
-    named = [p.withColumn("principal", F.col("principal_name")) for p in parts]
-    exploded = [unnest(p, "grants", "g", keep=["export_id", "principal"]) for p in named]
-    out = exploded[0]
-    for part in exploded[1:]:
-        out = out.unionByName(part)
-    return out.select("export_id", "principal", "g.*").distinct()
 
 
 def grant_statement() -> Column:

@@ -564,7 +564,7 @@ given AS (
 @query("effective_grants", "E16 E17", EFFECTIVE + """
 SELECT DISTINCT export_id, target AS principal, securable_type, securable, privilege FROM given WHERE privilege IS NOT NULL""")
 def effective_grants(spark, sf):
-    items = stage(B.approved_items(spark, sf))
+    items = B.approved_items(spark, sf)  # read once
     return grants.effective_grants(items, B.target_tables(spark, sf), B.identity_map(spark, sf))
 
 
@@ -573,8 +573,7 @@ SELECT DISTINCT export_id, target AS principal, privilege FROM (
   SELECT export_id, target, 'USE CATALOG' AS privilege FROM kept WHERE scope = 'catalog'
   UNION ALL SELECT export_id, target, p FROM privs WHERE scope = 'catalog' AND p = 'ALL PRIVILEGES')""")
 def catalog_grants(spark, sf):
-    items = stage(B.approved_items(spark, sf))
-    rows = grants.granting_items(items, B.identity_map(spark, sf)).filter(F.col("scope") == "catalog")
+    rows = grants.granting_items(B.approved_items(spark, sf), B.identity_map(spark, sf)).filter("scope = 'catalog'")
     made = rows.select("export_id", "principal_name", F.explode(grants.direct_grants(F.lit("main"))).alias("g"))
     return made.select("export_id", F.col("principal_name").alias("principal"), "g.privilege").distinct()
 
