@@ -60,55 +60,79 @@ ENTRY = "struct<category:string,resource:string,principal:string,detail:string>"
 GAP_COLUMNS = ["export_id", "category", "seq", "resource", "principal", "detail"]
 
 
-def _entry(test: Column, category: str, resource: Column, detail: Column) -> Column:
-    made = F.struct(F.lit(category), resource, F.col("principal.name"), detail).cast(ENTRY)
-    return F.when(F.coalesce(test, F.lit(False)), made)
-
-
 def dropped_privileges() -> Column:
     """Privileges of an item without a counterpart, in item order."""
     return F.filter("privileges", lambda p: p.isin("EXECUTE", *rules.NO_EQUIVALENT))
 
 
+def item_tests() -> dict[str, Column]:
+    """Whether an item falls into each category that follows from single items. No text is built here."""
+    kind = F.col("type")
+    grants = kind.isin("grant", "hbase_grant")
+    clean = is_clean(F.coalesce("filter_expr", F.lit("")))
+    return {
+        "deny": kind == "deny",
+        "delegate_admin": F.col("delegate_admin"),
+        "no_equivalent": kind.isin("grant", "hbase_grant", "tag_grant") & (F.size(dropped_privileges()) > 0),
+        "drop_to_manage": grants & F.array_contains("privileges", "DROP"),
+        "create_dropped": grants & F.col("table").isNotNull() & F.array_contains("privileges", "CREATE"),
+        "wildcard_table": (kind == "grant") & F.col("table").isNull(),
+        "disabled": ~F.col("enabled"),
+        "filter_untranslatable": (kind == "row_filter") & ~clean,
+        "filter_translated": (kind == "row_filter") & clean,
+    }
+
+
 def item_gaps(items: DataFrame) -> DataFrame:
     """Gap rows that follow from single items."""
-    kind = F.col("type")
     schema = F.coalesce("schema", F.lit("None"))
     place = F.concat_ws(".", schema, F.when(F.length("table") > 0, F.col("table")).otherwise("*"))
+    table = F.concat_ws(".", schema, "table")
     privileges = F.coalesce(F.array_join("privileges", ", "), F.lit(""))
-    grants = kind.isin("grant", "hbase_grant")
     issues = F.array_join(F.transform(expression_issues(F.col("filter_expr")), lambda i: i["code"]), "; ")
     filter_text = F.coalesce("filter_expr", F.lit(""))
-    entries = F.array_compact(
-        F.array(
-            _entry(kind == "deny", "deny", place, privileges),
-            _entry(F.col("delegate_admin"), "delegate_admin", place, F.lit("delegated administration")),
-            _entry(
-                kind.isin("grant", "hbase_grant", "tag_grant") & (F.size(dropped_privileges()) > 0),
-                "no_equivalent", place, F.array_join(dropped_privileges(), ", "),
-            ),
-            _entry(grants & F.array_contains("privileges", "DROP"), "drop_to_manage", place, privileges),
-            _entry(
-                grants & F.col("table").isNotNull() & F.array_contains("privileges", "CREATE"),
-                "create_dropped", F.concat_ws(".", schema, "table"), privileges,
-            ),
-            _entry((kind == "grant") & F.col("table").isNull(), "wildcard_table", F.concat(schema, F.lit(".*")), privileges),
-            _entry(~F.col("enabled"), "disabled", place, F.col("policy_name")),
-            _entry(
-                (kind == "row_filter") & ~is_clean(filter_text), "filter_untranslatable",
-                F.concat_ws(".", schema, "table"), F.concat(filter_text, F.lit(" — "), issues),
-            ),
-            _entry(
-                (kind == "row_filter") & is_clean(filter_text), "filter_translated",
-                F.concat_ws(".", schema, "table"), filter_text,
-            ),
-        )
-    )
+    shown = {
+        "deny": (place, privileges),
+        "delegate_admin": (place, F.lit("delegated administration")),
+        "no_equivalent": (place, F.array_join(dropped_privileges(), ", ")),
+        "drop_to_manage": (place, privileges),
+        "create_dropped": (table, privileges),
+        "wildcard_table": (F.concat(schema, F.lit(".*")), privileges),
+        "disabled": (place, F.col("policy_name")),
+        "filter_untranslatable": (table, F.concat(filter_text, F.lit(" — "), issues)),
+        "filter_translated": (table, filter_text),
+    }
+
+    def entry(category: str, test: Column) -> Column:
+        made = F.struct(F.lit(category), shown[category][0], F.col("principal.name"), shown[category][1]).cast(ENTRY)
+        return F.when(F.coalesce(test, F.lit(False)), made)
+
+    entries = F.array_compact(F.array(*[entry(c, t) for c, t in item_tests().items()]))
     return unnest(items, entries, "e", keep=["export_id", "seq"]).select(
         "export_id", "e.category", "seq", "e.resource", "e.principal", "e.detail"
     )
 
 
+def item_gap_counts(items: DataFrame) -> DataFrame:
+    """(export, category, items) of the categories of single items: one aggregate with a counter per
+    category, over the few columns the tests read."""
+    tests = item_tests()
+    counted = items.groupBy("export_id").agg(*[F.count_if(F.coalesce(t, F.lit(False))).alias(c) for c, t in tests.items()])
+    pairs = F.array(*[F.struct(F.lit(c).alias("category"), F.col(c).alias("items")) for c in tests])
+    return unnest(counted, pairs, "p", keep=["export_id"]).select("export_id", "p.category", "p.items").filter(F.col("items") > 0)
+
+
+def gap_counts(policies: DataFrame, items: DataFrame) -> DataFrame:
+    """(export, category, items) of all categories; no gap row is built for it."""
+    conflicts = rule_conflicts(items).groupBy("export_id").agg(F.count("*").alias("items"))
+    others = policy_gaps(policies).groupBy("export_id", "category").agg(F.count("*").alias("items"))
+    return (
+        item_gap_counts(items)
+        .unionByName(conflicts.select("export_id", F.lit("conflict").alias("category"), "items"))
+        .unionByName(others)
+    )
+
+
 def conflict_gaps(items: DataFrame) -> DataFrame:
     """One gap row per target that several rules share (over all items, not only eligible ones)."""
     what = F.when(F.col("type") == "row_filter", "row filter conflict").otherwise("column mask conflict")
@@ -158,9 +182,13 @@ def title_of(category: Column) -> Column:
 
 
 def gap_summary(gaps: DataFrame) -> DataFrame:
-    """Per export and category: severity, title, count. Empty categories are absent."""
-    counted = gaps.groupBy("export_id", "category").agg(F.count("*").alias("items"))
-    return counted.select(
+    """Per export and category: severity, title, count. Empty categories are absent.
+
+    ``gaps`` are rows, one per gap, or counts of them (``gap_counts``).
+    """
+    if "items" not in gaps.columns:
+        gaps = gaps.groupBy("export_id", "category").agg(F.count("*").alias("items"))
+    return gaps.select(
         "export_id",
         category_order(F.col("category")).alias("position"),
         "category",

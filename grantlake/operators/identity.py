@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rows import unnest
 from ..functions.principals import principal_list, resolved_name, service_account_kind
+from .skew import skew_join
+from .stage import stage
 
 
 def _every_item(fields: list[str]) -> Column:
@@ -178,9 +180,8 @@ def covered_counts(items: DataFrame, membership: DataFrame) -> DataFrame:
 
 
 def covered_members(items: DataFrame, membership: DataFrame) -> DataFrame:
-    """Users each group or role item covers: (export_id, seq, user)."""
-    return (
-        items.filter(F.col("principal_type") != "user")
-        .join(membership.select(F.col("group").alias("principal_name"), "user"), "principal_name")
-        .select("export_id", "seq", "user")
-    )
+    """Users each group or role item covers: (export_id, seq, user). A group that very many items name is
+    split over runs."""
+    rows = stage(items.filter(F.col("principal_type") != "user").select("export_id", "seq", "principal_name"))
+    members = membership.select(F.col("group").alias("principal_name"), "user")
+    return skew_join(rows, members, ["principal_name"]).select("export_id", "seq", "user")

@@ -16,6 +16,8 @@ from .items import (
     text_or_none,
 )
 from .ranking import spread_row_number
+from .skew import skew_join
+from .stage import stage
 
 # Resolved resources of one policy are joined in runs of this many, so that a policy whose tags
 # cover a large part of all tables is spread over many tasks.
@@ -68,7 +70,7 @@ def tag_assignments(resources: DataFrame, definitions: DataFrame) -> DataFrame:
     )
     none = F.array().cast("array<struct<attr_pos:bigint,key:string,value:string>>")
     writes = unnest(
-        resources.join(defs, ["export_id", "tag"], "left"),
+        skew_join(stage(resources), defs, ["export_id", "tag"], "left"),
         F.concat(F.array(flag), F.coalesce("attrs", none)),
         "w",
         keep=[*at, "tag_pos"],
@@ -99,7 +101,7 @@ def resolve_tags(policies: DataFrame, resources: DataFrame) -> DataFrame:
     per_tag = resources.groupBy("export_id", "tag", "schema", "table").agg(F.min("res_pos").alias("res_pos"))
     order = F.shiftleft(F.col("list_pos").cast("bigint"), POSITION_BITS) + F.col("res_pos")
     first = (
-        wanted.join(per_tag, ["export_id", "tag"])
+        skew_join(stage(per_tag), wanted, ["export_id", "tag"])
         .groupBy("export_id", "policy_pos", "schema", "table")
         .agg(F.min(order).alias("ord"))
     )

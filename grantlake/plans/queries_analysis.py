@@ -354,6 +354,16 @@ def _gap_rows(spark, sf):
     return items, stage(gaps.gap_items(policies, items))
 
 
+#: What statistics, counters and conflicts read of an item.
+COUNTED = ["export_id", "type", "status", "enabled", "schema", "table", "columns", "seq", "principal", "privileges", "delegate_admin", "filter_expr"]
+
+
+def _counted(spark, sf):
+    """Items by the columns that counts need, written once, and the gap summary counted from them."""
+    items = stage(B.approved_items(spark, sf).select(COUNTED))
+    return items, gaps.gap_summary(gaps.gap_counts(B.fleet_policies(spark, sf), items))
+
+
 TITLES = "CASE category " + " ".join(f"WHEN '{c}' THEN '{t}'" for c, (_, t) in gaps.CATEGORIES.items()) + " END"
 POSITIONS = "CASE category " + " ".join(f"WHEN '{c}' THEN {n}" for n, c in enumerate(gaps.CATEGORIES, 1)) + " END"
 SUMMARY = GAPS + f""",
@@ -364,7 +374,7 @@ summary AS (SELECT export_id, {POSITIONS} AS position, category, {TITLES} AS tit
 
 @query("gap_summary", "G16", SUMMARY + "SELECT * FROM summary")
 def gap_summary(spark, sf):
-    return gaps.gap_summary(_gap_rows(spark, sf)[1])
+    return _counted(spark, sf)[1]
 
 
 @query("disabled_preview", "G8 O3", GAPS + """
@@ -411,7 +421,7 @@ def principal_preview(spark, sf):
 @query("severity_rollup", "A6", SUMMARY + """
 SELECT export_id, severity, count(*) AS categories, CAST(sum(items) AS BIGINT) AS items FROM summary GROUP BY ALL""")
 def severity_rollup(spark, sf):
-    return scoring.severity_rollup(gaps.gap_summary(_gap_rows(spark, sf)[1]))
+    return scoring.severity_rollup(_counted(spark, sf)[1])
 
 
 SCORES = SUMMARY + """,
@@ -426,8 +436,8 @@ scores AS (
 
 
 def _scores(spark, sf):
-    items, rows = _gap_rows(spark, sf)
-    return scoring.readiness(scoring.item_statistics(items), gaps.gap_summary(rows))
+    items, summary = _counted(spark, sf)
+    return scoring.readiness(scoring.item_statistics(items), summary)
 
 
 @query("readiness", "A7", SCORES + """
