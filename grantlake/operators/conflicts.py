@@ -61,7 +61,7 @@ def conflict_members(items: DataFrame) -> DataFrame:
     key = [F.coalesce(c, F.lit("")).alias(c) for c in TARGET]  # a null schema equals itself
     nulls = F.col("schema").isNull().alias("no_schema")
     found = skew_join(rules_.select("seq", *key, nulls), numbers.select(*key, nulls, "members", "first_seq"), [*TARGET, "no_schema"])
-    return items.join(found.select(*ITEM_KEY, "members", "first_seq"), ITEM_KEY)
+    return rule_targets(items).join(found.select(*ITEM_KEY, "members", "first_seq"), ITEM_KEY)
 
 
 def conflict_count(items: DataFrame) -> DataFrame:

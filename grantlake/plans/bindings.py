@@ -289,13 +289,21 @@ def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One export document per customer, in every accepted shape and some that are no JSON."""
+    """One export document per customer, in every accepted shape, some that are no JSON and some with
+    a field of the wrong type."""
     resources = (
         "CASE k % 5 WHEN 0 THEN '{\"path\":{\"values\":[\"/data\"]}}' WHEN 1 THEN "
         "'{\"table\":{\"values\":[\"t\"]},\"column-family\":{\"values\":[\"f\"]}}' ELSE '{\"table\":{\"values\":[\"t\"]}}' END"
     )
     item = "concat('{\"users\":[\"', nm, '\"],\"accesses\":[{\"type\":\"select\"},{\"type\":\"x\",\"isAllowed\":false}]}')"
     policy = f"concat('{{\"id\":', k, ',\"name\":\"p', k, '\",\"resources\":', {resources}, ',\"policyItems\":[', {item}, ']}}')"
+    wrong = (
+        f"CASE k % 50 WHEN 47 THEN replace({policy}, '[\"t\"]', '\"t\"') "
+        f"WHEN 43 THEN replace({policy}, concat('[\"', nm, '\"]'), concat('\"', nm, '\"')) "
+        f"WHEN 41 THEN replace({policy}, concat('\"id\":', k), concat('\"id\":\"', k, '\"')) "
+        f"WHEN 37 THEN replace({policy}, '\"name\"', '\"isEnabled\":\"false\",\"name\"') ELSE {policy} END"
+    )
+    policy = wrong
     policies = f"concat('[', {policy}, CASE WHEN k % 3 = 0 THEN concat(',', {policy}) ELSE '' END, ']')"
     head = (
         "concat(CASE WHEN k % 7 = 0 THEN '' ELSE concat('\"serviceName\":\"', CASE k % 4 WHEN 0 THEN 'prod_hadoop' "

@@ -14,7 +14,7 @@ from ..operators import tags as T
 from ..operators.fact import policy_items
 from ..operators.identity import sorted_identities
 from ..operators.stage import stage_dir
-from ..sources import archives, exports, sinks
+from ..sources import archives, exports, mistyped, sinks
 from . import bindings as B
 from .oracle import FLEET, TAGS, flat_items
 from .registry import query
@@ -34,7 +34,7 @@ def flat(items: DataFrame) -> DataFrame:
 # Scans ----------------------------------------------------------------------------------------
 
 DOC = """
-WITH d AS (SELECT c_custkey AS k, 'doc' || c_custkey AS export_id, c_name AS nm FROM customer)"""
+WITH d AS (SELECT c_custkey AS k, 'doc' || c_custkey AS export_id, c_name AS nm, c_custkey % 50 NOT IN (37, 41, 43, 47, 49) AS sound FROM customer)"""
 
 
 @query("export_headers", "S1 S2 S3", DOC + """
@@ -45,21 +45,30 @@ SELECT export_id,
        WHEN k % 7 <> 0 AND k % 4 = 1 THEN 'hbase' WHEN k % 5 = 1 THEN 'hbase' ELSE 'hive' END AS service_type,
   CASE WHEN k % 8 <> 5 AND k % 2 = 0 THEN 'c1' ELSE 'unknown' END AS cluster_name,
   CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END AS total_policies
-FROM d WHERE k % 50 <> 49""")
+FROM d WHERE sound""")
 def export_headers(spark, sf):
     return exports.export_headers(exports.open_documents(B.export_documents(spark, sf)))
 
 
-@query("invalid_exports", "S1", DOC + "SELECT export_id FROM d WHERE k % 50 = 49")
+@query("invalid_exports", "S1 S2", DOC + """
+SELECT export_id, CASE WHEN k % 50 = 49 THEN 'not JSON' ELSE (CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END) || ' mistyped fields' END AS fault FROM d WHERE NOT sound""")
 def invalid_exports(spark, sf):
-    return exports.invalid_documents(B.export_documents(spark, sf)).select("export_id")
+    return exports.invalid_documents(B.export_documents(spark, sf)).select("export_id", "fault")
+
+
+@query("mistyped_fields", "S1 S2 P5", DOC + """
+SELECT export_id, 'policies[' || i || ']' || path AS path, expected, 'STRING' AS found
+FROM d JOIN (VALUES (47, '.resources.table.values', 'ARRAY'), (43, '.policyItems[0].users', 'ARRAY'), (41, '.id', 'BIGINT'), (37, '.isEnabled', 'BOOLEAN')) w(r, path, expected) ON k % 50 = r,
+  LATERAL (SELECT unnest(range(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END)) AS i) n""")
+def mistyped_fields(spark, sf):
+    return mistyped.mistyped_fields(B.export_documents(spark, sf))
 
 
 @query("document_items", "S1 S2 P7", DOC + """,
 p AS (SELECT *, unnest(range(CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END)) AS i,
   CASE WHEN k % 8 = 5 OR k % 6 = 0 THEN 'hive' WHEN k % 7 <> 0 AND k % 4 = 0 THEN 'hdfs' WHEN k % 5 = 0 THEN 'hdfs'
        WHEN k % 7 <> 0 AND k % 4 = 1 THEN 'hbase' WHEN k % 5 = 1 THEN 'hbase' ELSE 'hive' END AS service
-  FROM d WHERE k % 50 <> 49)
+  FROM d WHERE sound)
 SELECT export_id, (i + 1) * 4294967296 + CASE service WHEN 'hive' THEN 2 ELSE 1 END AS seq, k AS policy_id, 'p' || k AS policy_name,
   CASE service WHEN 'hive' THEN 'grant' ELSE service || '_grant' END AS type,
   CASE WHEN service = 'hdfs' THEN CASE WHEN k % 5 = 0 THEN '/data' ELSE '/' END END AS path,

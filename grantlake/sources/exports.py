@@ -52,17 +52,30 @@ def begins_list(text: Column) -> Column:
     return text.rlike(r"^[ \t\r\n]*\[")
 
 
+def fault(document: Column) -> Column:
+    """Why a document is set aside: 'not JSON', the number of its mistyped fields, or null."""
+    from .mistyped import bound, export_mismatches
+
+    def told(n: Column) -> Column:
+        return F.when(n.isNull(), "not JSON").when(n > 0, F.concat(n, F.lit(" mistyped fields")))
+
+    found = export_mismatches(document)
+    return bound(bound(found, lambda f: F.when(f.isNotNull(), F.size(f))), told)
+
+
 def invalid_documents(documents: DataFrame) -> DataFrame:
-    return documents.filter(F.try_parse_json("document").isNull())
+    """Documents that are set aside, and why. Nothing is read from them, so no lost field widens a grant."""
+    told = documents.select("*", F.explode_outer(F.array(fault(F.col("document")))).alias("fault"))
+    return told.filter(F.col("fault").isNotNull())
 
 
 def open_documents(documents: DataFrame) -> DataFrame:
-    """Valid documents as ``(export_id, is_array, body)`` with the export wrapper taken off."""
+    """Sound documents as ``(export_id, is_array, body)`` with the export wrapper taken off."""
     is_array = begins_list(F.col("document"))
     bare_list = F.from_json(
         F.concat(F.lit('{"policies":'), F.col("document"), F.lit("}")), ROOT
     )
-    parsed = documents.filter(F.try_parse_json("document").isNotNull()).select(
+    parsed = documents.filter(fault(F.col("document")).isNull()).select(
         "export_id",
         is_array.alias("is_array"),
         F.when(is_array, bare_list).otherwise(F.from_json("document", ROOT)).alias("root"),
