@@ -28,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import scratch, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PIECES_IDS = PIECES + ", ids array<int>"
+PIECES_IDS = PIECES + ", ids array<int>, row long"
 #: Words that a worker remembers, over all its tasks (some 200 MB), before it starts anew.
 CACHED_WORDS = 1_000_000
 
@@ -125,27 +126,30 @@ class WordTokens:
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, closing_id: int = 0, with_ids: bool = False) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, and the ids if wanted."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, and if wanted the ids and a number
+    ``row`` of its own (documents may repeat, so doc_id and piece are no key)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = WordTokens.of_worker(tokenizer_file)
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in texts.slices(whole):
                 raw = batch.column("text").cast(pa.binary()).fill_null(b"").to_pylist()
                 ids, sizes = coder.encode(raw)
-                out: list[list] = [[] for _ in range(6 if with_ids else 5)]
+                out: list[list] = [[] for _ in names]
                 at = 0
                 for doc, size in zip(batch.column("doc_id").to_pylist(), sizes.tolist()):
                     own = np.append(ids[at : at + size], np.uint32(closing_id)).astype("<u4")
                     at += size
                     for k, start in enumerate(range(0, size + 1, capacity)):
                         part = own[start : start + capacity]
-                        for column, value in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32))):
+                        for column, value in zip(out, (doc, k, start, len(part), zlib.crc32(part.tobytes()), part.astype(np.int32), row)):
                             column.append(value)
+                        row += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], names=names)
 
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5]
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids", "row"][: 7 if with_ids else 5]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64()]
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, PIECES_IDS if with_ids else PIECES)
 
@@ -187,7 +191,8 @@ def pack(found: DataFrame, capacity: int = 2048, per_task: int = 100_000) -> Dat
     """Adds sequence_id and offset to ``pieces``, which should be a written table: it is read twice.
 
     Full pieces are sequences by themselves, with negative numbers. The others are dealt by a hash
-    and placed in falling length, equal lengths in the order of (doc_id, piece, ids_crc32).
+    and placed in falling length, equal lengths in the order of (doc_id, piece, ids_crc32). Ids stay behind:
+    pieces that carry them meet their places by their row numbers.
     """
     short = found.where(F.col("length") < capacity)
     tasks = max(1, -(-short.count() // per_task))
@@ -199,11 +204,16 @@ def pack(found: DataFrame, capacity: int = 2048, per_task: int = 100_000) -> Dat
         sequence = placed[:, 0] * tasks + rows.column("task").to_numpy()
         return rows.drop_columns(["task"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(placed[:, 1]))
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long"
-    dealt = short.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks)))
+    carried = "ids" in found.columns
+    light = short.drop("ids", "start") if carried else short
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in light.schema) + ", sequence_id long, offset long"
+    dealt = light.withColumn("task", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(tasks)))
     full = found.where(F.col("length") == capacity)
     full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    return dealt.groupBy("task").applyInArrow(run, schema).unionByName(full)
+    packed = dealt.groupBy("task").applyInArrow(run, schema)
+    if carried:
+        packed = short.join(packed.select("row", "sequence_id", "offset"), "row")
+    return packed.unionByName(full).drop("row")
 
 
 def pack_documents(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, closing_id: int = 0, with_ids: bool = False, per_task: int = 100_000) -> DataFrame:
