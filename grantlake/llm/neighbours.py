@@ -141,7 +141,7 @@ def nearest(vecs: DataFrame, queries: DataFrame, k: int = 5, confidence: float =
     """query_id, rank, vec_id, score: for every row of ``queries`` the k nearest found in ``vecs``."""
     tables = Scratch(vecs.sparkSession, "neighbours")
     made = tables.keep(vectors.blocks(vecs, vectors.BLOCK_ROWS, False).withColumn("block", F.monotonically_increasing_id()), "blocks")
-    asked = tables.keep(vectors.blocks(vectors.stated(queries), vectors.QUERY_ROWS, False), "queries")
+    asked = tables.keep(vectors.blocks(vectors.stated(queries, zero_too=False), vectors.QUERY_ROWS, False), "queries")
     limit = chi_square_limit(confidence)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,9 +90,14 @@ def pairs(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     return ready.join(candidates.withColumn("slot", F.pmod("block", F.lit(SLOTS))), ["dim", "slot"])
 
 
-def stated(queries: DataFrame) -> DataFrame:
-    """Query rows, one per vec_id: the smallest vector, if there are several."""
-    return queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+def stated(queries: DataFrame, zero_too: bool = True) -> DataFrame:
+    """Query rows, one per vec_id: the smallest usable vector, if there are several rows."""
+    bad = float("nan"), float("inf"), float("-inf")
+    values = F.col("embedding").cast("array<double>")
+    good = F.forall(values, lambda x: x.isNotNull() & ~x.isin(*bad)) & (F.size("embedding") > 0)
+    if not zero_too:
+        good &= F.exists(values, lambda x: x != 0)
+    return queries.where(F.col("vec_id").isNotNull() & good).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
