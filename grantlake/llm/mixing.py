@@ -3,16 +3,18 @@
 A source with token share p gets the weight p ** a / sum(p ** a). The exponent a in [0, 1] is
 bisected: it is the largest one at which the entropy of the weights reaches ``entropy_share`` of
 the most there can be (the logarithm of the number of sources), but not so small that a source is
-repeated more than ``max_repeats`` times. Weights times the token budget are quotas. A source gives
-whole epochs as far as its quota goes. For the rest its documents lie in blocks, by a hash; blocks
-come in the order of a permutation of the source, whole blocks as long as they fit, and of the next
+repeated more than ``max_repeats`` times. Weights times the token budget are quotas.
+
+A source is cut into blocks of about ``block_tokens`` once, by a hash of its documents. Every epoch
+has a permutation of these blocks of its own, drawn by source and epoch: a block's ``turn`` is a keyed
+hash of its number, and blocks are read in the order of turn and number. Whole epochs come as far as
+the quota goes. Of the last epoch come the first blocks of its permutation that fit, and of the next
 block the documents in the order of a hash, as long as they fit. So a source misses its quota by
 less than one document.
 
-Only sums over sources reach the driver, never the sources. Blocks per source are at most
-``MAX_BLOCKS`` (they grow beyond ``block_tokens`` instead), so what is ordered within one source is
-bounded by that and by the documents of one block. A source that holds most rows is summed before
-anything moves.
+Only sums over sources reach the driver, never the sources. Block sums of a source are added up in
+runs of about ``RUN_BLOCKS`` neighbours of the permutation; only the run in which the quota ends is
+looked at block by block. A source that holds most rows is summed before anything moves.
 
 Results for odd input: a null source is a source of its own; a null or empty text has no tokens and
 comes with the first block prefix that reaches it; a source without tokens has weight 0 and its
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .scratch import Scratch
 
-MAX_BLOCKS = 1 << 16
+RUN_BLOCKS = 1 << 10
 SECTIONS, SEARCHES = 32, 7
 #: Plans of sources are sent to all executors up to this many (about 64 MB); beyond it they are joined by a shuffle.
 SENT_SOURCES = 500_000
@@ -80,8 +82,9 @@ def exponent(sources: DataFrame, total: int, budget: float, entropy_share: float
 
 
 def plan(slim: DataFrame, tables: Scratch, budget: int | None, entropy_share: float, max_repeats: float, block_tokens: int, seed: int) -> DataFrame:
-    """One row per source: weight, epochs, blocks, n_full (whole blocks of the last epoch) and the
-    hash up to which documents of the next block come. ``slim`` has doc_id, source, n_tokens."""
+    """One row per source: weight, epochs, blocks, the block at which the last epoch ends (``end_turn``,
+    ``end_block``; null if no block is cut) and the hash up to which documents of that block come.
+    ``slim`` has doc_id, source, n_tokens."""
     sources = tables.keep(slim.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), "sources")
     total = sources.agg(F.sum("tokens")).first()[0] or 0
     wanted = float(total if budget is None else budget)
@@ -90,25 +93,29 @@ def plan(slim: DataFrame, tables: Scratch, budget: int | None, entropy_share: fl
     quotas = sources.withColumn("weight", weight).withColumn("quota", (F.col("weight") * F.lit(wanted)).cast("long"))
     quotas = quotas.withColumns({
         "epochs": F.when(F.col("tokens") > 0, F.expr("quota div tokens")).otherwise(F.lit(0)).cast("int"),
-        "blocks": F.least(F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)), F.lit(MAX_BLOCKS)).cast("int"),
+        "blocks": F.greatest(F.ceil(F.col("tokens") / block_tokens), F.lit(1)).cast("long"),
     }).withColumn("rest", F.col("quota") - F.col("epochs") * F.col("tokens"))
     quotas = tables.keep(quotas, "quotas")
 
-    ranked = join_plan(slim, quotas.select("source", "blocks", "rest"), quotas.count())
-    ranked = ranked.select("source", "rest", "n_tokens", block_rank(seed).alias("block"), place(seed).alias("place"))
-    sizes = ranked.groupBy("source", "rest", "block").agg(F.sum("n_tokens").alias("n"))
-    running = F.sum("n").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, 0))
-    fits = sizes.withColumn("sum", running).groupBy("source", "rest").agg(
-        F.coalesce(F.sum(F.when(F.col("sum") <= F.col("rest"), 1)), F.lit(0)).cast("int").alias("n_full"),
-        F.coalesce(F.max(F.when(F.col("sum") <= F.col("rest"), F.col("sum"))), F.lit(0)).alias("used"),
-    )
-    fits = tables.keep(fits.select("source", (F.col("rest") - F.col("used")).alias("left"), "n_full"), "fits")
-    edge = join_plan(ranked.drop("rest"), fits, 0 if fits.isEmpty() else fits.count()).where("block = n_full")
-    inside = F.sum("n_tokens").over(W.partitionBy("source").orderBy("place"))
-    upto = edge.withColumn("sum", inside).where("sum <= left").groupBy("source").agg(F.max("place").alias("upto"))
-    out = quotas.alias("q").join(fits.alias("f"), F.col("q.source").eqNullSafe(F.col("f.source")))
+    ranked = join_plan(slim, quotas.select("source", "blocks", "epochs", "rest"), quotas.count())
+    ranked = ranked.withColumn("block", block_number(seed))
+    sizes = ranked.groupBy("source", "blocks", "epochs", "rest", "block").agg(F.sum("n_tokens").alias("n"))
+    sizes = tables.keep(sizes.withColumn("turn", turn(F.col("epochs"), seed)).withColumn("run", run_number()), "blocks")
+    runs = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, 0)
+    ends = sizes.groupBy("source", "rest", "run").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(runs) - F.col("n"))
+    ends = ends.where("before <= rest and before + n > rest").select("source", "run", "before")
+    blocks = W.partitionBy("source").orderBy("turn", "block").rowsBetween(W.unboundedPreceding, 0)
+    inside = sizes.alias("s").join(ends.alias("e"), F.col("s.source").eqNullSafe(F.col("e.source")) & (F.col("s.run") == F.col("e.run")))
+    inside = inside.select("s.source", "rest", "turn", "block", "n", "before").withColumn("before", F.col("before") + F.sum("n").over(blocks) - F.col("n"))
+    inside = inside.where("before <= rest and before + n > rest")
+    cuts = tables.keep(inside.select("source", F.col("turn").alias("end_turn"), F.col("block").alias("end_block"), (F.col("rest") - F.col("before")).alias("left")), "cuts")
+
+    edge = join_plan(ranked.select("doc_id", "source", "n_tokens", "block"), cuts, cuts.count()).where("block = end_block").withColumn("place", place(seed))
+    within = F.sum("n_tokens").over(W.partitionBy("source").orderBy("place"))
+    upto = edge.withColumn("sum", within).where("sum <= left").groupBy("source").agg(F.max("place").alias("upto"))
+    out = quotas.alias("q").join(cuts.alias("c"), F.col("q.source").eqNullSafe(F.col("c.source")), "left")
     out = out.join(upto.alias("u"), F.col("q.source").eqNullSafe(F.col("u.source")), "left")
-    return tables.keep(out.select("q.source", "q.weight", "q.epochs", "q.blocks", "f.n_full", "u.upto"), "plan")
+    return tables.keep(out.select("q.source", "q.weight", "q.epochs", "q.blocks", "c.end_turn", "c.end_block", "u.upto"), "plan")
 
 
 def join_plan(rows: DataFrame, small: DataFrame, count: int) -> DataFrame:
@@ -118,10 +125,20 @@ def join_plan(rows: DataFrame, small: DataFrame, count: int) -> DataFrame:
     return rows.join(right, F.col("source").eqNullSafe(F.col("plan_source"))).drop("plan_source")
 
 
-def block_rank(seed: int):
-    """Rank of a document's block in the permutation of its source's blocks: a hash deals documents to
-    ranks, so the permutation is part of the hash."""
-    return F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.col("blocks").cast("long")).cast("int")
+def block_number(seed: int):
+    """The block of a document within its source, the same in every epoch."""
+    return F.pmod(F.xxhash64("doc_id", "source", F.lit(seed)), F.col("blocks"))
+
+
+def turn(epoch, seed: int):
+    """What the permutation of an epoch orders the blocks of a source by."""
+    return F.xxhash64("source", epoch.cast("int"), "block", F.lit(seed + 2))
+
+
+def run_number():
+    """Neighbours of the permutation in runs of about ``RUN_BLOCKS``: turns are cut evenly, in their order."""
+    high = F.shiftrightunsigned(F.col("turn").bitwiseXOR(F.lit(-(2**63))), 33)
+    return F.shiftrightunsigned(high * (1 + F.expr(f"blocks div {RUN_BLOCKS}")), 31)
 
 
 def place(seed: int):
@@ -136,11 +153,11 @@ def mix(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95,
 
 
 def order(docs: DataFrame, budget: int | None = None, entropy_share: float = 0.95, max_repeats: float = 4.0, block_tokens: int = 1 << 18, seed: int = 8) -> DataFrame:
-    """The realised mixture without texts: doc_id, source, n_tokens, and epoch (from 0) and block of
-    each row. Read in the order of epoch and block, every source keeps its weight."""
+    """The realised mixture without texts: doc_id, source, n_tokens, and epoch (from 0), block and turn of
+    each row. Read in the order of epoch and turn, every source gives its blocks in an order of that epoch."""
     row = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text")
     slim, plans = planned(row, budget, entropy_share, max_repeats, block_tokens, seed)
-    return realised(slim, slim, plans, seed).select("doc_id", "source", "n_tokens", "epoch", "block")
+    return realised(slim, slim, plans, seed).select("doc_id", "source", "n_tokens", "epoch", "block", "turn")
 
 
 def planned(rows: DataFrame, budget: int | None, entropy_share: float, max_repeats: float, block_tokens: int, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -151,8 +168,12 @@ def planned(rows: DataFrame, budget: int | None, entropy_share: float, max_repea
 
 
 def realised(rows: DataFrame, slim: DataFrame, plans: DataFrame, seed: int) -> DataFrame:
-    met = join_plan(rows, plans.select("source", "epochs", "blocks", "n_full", "upto"), plans.count())
-    met = met.withColumn("block", block_rank(seed))
-    last = (F.col("block") < F.col("n_full")) | ((F.col("block") == F.col("n_full")) & F.coalesce(place(seed) <= F.col("upto"), F.lit(False)))
+    met = join_plan(rows, plans.select("source", "epochs", "blocks", "end_turn", "end_block", "upto"), plans.count())
+    met = met.withColumn("block", block_number(seed))
+    own = turn(F.col("epochs"), seed)
+    first = (own < F.col("end_turn")) | ((own == F.col("end_turn")) & (F.col("block") < F.col("end_block")))
+    cut = (F.col("block") == F.col("end_block")) & F.coalesce(place(seed) <= F.col("upto"), F.lit(False))
+    last = F.coalesce(first, F.lit(True)) | F.coalesce(cut, F.lit(False))
     met = met.withColumn("copies", F.col("epochs") + last.cast("int")).where("copies > 0")
-    return met.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
+    met = met.withColumn("epoch", F.explode(F.expr("sequence(0, copies - 1)")))
+    return met.withColumn("turn", turn(F.col("epoch"), seed))

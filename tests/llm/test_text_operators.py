@@ -402,6 +402,47 @@ def test_mixing_rows(spark):
     assert Counter(r.doc_id for r in mixing.mix(flat).collect()) == Counter(range(30))
 
 
+def test_mixing_blocks(spark):
+    """Blocks stay as they are, every epoch has its own order of them, and a plain walk along the last
+    epoch's order ends at the same document."""
+    docs, rows = mixture_input(spark)
+    got = mixing.order(docs, entropy_share=0.99, max_repeats=5.0, block_tokens=64).collect()
+    sizes = {(k, s): len(words_of(text)) for k, text, s in rows}
+    by_source: dict = {}
+    for r in got:
+        by_source.setdefault(r.source, {}).setdefault(r.epoch, []).append(r)
+    assert any(len(e) > 2 for e in by_source.values())
+    total = sum(sizes.values())
+    slim = mixing.planned(docs, None, 0.99, 5.0, 64, 8)[1].collect()
+    for p in slim:
+        epochs = by_source.get(p.source, {})
+        blocks = {e: {r.block: r.turn for r in of} for e, of in epochs.items()}
+        block_of: dict = {}
+        for of in epochs.values():
+            for r in of:
+                assert block_of.setdefault(r.doc_id, r.block) == r.block
+        whole = [sorted(blocks[e], key=lambda b: (blocks[e][b], b)) for e in range(p.epochs)]
+        assert all(set(w) == set(whole[0]) for w in whole)
+        if len(whole) > 1 and len(whole[0]) > 6:
+            assert all(a != b for a, b in zip(whole, whole[1:]))
+        if not p.epochs or p.end_turn is None:
+            continue
+        left = int(p.weight * total) - p.epochs * sum(n for (_, s), n in sizes.items() if s == p.source)
+        last = {r.doc_id for r in epochs.get(p.epochs, [])}
+        members: dict = {}
+        for k, b in block_of.items():
+            members.setdefault(b, set()).add(k)
+        keys = {r.block: r.own for r in spark.createDataFrame([(p.source, b) for b in members], "source string, block long").withColumn("own", mixing.turn(F.lit(p.epochs), 8)).collect()}
+        for b in sorted(members, key=lambda b: (keys[b], b)):
+            n = sum(sizes[k, p.source] for k in members[b])
+            if n > left:
+                assert b == p.end_block and sum(sizes[k, p.source] for k in last) <= left
+                break
+            assert members[b] <= last
+            left, last = left - n, last - members[b]
+        assert last <= members[b] and last != members[b]
+
+
 # --- op10 -------------------------------------------------------------------------------------------
 
 
