@@ -7,7 +7,8 @@ import re
 from collections import Counter
 from typing import NamedTuple
 
-TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>", re.S)
+#: Quotes hold a ">" only where they open an attribute's value; elsewhere a tag ends at the first one.
+TOKENS = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -16,7 +17,8 @@ BLOCKS = frozenset(
     "iframe legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style".split())
+#: Raw text ends at its closing tag, whatever else that tag holds.
+RAW_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in ("script", "style")}
 #: An opening tag closes these, as far as no tag of the second set lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol menu table dl select".split())
@@ -100,12 +102,17 @@ def leaf_blocks(page: str) -> list[Block]:
     walk = Walker()
     at = 0
     position = 0
-    while match := TOKENS.search(page, position):
+    # No tag ends after the last ">"; looking further would read the rest once per "<".
+    stop = page.rfind(">") + 1
+    while match := TOKENS.search(page, position, stop):
         if match.start() > at:
             walk.say(page[at : match.start()])
         at = position = match.end()
         name = match[2]
         if not name:
+            if match[0].startswith("<!--") and not match[0].endswith("-->"):
+                at = len(page)
+                break
             continue
         name = name.lower()
         if match[1]:
@@ -121,14 +128,14 @@ def leaf_blocks(page: str) -> list[Block]:
         if name in BLOCKS:
             walk.flush()
             walk.close_before(name)
-        if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+        if name in RAW_ENDS:
+            end = RAW_ENDS[name].search(page, at)
             at = position = end.end() if end else len(page)
             continue
         if name in VOID or page[match.end() - 2] == "/" and name not in BLOCKS:
             continue
         walk.push(name, match[3])
-    if at < len(page):
-        walk.say(page[at:])
+    if rest := page[at:].partition("<!--")[0]:
+        walk.say(rest)
     walk.flush()
     return walk.blocks

@@ -222,6 +222,18 @@ def test_leaf_blocks():
     assert [b.text for b in leaf_blocks("<b>" * 5000 + "deep")] == ["deep"]
 
 
+def test_tags_end_as_in_browsers():
+    def said(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    assert said("<p>a<script>x</scripty></p></script foo='1'>b</p><p>c") == ["ab", "c"]
+    assert said("<p>a<style>x</style/>b<script>y</SCRIPT\n>c") == ["abc"]
+    assert said("<p title=it\"s>one</p><p title=o'clock>two</p>") == ["one", "two"]
+    assert said("<p title=\"a>b\" id = 'c>d'>one<p class=>two") == ["one", "two"]
+    assert said("<p>a<!-- > b <p>c") == ["a"] and said("<p>a<!-- b") == ["a"] and said("<p>a<script>b") == ["a"]
+    assert said("<p>1 > 0 " + "<x " * 200_000) == ["1 > 0 " + ("<x " * 200_000).strip()]
+
+
 def test_extraction(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = pages.collect()
