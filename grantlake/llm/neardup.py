@@ -12,8 +12,9 @@ fewer words has one run, all of them. Documents are linked if their sets reach `
   standard deviations) below the threshold go no further, all others are confirmed on full sets.
 * A bucket is never expanded into all pairs. In a few rounds each member is held against one
   centre of the bucket, a new centre every round, and links merge groups. What then still lies in
-  different groups of one bucket is compared in full, with two tests inside the join: that of the
-  sketches, and an exact one. Shingles that no other member of an open bucket has can't be common,
+  different groups of one bucket is compared in full, with three tests inside the join: that of the
+  sketches, that of sketches four times as long (made for these members alone, with half the
+  margin), and an exact one. Shingles that no other member of an open bucket has can't be common,
   so a document with many of them can't reach the threshold with a document of a given size. So no
   link between groups is lost, and members of one group are not compared again.
 
@@ -38,6 +39,9 @@ BANDS, ROWS = 32, 4
 SAMPLES = 256
 SKETCH_LONGS = 16
 MARGIN = 0.13
+#: Sketches of members whose buckets stay open: four times the samples and bits, half the margin.
+LONG_SAMPLES, LONG_LONGS, LONG_MARGIN = 1024, 64, 0.065
+LONG_ROWS = 1000
 ROUNDS = 3
 #: A list of ids is sent to all executors up to this many (32 MB); beyond it, tables are joined by a shuffle.
 SENT_IDS = 4_000_000
@@ -45,6 +49,8 @@ SENT_IDS = 4_000_000
 _rng = np.random.default_rng(4)
 _FACTORS = _rng.integers(0, 2**31, size=SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SHIFTS = _rng.integers(0, 2**32, size=SAMPLES, dtype=np.uint32)
+_LONG_FACTORS = _rng.integers(0, 2**31, size=LONG_SAMPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_LONG_SHIFTS = _rng.integers(0, 2**32, size=LONG_SAMPLES, dtype=np.uint32)
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,26 +73,43 @@ def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarr
     return value, np.bincount(owner, minlength=words.texts)
 
 
-def samples(value: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def samples(value: np.ndarray, counts: np.ndarray, factors: np.ndarray = _FACTORS, shifts: np.ndarray = _SHIFTS) -> np.ndarray:
     """MinHash samples of each non-empty set, as a row each."""
     starts = (np.cumsum(counts) - counts)[counts > 0]
     short = (value >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), SAMPLES), dtype=np.uint32)
-    for k in range(SAMPLES if len(starts) else 0):
-        out[:, k] = np.minimum.reduceat(short * _FACTORS[k] + _SHIFTS[k], starts)
+    out = np.empty((len(starts), len(factors)), dtype=np.uint32)
+    for k in range(len(factors) if len(starts) else 0):
+        out[:, k] = np.minimum.reduceat(short * factors[k] + shifts[k], starts)
     return out
 
 
-def sketches(sample: np.ndarray) -> np.ndarray:
+def sketches(sample: np.ndarray, longs: int = SKETCH_LONGS) -> np.ndarray:
     """Odd sketches: bit h(k, sample k) of the bitmap is flipped for every k."""
-    bits = texts.mix(sample.astype(np.uint64) + (np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * SKETCH_LONGS)
-    out = np.zeros((len(sample), SKETCH_LONGS), dtype=np.uint64)
+    n = sample.shape[1]
+    bits = texts.mix(sample.astype(np.uint64) + (np.arange(n, dtype=np.uint64) << np.uint64(32))) % np.uint64(64 * longs)
+    out = np.zeros((len(sample), longs), dtype=np.uint64)
     rows = np.arange(len(sample))
-    for k in range(SAMPLES):
+    for k in range(n):
         out[rows, bits[:, k] >> np.uint64(6)] ^= np.uint64(1) << (bits[:, k] & np.uint64(63))
     return out
 
 
+def long_sketches(sets: DataFrame) -> DataFrame:
+    """node and the longer sketch of each of ``sets`` (node, shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, LONG_ROWS):
+                batch = whole.slice(at, LONG_ROWS)
+                shingles = batch.column("shingles")
+                value = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                counts = pa.compute.list_value_length(shingles).to_numpy(zero_copy_only=False).astype(np.int64)
+                sketch = sketches(samples(value, counts, _LONG_FACTORS, _LONG_SHIFTS), LONG_LONGS)
+                yield pa.RecordBatch.from_arrays([batch.column("node"), lists(sketch)], ["node", "long_sketch"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, long_sketch array<long>")
+
+
 def bands(sample: np.ndarray) -> np.ndarray:
     keys = np.zeros((len(sample), BANDS), dtype=np.uint64)
     for k in range(ROWS):
@@ -141,12 +164,12 @@ def full_sets(docs: DataFrame, size: int) -> DataFrame:
     return plain.mapInArrow(run, "doc_id long, f1 long, shingles array<long>")
 
 
-def estimate(a: str, b: str):
+def estimate(a: str, b: str, longs: int = SKETCH_LONGS, n_samples: int = SAMPLES):
     """Similarity of two sets from their odd sketches."""
-    bits = 64 * SKETCH_LONGS
-    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(SKETCH_LONGS)), F.lit(0))
+    bits = 64 * longs
+    differ = sum((F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(longs)), F.lit(0))
     left = F.greatest(1 - 2 * differ / F.lit(float(bits)), F.lit(1e-6))
-    return 1 + F.lit(bits / (4.0 * SAMPLES)) * F.log(left)
+    return 1 + F.lit(bits / (4.0 * n_samples)) * F.log(left)
 
 
 class Linker:
@@ -158,6 +181,9 @@ class Linker:
     def close(self, a: str = "sketch_a", b: str = "sketch_b"):
         return estimate(a, b) >= self.percent / 100 - MARGIN
 
+    def closer(self, a: str = "long_sketch_a", b: str = "long_sketch_b"):
+        return estimate(a, b, LONG_LONGS, LONG_SAMPLES) >= self.percent / 100 - LONG_MARGIN
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of ``pairs`` (a, b)."""
         left = self.sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
@@ -205,7 +231,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
             placed = tables.keep(placed.join(open_, "key"), f"open-{number}")
             if placed.isEmpty():
                 break
-        pairs = last_pairs(placed, wanted, sets, linker) if number == ROUNDS else linker.candidates(star_pairs(placed, number))
+        pairs = last_pairs(placed, wanted, sets, linker, tables) if number == ROUNDS else linker.candidates(star_pairs(placed, number))
         found = tables.keep(linker.confirm(pairs), f"links-{number}")
         if number == ROUNDS and found.isEmpty():
             break
@@ -246,7 +272,7 @@ def star_pairs(placed: DataFrame, number: int) -> DataFrame:
     return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
 
 
-def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Linker) -> DataFrame:
+def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Linker, tables: Scratch) -> DataFrame:
     """Pairs of one bucket in different groups: members outside the bucket's largest group with all
     members of other groups, as far as sketches and own shingles allow a link. A pair that shares
     several buckets comes from the first of them alone."""
@@ -257,12 +283,12 @@ def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Li
     own = single.where("n = 1").groupBy("node").agg(F.count("*").alias("own"))
     sizes = open_sets.select("node", F.size("shingles").alias("size")).join(own, "node", "left")
     keys = placed.groupBy("node").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    facts = sizes.join(wanted.select("node", "sketch"), "node").join(keys, "node")
-    facts = facts.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sketch", "keys")
+    facts = sizes.join(wanted.select("node", "sketch"), "node").join(keys, "node").join(long_sketches(open_sets), "node")
+    facts = tables.keep(facts.select("node", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("common"), "sketch", "long_sketch", "keys"), "open-facts")
     rows = placed.join(main, "key").join(facts, "node")
 
     def side(name: str, rows: DataFrame) -> DataFrame:
-        return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "main", "size", "common", "sketch", "keys")])
+        return rows.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "main", "size", "common", "sketch", "long_sketch", "keys")])
 
     percent = linker.percent
     most = F.least("common_a", "common_b")
@@ -270,5 +296,5 @@ def last_pairs(placed: DataFrame, wanted: DataFrame, sets: DataFrame, linker: Li
     left, right = side("a", rows.where("component <> main")), side("b", rows)
     once = (F.col("node_a") < F.col("node_b")) | (F.col("component_b") == F.col("main_b"))
     first = F.element_at(F.array_intersect("keys_a", "keys_b"), 1) == left.key
-    pairs = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & once & possible & linker.close() & first)
+    pairs = left.join(right, (left.key == right.key) & (F.col("component_a") != F.col("component_b")) & once & possible & first & linker.close() & linker.closer())
     return pairs.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()

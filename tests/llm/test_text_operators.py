@@ -287,6 +287,51 @@ def test_odd_sketch_estimates():
         assert abs(np.mean(errors)) < 0.03 and np.max(np.abs(errors)) < neardup.MARGIN
 
 
+def near_copies(n):
+    """Near copies of one text, three of 120 words changed in each: most pairs lie at about 0.66."""
+    rng = random.Random(44)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for k in range(n):
+        changed = set(rng.sample(range(120), 3))
+        rows.append((k, " ".join(f"x{k}_{j}" if j in changed else w for j, w in enumerate(base))))
+    return rows
+
+
+def test_last_pairs_grow_slowly(spark, monkeypatch):
+    """Pairs of open buckets that lie well below the threshold are never confirmed on full sets."""
+    sent = []
+    last = neardup.last_pairs
+
+    def counted(*args):
+        pairs = last(*args).persist()
+        sent.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(neardup, "last_pairs", counted)
+    rows = near_copies(300)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=5).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_groups(rows, 5)
+    print("pairs confirmed", sent)
+    assert all(n < 4000 for n in sent)
+
+
+def test_long_sketch_estimates(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(120):
+        similarity = (0.66, 0.8, 0.95)[k % 3]
+        shared = int(600 * similarity)
+        pool = rng.integers(-(2**62), 2**62, size=1200 - shared)
+        rows += [(2 * k, sorted(pool[:600].tolist())), (2 * k + 1, sorted(np.concatenate((pool[:shared], pool[600:])).tolist()))]
+        want.append(shared / (1200 - shared))
+    found = {r.node: r.long_sketch for r in neardup.long_sketches(spark.createDataFrame(rows, "node long, shingles array<long>")).collect()}
+    pairs = spark.createDataFrame([(k, found[2 * k], found[2 * k + 1]) for k in range(120)], "k int, a array<long>, b array<long>")
+    got = {r.k: r.e for r in pairs.select("k", neardup.estimate("a", "b", neardup.LONG_LONGS, neardup.LONG_SAMPLES).alias("e")).collect()}
+    errors = [got[k] - want[k] for k in range(120)]
+    assert abs(np.mean(errors)) < 0.01 and np.max(np.abs(errors)) < neardup.LONG_MARGIN
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
