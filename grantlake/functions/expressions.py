@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from . import rules
 
-WORD_RUN = r"[\p{L}\p{N}_]+"
-PLAIN_IDENTIFIER = "^[A-Za-z_][A-Za-z0-9_]*$"
+WHOLE_IDENTIFIER = r"(?<![\p{L}\p{N}_])[A-Za-z_][A-Za-z0-9_]*+(?![\p{L}\p{N}_])"
 REQUEST_CONTEXT = r"\$\{\{[^}]+\}\}"
 COLUMN_MARK = r"(?i)\{col\}"
 BUILTIN_CALL = r"(?iU)\b(" + "|".join(rules.MASK_BUILTINS) + r")\s*\("
@@ -30,15 +29,12 @@ def without_literals(text: Column) -> Column:
 def filter_columns(text: Column) -> Column:
     """Column names a filter expression refers to, first use first.
 
-    Literals are dropped, then whole word runs are kept when they are plain identifiers and not
-    one of the fixed words.
+    Literals are dropped, then whole word runs are kept when they are plain identifiers (one pattern
+    finds both) and not one of the fixed words. Names are made distinct before they meet the words.
     """
     bare = F.regexp_replace(without_literals(text), '"[^"]*"', " ")
-    words = F.regexp_extract_all(bare, F.lit(WORD_RUN), 0)
-    names = F.filter(
-        words, lambda w: w.rlike(PLAIN_IDENTIFIER) & ~F.lower(w).isin(rules.FILTER_WORDS)
-    )
-    return F.array_distinct(names)
+    names = F.array_distinct(F.regexp_extract_all(bare, F.lit(WHOLE_IDENTIFIER), 0))
+    return F.filter(names, lambda w: ~F.lower(w).isin(rules.FILTER_WORDS))
 
 
 def context_attributes(text: Column) -> Column:

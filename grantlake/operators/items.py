@@ -284,45 +284,41 @@ def initial_status(kind: Column, schema: Column) -> Column:
     return F.when(kind.isin(NEEDS_REVIEW) | all_spaces, "needs_review").otherwise("pending")
 
 
-CELL = "struct<schema:string,table:string,path:string,udf_name:string,id_part:string,cell_no:bigint>"
-
-
-def _cells() -> Column:
-    """Resources of a sub-item in order: every pair of the outer and inner resource lists."""
+def _resource() -> Column:
+    """The resource at ``outer`` and ``inner`` of a sub-item (one element each) as a struct."""
     where, rule = F.col("route"), F.col("kind").isin("filter", "mask")
     none = F.lit(None).cast("string")
-
-    def cell(db: Column, res: Column, number: Column) -> Column:
-        split = F.split(res, ":", 2)
-        spaced = res.contains(":")
-        namespace = (
-            F.when(spaced, F.get(split, F.lit(0)))
-            .when(res == "*", F.lit(rules.ALL_NAMESPACES))
-            .otherwise(F.lit("default"))
-        )
-        bare = F.when(spaced & (where == "kv"), F.get(split, F.lit(1))).otherwise(res)
-        tabular = where.isin("table", "kv")
-        part = F.when(where.isin("table", "function"), F.concat(F.lit("-"), db, F.lit("-"), res)).otherwise("")
-        return F.struct(
-            F.when(where == "kv", namespace).otherwise(db),
-            F.when(tabular & (rule | (bare != "*")), bare).otherwise(none),
-            F.when(where.isin("path", "url"), res).otherwise(none),
-            F.when(where == "function", res).otherwise(none),
-            part,
-            number.cast("bigint"),
-        ).cast(CELL)
-
-    width = F.size("inner")
-    return F.flatten(
-        F.transform("outer", lambda db, i: F.transform("inner", lambda res, j: cell(db, res, i * width + j)))
+    db, res = F.col("outer.value"), F.col("inner.value")
+    split = F.split(res, ":", 2)
+    spaced = res.contains(":")
+    namespace = (
+        F.when(spaced, F.get(split, F.lit(0)))
+        .when(res == "*", F.lit(rules.ALL_NAMESPACES))
+        .otherwise(F.lit("default"))
     )
+    bare = F.when(spaced & (where == "kv"), F.get(split, F.lit(1))).otherwise(res)
+    part = F.when(where.isin("table", "function"), F.concat(F.lit("-"), db, F.lit("-"), res)).otherwise("")
+    return F.struct(
+        F.when(where == "kv", namespace).otherwise(db).alias("schema"),
+        F.when(where.isin("table", "kv") & (rule | (bare != "*")), bare).otherwise(none).alias("table"),
+        F.when(where.isin("path", "url"), res).otherwise(none).alias("path"),
+        F.when(where == "function", res).otherwise(none).alias("udf_name"),
+        part.alias("id_part"),
+        (F.col("outer_no") * F.col("width") + F.col("inner_no")).alias("cell_no"),
+    )
+
+
+def _boxed(array: str) -> Column:
+    """Elements in structs, so that null ones come through ``unnest``."""
+    return F.transform(array, lambda v: F.struct(v.alias("value")))
 
 
 def resource_items(policies: DataFrame, catalog: str = "main") -> DataFrame:
     """Items of all policies that name resources themselves (every route but tags).
 
     What is the same for all items of a sub-item is worked out once per sub-item, before the
-    fan-out; per item only the number, the id and the picks of resource and principal remain.
+    fan-out; per item only the number, the id and the picks of resource and principal remain. Outer
+    and inner resources are unnested one after the other, so pairs of them are never an array.
     """
     where, kind = F.col("route"), F.col("kind")
     units = policy_units(policies.filter(~F.coalesce(F.size(resource_values("tag")) > 0, F.lit(False))))
@@ -380,10 +376,17 @@ def resource_items(policies: DataFrame, catalog: str = "main") -> DataFrame:
         ),
         "blanks",
         F.when(~rule & ~deny, F.col("delegate_admin")).alias("delegate_admin"),
-        _cells().alias("cells"),
+        "route",
+        "kind",
+        _boxed("outer").alias("outers"),
+        _boxed("inner").alias("inners"),
+        F.size("inner").cast("bigint").alias("width"),
         _leaves().alias("leaves"),
     )
-    by_cell = unnest(prepared, "cells", "cell", keep=[c for c in prepared.columns if c != "cells"])
+    by_outer = unnest(prepared, "outers", "outer", "outer_no", [c for c in prepared.columns if c != "outers"])
+    by_inner = unnest(by_outer, "inners", "inner", "inner_no", [c for c in by_outer.columns if c != "inners"])
+    parts = {"route", "kind", "outer", "outer_no", "inner", "inner_no", "width"}
+    by_cell = by_inner.select(*[c for c in by_inner.columns if c not in parts], _resource().alias("cell"))
     rows = unnest(by_cell, "leaves", "leaf", keep=[c for c in by_cell.columns if c != "leaves"])
     rows = rows.withColumn(
         "number", F.col("base") + F.col("cell.cell_no") * F.col("stride") + F.col("leaf.leaf_no")
