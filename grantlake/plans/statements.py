@@ -6,7 +6,7 @@ large export spread over tasks, and the sink sorts by range.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import expression_issues, filter_columns, is_clean
@@ -27,7 +27,7 @@ from ..operators.conflicts import (
     wildcard_column_emitters,
     wildcard_column_grants,
 )
-from ..operators.enforce import CO_ACCESS
+from ..operators.enforce import CO_ACCESS, deny_pattern_columns
 from ..operators.identity import map_principals
 from ..operators.review import eligible, guard_code
 from ..operators.rule_bodies import (
@@ -38,6 +38,7 @@ from ..operators.rule_bodies import (
     mask_kind,
     merged_mask_body,
 )
+from ..operators.wildcards import columns_for_patterns
 
 LINE_KEY = ["export_id", "part", "block", "sub", "line_no"]
 HEADER, NOTICE, MERGED, ITEM = 0, 1, 2, 3
@@ -156,6 +157,68 @@ def _co_access_lines(catalog: Column) -> Column:
     return F.coalesce(blocks, no_lines())
 
 
+#: Places of the columns of a pattern group within their item, after all of its principals.
+AFTER_MEMBERS = 1 << 62
+
+
+def _null_mask(name: Column, column: Column, test: Column, catalog: Column) -> Column:
+    return _lines(
+        _text("CREATE OR REPLACE FUNCTION ", name, "(val STRING)"),
+        "RETURNS STRING",
+        _text("RETURN IF(", test, ", NULL, val);"),
+        _text("ALTER TABLE ", _place(catalog)),
+        _text("ALTER COLUMN ", quoted(column), " SET MASK ", name, ";"),
+    )
+
+
+def restricted_column_rows(items: DataFrame, columns: DataFrame, mapping: DataFrame | None = None, catalog: str = "main") -> DataFrame:
+    """Grants by column pattern as masks, at the place of the group's first item: (export_id, seq, sub, lines).
+
+    A group has one test function, with a line per permitted principal, and one mask per column that
+    calls it, so lines grow with principals plus columns. Principals come by their first item,
+    columns by name.
+    """
+    where = F.lit(catalog)
+    group = ["export_id", "schema", "table", "pattern"]
+    led = wildcard_column_emitters(items)
+    tester = F.concat(dotted(where, F.col("schema")), F.lit(".permitted_"), safe_name(F.col("table")), F.lit("_"), F.col("seq").cast("string"))
+    head = _lines(_text("CREATE OR REPLACE FUNCTION ", tester, "()"), "RETURNS BOOLEAN", "RETURN FALSE")
+    people = map_principals(wildcard_column_grants(items).drop("column"), mapping)
+    people = people.groupBy(*group, "principal_type", "principal_name").agg(F.min("seq").alias("member_seq")).join(led, group)
+    test = _lines(_text("  OR ", member_test(F.col("principal_type"), F.col("principal_name"))))
+    by_name = Window.partitionBy("export_id", "seq").orderBy("match")  # columns of one table
+    found = columns_for_patterns(led, columns).withColumn("rank", F.row_number().over(by_name))
+    name = F.concat(dotted(where, F.col("schema")), F.lit(".mask_"), safe_name(F.col("table")), F.lit("_col_restrict_"), safe_name(F.col("match")))
+    masks = _null_mask(name, F.col("match"), F.concat(F.lit("NOT "), tester, F.lit("()")), where)
+    return (
+        led.select("export_id", "seq", F.lit(1).cast("bigint").alias("sub"), head.alias("lines"))
+        .unionByName(people.select("export_id", "seq", F.col("member_seq").alias("sub"), test.alias("lines")))
+        .unionByName(led.select("export_id", "seq", F.lit(AFTER_MEMBERS).alias("sub"), _lines("  ;").alias("lines")))
+        .unionByName(found.select("export_id", "seq", (F.lit(AFTER_MEMBERS) + F.col("rank")).alias("sub"), masks.alias("lines")))
+    )
+
+
+def denied_column_rows(items: DataFrame, columns: DataFrame, mapping: DataFrame | None = None, catalog: str = "main") -> DataFrame:
+    """Denies by column pattern as masks, after the lines of their item: (export_id, seq, sub, lines)."""
+    where = F.lit(catalog)
+    hit = deny_pattern_columns(items, columns).filter(guard_code().isNull()).withColumnRenamed("column", "match")
+    once = map_principals(hit.dropDuplicates(["export_id", "seq", "match"]), mapping)
+    ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("export_id", "seq").orderBy("match")))
+    denied = member_test(F.col("principal_type"), F.col("principal_name"))
+    test = F.when(exception_test() != "", _text("(", denied, " AND NOT (", exception_test(), "))")).otherwise(denied)
+    name = F.concat(
+        dotted(where, F.col("schema")), F.lit(".mask_"), safe_name(F.col("table")), F.lit("_deny_"),
+        safe_name(F.col("principal_name")), F.lit("_"), safe_name(F.col("match")),
+    )
+    return ranked.select("export_id", "seq", F.col("rank").cast("bigint").alias("sub"), _null_mask(name, F.col("match"), test, where).alias("lines"))
+
+
+def column_pattern_lines(items: DataFrame, columns: DataFrame, mapping: DataFrame | None = None, catalog: str = "main") -> DataFrame:
+    """Statements of all items with a column pattern: (export_id, seq, sub, line_no, line)."""
+    rows = restricted_column_rows(items, columns, mapping, catalog).unionByName(denied_column_rows(items, columns, mapping, catalog))
+    return unnest(rows, "lines", "line", "line_no", ["export_id", "seq", "sub"])
+
+
 def item_lines(catalog: Column) -> Column:
     """Executable lines of one item; advisory items have none."""
     kind = F.col("type")
@@ -361,11 +424,13 @@ def script_lines(
     catalog: str = "main",
     today: str = "",
     tables: DataFrame | None = None,
+    columns: DataFrame | None = None,
 ) -> DataFrame:
     """All lines of the migration script of each export, with their sort key.
 
     Merged rules come first, then the other items in order. Grants by pattern or whole schema are
-    resolved against ``tables`` when given, at the end.
+    resolved against ``tables`` when given, at the end; column patterns against ``columns``, at the
+    place of their item.
     """
     sizes = items.groupBy("export_id").agg(
         F.count("*").alias("total"), F.count_if(F.col("status").isin("approved", "needs_review")).alias("used")
@@ -400,6 +465,9 @@ def script_lines(
         _lines(_text("-- columns like ", F.col("pattern"), " of ", dotted(F.lit(catalog), F.col("schema"), F.col("table")), " are hidden from everybody not permitted")),
     )
     out = header.unionByName(noted).unionByName(merged).unionByName(plain).unionByName(patterns)
+    if columns is not None:
+        for rows in (restricted_column_rows(items, columns, mapping, catalog), denied_column_rows(items, columns, mapping, catalog)):
+            out = out.unionByName(_rows(rows, ITEM, F.col("seq"), F.col("sub"), F.col("lines")))
     if tables is not None:
         # Direct grants are among the statements of their items already.
         effective = grants.effective_grants(items, tables, mapping, catalog, direct=False)
