@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """``df`` and a column that is worked out once per row.
+
+    A filter on a computed column is pushed below the projection that makes it, with the whole computation
+    and all it reads written out again in it. It stays above a generator.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def unnest(
     df: DataFrame, array: Column | str, name: str, position: str | None = None, keep: list[str] | None = None
 ) -> DataFrame:

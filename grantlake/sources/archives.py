@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import file_stem, slug
 from ..functions.principals import PRINCIPAL
+from ..functions.rows import once
 from ..operators.items import as_items
 
 # Field names of the archive format, nested form and old flat form.
@@ -48,9 +51,43 @@ ITEM_FIELDS = {
 }
 
 
+#: Folder, within a folder of archives, of the tables that ``save_archives`` writes, one per save.
+SAVED = "saved"
+
+
+def _saves(spark: SparkSession, path: str) -> list[str]:
+    """Names of the saves in a folder, oldest first."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{SAVED}")
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    return sorted(n.removeprefix("save=") for n in names if n.startswith("save="))
+
+
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Archives of a folder as (archive, document, size_kb): files as they are, and those that
-    ``save_archives`` has written to a folder each."""
+    ``save_archives`` has written. Of a name that was saved several times the last save counts."""
+    files = _archive_files(spark, path)
+    saves = _saves(spark, path)
+    if not saves:
+        return files.drop("in_folder")
+    written = spark.read.option("basePath", f"{path}/{SAVED}").schema("archive string, document string, save string").parquet(
+        *[f"{path}/{SAVED}/save={n}" for n in saves]
+    )
+    if len(saves) > 1:
+        last = written.groupBy("archive").agg(F.max("save").alias("last"))
+        same = written.archive.eqNullSafe(last.archive) & (written.save == last.last)
+        written = written.join(last, same, "left_semi")
+    # As a text file would have it, with the end of its line.
+    size = ((F.octet_length("document") + 1) / 1024).alias("size_kb")
+    older = files.join(written.select("archive", F.lit(True).alias("in_folder")), ["archive", "in_folder"], "left_anti")
+    return older.select("archive", "document", "size_kb").unionByName(written.select("archive", "document", size))
+
+
+def _archive_files(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of a folder; ``in_folder``: one that a save of an earlier form has put in a folder of its own."""
     text = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{json,txt}")
     saved = F.regexp_extract("_metadata.file_path", "/archive=([^/]*)/[^/]*$", 1)
     # A folder name is escaped once by the writer and once more in the file's address.
@@ -59,14 +96,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         F.when(saved != "", name).otherwise(F.col("_metadata.file_name")).alias("archive"),
         F.col("value").alias("document"),
         (F.col("_metadata.file_size") / 1024).alias("size_kb"),
+        (saved != "").alias("in_folder"),
     )
 
 
 def normalised(documents: DataFrame) -> DataFrame:
     """Both archive forms as one shape; documents that are no JSON are left out."""
-    parsed = documents.filter(F.try_parse_json("document").isNotNull()).withColumn(
-        "a", F.from_json("document", ARCHIVE)
-    )
+    sound = once(documents, F.try_parse_json("document").isNotNull(), "sound").filter("sound")
+    parsed = sound.withColumn("a", F.from_json("document", ARCHIVE))
     nested = F.col("a.metadata").isNotNull() & F.col("a.parsed_data").isNotNull()
     inner = F.from_json("a.parsed_data", PARSED)
     items = F.when(nested, F.col("a.policy_items")).otherwise(F.col("a.policyItems"))
@@ -120,7 +157,7 @@ def fill_from_files(archives: DataFrame, scripts: DataFrame, sources: DataFrame)
 
 def archive_items(archives: DataFrame) -> DataFrame:
     """Items of archives as rows, with the archive name as export."""
-    rows = archives.select("archive", F.posexplode("items").alias("seq", "i"))
+    rows = archives.select("archive", F.posexplode_outer("items").alias("seq", "i")).filter("seq IS NOT NULL")
     named = rows.select(
         F.col("archive").alias("export_id"),
         F.col("seq").cast("bigint").alias("seq"),
@@ -189,17 +226,16 @@ def archive_documents(sessions: DataFrame) -> DataFrame:
 
 def save_archives(sessions: DataFrame, path: str) -> None:
     """Write sessions as archive documents, in place of those of the same name; others stay. An empty
-    frame is an error: nothing is loaded."""
+    frame is an error: nothing is loaded.
+
+    A save is one table of (archive, document), named after those before it, so the number of files
+    follows the tasks and not the archives. ``read_archives`` takes each name from its last save.
+    """
     if sessions.isEmpty():
         raise ValueError("no policies loaded to archive")
-    (
-        archive_documents(sessions)
-        .select("archive", F.col("document").alias("value"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("archive")
-        .text(path)
-    )
+    before = _saves(sessions.sparkSession, path)
+    number = int(before[-1].split("-")[0]) + 1 if before else 0
+    archive_documents(sessions).write.parquet(f"{path}/{SAVED}/save={number:09d}-{uuid.uuid4().hex}")
 
 
 def bundle_parts(archives: DataFrame) -> dict[str, DataFrame]:
