@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(keys: DataFrame) -> DataFrame:
+    """Narrow rows dealt evenly before each grows into a policy or a document. A table of a few row groups
+    is read by as many tasks, and keys are too small to be split by their size."""
+    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keys.repartition(parts, *keys.columns)
+
+
 def _sub(groups="array()", users="array()", roles="array()", accesses="array()", delegate="false",
          conditions="null", row_filter="null", mask="null") -> str:
     return (
@@ -119,8 +126,7 @@ def order_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS k", "o_custkey AS c", "o_orderstatus AS st", "o_orderpriority AS pr"
     )
-    # Keys only: a policy grows a thousandfold from them.
-    return keys.repartition("k").selectExpr(
+    return spread(keys).selectExpr(
         "concat('svc', c % 7) AS export_id", "'hive' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -140,7 +146,7 @@ def page_policies(spark: SparkSession, sf_dir: str, url_resource: bool = False)
     )
     policy = _policy("k", "concat('page_', k)", resources=f"map('{name}', {_values(paths, 'k % 2 = 0')})",
                      allow=f"array({allow})")
-    return table(spark, sf_dir, "pages").selectExpr("page_id AS k", "url").selectExpr(
+    return spread(table(spark, sf_dir, "pages").selectExpr("page_id AS k", "url")).selectExpr(
         f"'{export}' AS export_id", f"'{service}' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -159,7 +165,7 @@ def part_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = _policy("k", "concat('part_', k)",
                      resources=f"map('table', {_values(tables)}, 'column-family', {_values(families)})",
                      allow=f"array({allow})")
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS k").selectExpr(
+    return spread(table(spark, sf_dir, "part").selectExpr("p_partkey AS k")).selectExpr(
         "'kv' AS export_id", "'hbase' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -171,7 +177,7 @@ def supplier_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     policy = _policy("k", "concat('fn_', k)",
                      resources=f"map('udf', {_values(_udfs())}, 'database', {_values(dbs)})",
                      allow=f"array({allow})")
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr(
+    return spread(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k")).selectExpr(
         "'fn' AS export_id", "'hive' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -241,7 +247,7 @@ def tag_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     mask = _sub(mask="named_struct('dataMaskType', 'MASK_HASH', 'valueExpr', null, 'conditionExpr', null)")
     policy = _policy("k", "concat('tag_', k)", enabled="k % 6 <> 0", resources=f"map('tag', {_values(names)})",
                      allow=f"array({allow})", filters=_when("k % 2 = 0", row_filter), masks=_when("k % 5 = 1", mask))
-    return table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k").selectExpr(
+    return spread(table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS k")).selectExpr(
         "'tags' AS export_id", "'hive' AS service_type", "k AS policy_pos", f"{policy} AS policy"
     )
 
@@ -316,7 +322,7 @@ def export_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"CASE WHEN k % 50 = 49 THEN concat('{{broken ', k) WHEN k % 8 = 5 THEN concat(CASE WHEN k % 16 = 5 THEN '\\n\\t ' ELSE '' END, {policies}) "
         f"WHEN k % 8 = 6 THEN concat('{{\"testCases\":[{{\"name\":\"x\",\"servicePolicies\":', {body}, '}}]}}') ELSE {body} END"
     )
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS nm").selectExpr(
+    return spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "c_name AS nm")).selectExpr(
         "concat('doc', k) AS export_id", f"{document} AS document"
     )
 
@@ -343,6 +349,6 @@ def archive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'\",\"policyItems\":', {items}, ',\"identityMap\":', {mapping}, ',\"generatedSQL\":\"', {sql}, '\"}}')"
     )
     name = "concat('arch_', k, CASE WHEN k % 2 = 0 THEN '_20240102_030405' ELSE '' END, '.json')"
-    return table(spark, sf_dir, "customer").selectExpr("c_custkey AS k").selectExpr(
+    return spread(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k")).selectExpr(
         f"{name} AS archive", f"CASE WHEN k % 2 = 0 THEN {nested} ELSE {flat} END AS document"
     )

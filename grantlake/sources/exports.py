@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rows import once
+
 ACCESS = "array<struct<type:string,isAllowed:boolean>>"
 CONDITIONS = "array<struct<type:string,values:array<string>>>"
 SUB_ITEM = (
@@ -65,8 +67,7 @@ def fault(document: Column) -> Column:
 
 def invalid_documents(documents: DataFrame) -> DataFrame:
     """Documents that are set aside, and why. Nothing is read from them, so no lost field widens a grant."""
-    told = documents.select("*", F.explode_outer(F.array(fault(F.col("document")))).alias("fault"))
-    return told.filter(F.col("fault").isNotNull())
+    return once(documents, fault(F.col("document")), "fault").filter(F.col("fault").isNotNull())
 
 
 def open_documents(documents: DataFrame) -> DataFrame:
@@ -75,7 +76,7 @@ def open_documents(documents: DataFrame) -> DataFrame:
     bare_list = F.from_json(
         F.concat(F.lit('{"policies":'), F.col("document"), F.lit("}")), ROOT
     )
-    parsed = documents.filter(fault(F.col("document")).isNull()).select(
+    parsed = once(documents, fault(F.col("document")), "fault").filter(F.col("fault").isNull()).select(
         "export_id",
         is_array.alias("is_array"),
         F.when(is_array, bare_list).otherwise(F.from_json("document", ROOT)).alias("root"),
@@ -147,8 +148,8 @@ def policy_rows(opened: DataFrame, spread: bool = True) -> DataFrame:
     rows = opened.select(
         "export_id",
         kind.alias("service_type"),
-        F.posexplode("body.policies").alias("policy_pos", "policy"),
-    ).withColumn("policy_pos", F.col("policy_pos").cast("bigint"))
+        F.posexplode_outer("body.policies").alias("policy_pos", "policy"),
+    ).filter(F.col("policy_pos").isNotNull()).withColumn("policy_pos", F.col("policy_pos").cast("bigint"))
     if not spread:
         return rows
     return rows.repartition("export_id", "policy_pos")

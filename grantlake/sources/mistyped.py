@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, LongType, MapType, StructType
 
+from ..functions.rows import unnest
 from .exports import EXPORT, begins_list
 
 MISMATCH = "array<struct<path:string,expected:string,found:string>>"
@@ -90,5 +91,5 @@ def export_mismatches(document: Column) -> Column:
 
 def mistyped_fields(documents: DataFrame) -> DataFrame:
     """(export_id, path, expected, found) of every mistyped field of documents that are JSON."""
-    rows = documents.select("export_id", F.explode(export_mismatches(F.col("document"))).alias("m"))
+    rows = unnest(documents, export_mismatches(F.col("document")), "m", keep=["export_id"])
     return rows.select("export_id", "m.*")
