@@ -8,7 +8,9 @@ A bare ``name LIKE pattern`` has no join key. Distinct patterns are taken apart
 * a pattern with neither must be held against every name of its key: names are dealt to ``RUNS`` runs by a
   hash and meet the pattern run by run.
 
-LIKE then checks the candidates only. Items meet the matches afterwards, by joins that split heavy keys.
+LIKE then checks the candidates only. Items meet the matches afterwards, by joins that split heavy keys. Patterns,
+counts of keys and the join all read the items, so those with a pattern are written once; hand in the columns
+that are needed.
 """
 
 from __future__ import annotations
@@ -63,14 +65,14 @@ def match_patterns(patterns: DataFrame, names: DataFrame, keys: list[str], name:
 
 def tables_for_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items with a table pattern, once per matching table of their schema (``match``)."""
-    rows = items.filter(has_wildcard(F.col("table"))).withColumn("like", like_pattern(F.col("table")))
+    rows = stage(items.filter(has_wildcard(F.col("table"))).withColumn("like", like_pattern(F.col("table"))))
     found = match_patterns(rows, tables.select("schema", "table"), ["schema"], "table")
     return skew_join(rows, found.withColumnRenamed("table", "match"), ["schema", "like"])
 
 
 def schemas_for_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items with a schema pattern, once per matching schema (``match``)."""
-    rows = items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema")))
+    rows = stage(items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema"))))
     found = match_patterns(rows, tables.select("schema"), [], "schema")
     return skew_join(rows, found.withColumnRenamed("schema", "match"), ["like"])
 
@@ -78,7 +80,7 @@ def schemas_for_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
 def tables_of_schema_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items with a schema pattern, once per table of each matching schema. Patterns meet schemas and
     tables first, once each; items meet the tables of their pattern in one join."""
-    rows = items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema")))
+    rows = stage(items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema"))))
     listing = tables.select(F.col("schema").alias("match"), F.col("table").alias("match_table")).distinct()
     found = match_patterns(rows, tables.select("schema"), [], "schema").withColumnRenamed("schema", "match")
     return skew_join(rows, found.join(listing, "match"), ["like"])
@@ -87,11 +89,11 @@ def tables_of_schema_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
 def tables_of_schemas(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items on all tables of a schema, once per table (``match``)."""
     listing = tables.select("schema", F.col("table").alias("match")).distinct()
-    return skew_join(items.filter(F.col("table").isNull()), listing, ["schema"])
+    return skew_join(stage(items.filter(F.col("table").isNull())), listing, ["schema"])
 
 
 def columns_for_patterns(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows with (schema, table, pattern), once per matching column (``match``)."""
-    keyed = rows.withColumn("like", like_pattern(F.col("pattern")))
+    keyed = stage(rows.withColumn("like", like_pattern(F.col("pattern"))))
     found = match_patterns(keyed, columns, ["schema", "table"], "column")
     return skew_join(keyed, found.withColumnRenamed("column", "match"), ["schema", "table", "like"]).drop("like")
