@@ -229,13 +229,15 @@ def save_archives(sessions: DataFrame, path: str) -> None:
     frame is an error: nothing is loaded.
 
     A save is one table of (archive, document), named after those before it, so the number of files
-    follows the tasks and not the archives. ``read_archives`` takes each name from its last save.
+    follows the tasks and not the archives. ``read_archives`` takes each name from its last save. A name is
+    one archive: of sessions that share it the first by its text is written.
     """
     if sessions.isEmpty():
         raise ValueError("no policies loaded to archive")
     before = _saves(sessions.sparkSession, path)
     number = int(before[-1].split("-")[0]) + 1 if before else 0
-    archive_documents(sessions).write.parquet(f"{path}/{SAVED}/save={number:09d}-{uuid.uuid4().hex}")
+    named = archive_documents(sessions).groupBy("archive").agg(F.min("document").alias("document"))
+    named.write.parquet(f"{path}/{SAVED}/save={number:09d}-{uuid.uuid4().hex}")
 
 
 def bundle_parts(archives: DataFrame) -> dict[str, DataFrame]:
