@@ -189,7 +189,8 @@ def conflict_counts(spark, sf):
 @query("conflict_members", "A1 A2", FLEET + GROUPS + """
 SELECT t.export_id, t.seq, c.members, c.first_seq FROM targets t JOIN clashes c USING (export_id, type, "schema", "table", target_column)""")
 def conflict_members(spark, sf):
-    return conflicts.conflict_members(stage(B.fleet_items(spark, sf))).select("export_id", "seq", "members", "first_seq")
+    items = B.fleet_items(spark, sf).select("export_id", "seq", "type", "schema", "table", "columns")
+    return conflicts.conflict_members(stage(items)).select("export_id", "seq", "members", "first_seq")
 
 
 @query("unmerged_items", "J16 O1", FLEET + GROUPS + f"""{KEYS} items i WHERE NOT EXISTS (
