@@ -4,6 +4,7 @@ import math
 import random
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
@@ -75,3 +76,17 @@ def test_order_of_words_counts(spark, monkeypatch):
     monkeypatch.setattr(registered, "parquet", lambda *_: spark.createDataFrame(rows, "doc_id long, text string"))
     score = {r.doc_id: r.score for r in registered.op1_scoring(spark, "").collect()}
     assert score[held[1]] < 1.2 * score[held[0]]
+
+
+def test_written_tables_stay_small(spark, monkeypatch):
+    """Pairs and words of a block are written as packed rows, a row per bucket. Without that, these random texts took over five times their bytes."""
+    kept = []
+    keep = contexts.Scratch.keep
+    monkeypatch.setattr(contexts.Scratch, "keep", lambda self, df, name: kept.append(keep(self, df, name)) or kept[-1])
+    rng = random.Random(5)
+    stems = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(3000)]
+    rows = [(k, " ".join(rng.choice(stems) for _ in range(2000)), True) for k in range(80)]
+    assert contexts.scores(spark.createDataFrame(rows, SCHEMA).coalesce(1)).count() == len(rows)
+    size = sum(Path(f.removeprefix("file:")).stat().st_size for df in kept for f in df.inputFiles())
+    assert size < 2.5 * sum(len(text) for _, text, _ in rows)
+    assert max(df.count() for df in kept) < 20_000
