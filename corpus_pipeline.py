@@ -14,10 +14,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; ``lang`` becomes the predicted one. Documents without
     any letter are rejected, and so is every document if no row states a language."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    found = langid.fit_predict(rows, docs.select("text", "lang"), keep_text=False)
+    # other columns travel in one struct, as their names may be those of the result; the text goes once
+    rest = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col("text").cast("string").alias("text"))
+    found = langid.fit_predict(rows, docs.select("text", "lang"))
     found = found.where(found.lang_pred != langid.UNKNOWN)
-    return found.select([F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    own = {"lang": F.col("lang_pred").alias("lang"), "text": F.col("text").cast(docs.schema["text"].dataType).alias("text")}
+    return found.select([own.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -577,3 +577,15 @@ def test_pipeline(spark):
     for name, stage in corpus_pipeline.STAGES:
         empty = Scratch(spark, "test").keep(stage(spark, empty, ""), name)
     assert empty.count() == 0
+
+
+def test_pipeline_language_sends_the_text_once(spark, monkeypatch):
+    import corpus_pipeline
+
+    seen = []
+    fit_predict = corpus_pipeline.langid.fit_predict
+    monkeypatch.setattr(corpus_pipeline.langid, "fit_predict", lambda docs, *a, **k: seen.append(docs) or fit_predict(docs, *a, **k))
+    docs = spark.createDataFrame([(1, "the cat", "en", 0.5, "x"), (2, "12", "en", 0.5, "y")], "doc_id long, text string, lang string, score double, lang_pred string")
+    found = corpus_pipeline.language(spark, docs, "")
+    assert [tuple(r) for r in found.collect()] == [(1, "the cat", "en", 0.5, "x")] and found.columns == docs.columns
+    assert seen[0].schema.simpleString().count("text") == 1
