@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.expressions import expression_issues, is_clean
-from ..functions.principals import lookup
+from ..functions.principals import lookup, service_account_kind
 from ..functions.rows import unnest
 from .conflicts import rule_conflicts
-from .identity import service_accounts
-from .warnings import policy_warnings
+from .identity import named_users
+from .warnings import condition_types, raised_warnings
 
 # Gap categories in report order, with severity and title.
 CATEGORIES = {
@@ -148,19 +148,28 @@ def conflict_gaps(items: DataFrame) -> DataFrame:
 
 
 def policy_gaps(policies: DataFrame) -> DataFrame:
-    """Gap rows that follow from policies: warnings and service accounts."""
-    warned = policy_warnings(policies).filter(F.col("category").isin(FROM_WARNINGS)).select(
-        "export_id", "category", F.col("policy_pos").alias("seq"),
-        F.coalesce("policy_name", F.lit("—")).alias("resource"),
-        F.when(F.col("category") == "blank_principal", "— (blank)").otherwise("—").alias("principal"),
-        "detail",
+    """Gap rows that follow from policies: warnings and service accounts. Policies are read once."""
+    name, none = F.col("policy.name"), F.array().cast(f"array<{ENTRY}>")
+    warned = F.transform(
+        F.filter(raised_warnings(), lambda w: w["category"].isin(FROM_WARNINGS)),
+        lambda w: F.struct(
+            w["category"], F.coalesce(name, F.lit("—")),
+            F.when(w["category"] == "blank_principal", "— (blank)").otherwise("—"), w["detail"],
+        ).cast(ENTRY),
     )
-    accounts = service_accounts(policies).select(
-        "export_id", F.lit("service_account").alias("category"), F.col("policy_pos").alias("seq"),
-        F.col("policy_name").alias("resource"), "principal",
-        F.when(F.col("kind") == "kerberos_principal", "realm principal").otherwise("service account").alias("detail"),
+    accounts = F.transform(
+        F.filter(named_users(), lambda u: service_account_kind(u).isNotNull()),
+        lambda u: F.struct(
+            F.lit("service_account"), name, u,
+            F.when(service_account_kind(u) == "kerberos_principal", "realm principal").otherwise("service account"),
+        ).cast(ENTRY),
+    )
+    rows = policies.withColumn("condition_types", condition_types()).select(
+        "export_id", F.col("policy_pos").alias("seq"), F.concat(F.coalesce(warned, none), F.coalesce(accounts, none)).alias("entries")
+    )
+    return unnest(rows, "entries", "e", keep=["export_id", "seq"]).select(
+        "export_id", "e.category", "seq", "e.resource", "e.principal", "e.detail"
     )
-    return warned.unionByName(accounts)
 
 
 def gap_items(policies: DataFrame, items: DataFrame) -> DataFrame:

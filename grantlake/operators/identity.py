@@ -58,10 +58,10 @@ def search_identities(found: DataFrame, kind: str | None = None, term: str | Non
     return found
 
 
-def service_accounts(policies: DataFrame) -> DataFrame:
-    """Users that look like Kerberos or service accounts, one row per occurrence."""
+def named_users() -> Column:
+    """All users that the sub-items of a policy name, as often as they occur."""
     fields = ["policyItems", "denyPolicyItems", "dataMaskPolicyItems", "rowFilterPolicyItems"]
-    users = F.flatten(
+    return F.flatten(
         F.concat(
             *[
                 F.coalesce(
@@ -75,12 +75,16 @@ def service_accounts(policies: DataFrame) -> DataFrame:
             ]
         )
     )
+
+
+def service_accounts(policies: DataFrame) -> DataFrame:
+    """Users that look like Kerberos or service accounts, one row per occurrence."""
     listed = policies.select(
         "export_id",
         "policy_pos",
         F.col("policy.id").alias("policy_id"),
         F.col("policy.name").alias("policy_name"),
-        users.alias("users"),
+        named_users().alias("users"),
     )
     head = [c for c in listed.columns if c != "users"]
     rows = unnest(listed, "users", "principal", "user_pos", head).withColumn(

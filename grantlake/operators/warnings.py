@@ -68,12 +68,12 @@ def _blank_warnings() -> Column:
     return F.coalesce(made, none)
 
 
-def policy_warnings(policies: DataFrame) -> DataFrame:
-    """Warnings of each policy, in the order they are raised (``warn_pos``)."""
+def raised_warnings() -> Column:
+    """Warnings of a policy with its ``condition_types``, in the order they are raised."""
     schedules = F.col("policy.validitySchedules")
     first = F.get(schedules, F.lit(0))
     types = F.col("condition_types")
-    found = F.concat(
+    return F.concat(
         _one(
             ~F.coalesce("policy.isEnabled", F.lit(True)),
             _warning("disabled", "info", F.lit("policy is disabled"), "Decide whether the policy is still needed."),
@@ -99,13 +99,17 @@ def policy_warnings(policies: DataFrame) -> DataFrame:
         ),
         _blank_warnings(),
     )
+
+
+def policy_warnings(policies: DataFrame) -> DataFrame:
+    """Warnings of each policy, in the order they are raised (``warn_pos``)."""
     head = ["export_id", "policy_pos", "policy_id", "policy_name"]
     raised = policies.withColumn("condition_types", condition_types()).select(
         "export_id",
         "policy_pos",
         F.col("policy.id").alias("policy_id"),
         F.col("policy.name").alias("policy_name"),
-        found.alias("found"),
+        raised_warnings().alias("found"),
     )
     return unnest(raised, "found", "w", "warn_pos", head).select(*head, "warn_pos", "w.*")
 

@@ -81,3 +81,16 @@ def test_items_are_read_once_by_pattern_joins(spark, how):
     items = spark.createDataFrame(rows, "export_id string, seq int, schema string, table string").mapInArrow(count, "export_id string, seq int, schema string, table string")
     listing = spark.createDataFrame([("s", "t1"), ("s", "t2")], "schema string, table string")
     assert how(items, listing).count() > 0 and read.value == 40
+
+
+def scans(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_policy_gaps_read_policies_once(spark):
+    """Warnings and service accounts come out of one pass over the policies."""
+    from grantlake.operators import gaps
+    from grantlake.plans import bindings as B
+
+    policies = B.order_policies(spark, "/root/testdata/sf0.001")
+    assert scans(gaps.policy_gaps(policies)) == scans(policies)
