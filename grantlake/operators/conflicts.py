@@ -168,7 +168,7 @@ def grant_signature() -> Column:
 
 
 def taken_by_pattern() -> Column:
-    """Whether a grant belongs to a wildcard-column group."""
+    """Whether a grant belongs to a wildcard-column group, or a deny to a column pattern."""
     by_pattern = F.exists(
         F.coalesce("columns", F.array().cast("array<string>")),
         lambda c: has_wildcard(c) & (c != "*"),

@@ -24,6 +24,7 @@ from ..operators.conflicts import (
     grant_deny_conflicts,
     nested_paths,
     rule_conflicts,
+    taken_by_pattern,
     wildcard_column_emitters,
     wildcard_column_grants,
 )
@@ -213,6 +214,11 @@ def denied_column_rows(items: DataFrame, columns: DataFrame, mapping: DataFrame
     return ranked.select("export_id", "seq", F.col("rank").cast("bigint").alias("sub"), _null_mask(name, F.col("match"), test, where).alias("lines"))
 
 
+def column_pattern_items(items: DataFrame) -> DataFrame:
+    """The items that ``column_pattern_lines`` reads: eligible grants and denies with a column pattern."""
+    return eligible(items).filter(F.col("type").isin("grant", "deny") & taken_by_pattern())
+
+
 def column_pattern_lines(items: DataFrame, columns: DataFrame, mapping: DataFrame | None = None, catalog: str = "main") -> DataFrame:
     """Statements of all items with a column pattern: (export_id, seq, sub, line_no, line)."""
     rows = restricted_column_rows(items, columns, mapping, catalog).unionByName(denied_column_rows(items, columns, mapping, catalog))

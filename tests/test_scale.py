@@ -94,3 +94,18 @@ def test_policy_gaps_read_policies_once(spark):
 
     policies = B.order_policies(spark, "/root/testdata/sf0.001")
     assert scans(gaps.policy_gaps(policies)) == scans(policies)
+
+
+def test_column_pattern_items_give_all_lines(spark):
+    """Only grants and denies with a column pattern are kept, and the lines are those of all items."""
+    from grantlake.operators.items import resource_items
+    from grantlake.operators.review import approve_valid
+    from grantlake.operators.stage import stage
+    from grantlake.plans import bindings as B, statements
+
+    sf = "/root/testdata/sf0.001"
+    every = stage(approve_valid(resource_items(B.order_policies(spark, sf))))
+    few = stage(statements.column_pattern_items(every))
+    assert 0 < few.count() < every.count() / 5
+    lines = [sorted(map(tuple, statements.column_pattern_lines(x, B.target_columns(spark, sf)).collect())) for x in (every, few)]
+    assert lines[0] and lines[0] == lines[1]
