@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -10,7 +11,25 @@ from grantlake.llm import langid, mixing, neardup, packing, registered, scratch,
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Rows sent to a Python worker at a time. A batch is held by the executor and by the worker, with that before it,
+#: and rows are whole texts.
+BATCH_ROWS = 1000
 
+
+def in_small_batches(stage: Stage) -> Stage:
+    """``stage`` in a session that sends rows to Python in batches of at most ``BATCH_ROWS``."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+@in_small_batches
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; ``lang`` becomes the predicted one. Documents without
     any letter are rejected, and so is every document if no row states a language."""
@@ -23,6 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select([own.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns])
 
 
+@in_small_batches
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest ``doc_id``, of each group with a similarity of 0.8 on runs of
     five words. Of rows that repeat a ``doc_id`` one stays; rows with a null ``doc_id`` stay."""
@@ -43,6 +63,7 @@ def without(docs: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if count <= neardup.SENT_IDS else ids, "doc_id", "left_anti")
 
 
+@in_small_batches
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words that an earlier document has are cut out of ``text``; ``n_chars`` follows."""
     cleaned = substrings.clean(docs, length=50)
@@ -51,12 +72,14 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return cleaned
 
 
+@in_small_batches
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at weights whose entropy is 0.95 of the most, within the words there are; documents of
     small sources may come up to four times."""
     return mixing.mix(docs, entropy_share=0.95, max_repeats=4.0)
 
 
+@in_small_batches
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in sequences of 2048: one row per piece of a document."""
     return packing.pack_documents(docs, registered.tokenizer_file(), capacity=2048, with_ids=True)

@@ -589,3 +589,22 @@ def test_pipeline_language_sends_the_text_once(spark, monkeypatch):
     found = corpus_pipeline.language(spark, docs, "")
     assert [tuple(r) for r in found.collect()] == [(1, "the cat", "en", 0.5, "x")] and found.columns == docs.columns
     assert seen[0].schema.simpleString().count("text") == 1
+
+
+def test_pipeline_sends_texts_to_python_in_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text", "'en' AS lang").coalesce(1)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, docs, "")
+
+        def sizes(batches):
+            yield from (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= corpus_pipeline.BATCH_ROWS
+    finally:
+        spark.conf.set(key, before)
