@@ -35,14 +35,20 @@ def _runs(rows: DataFrame, heavy: DataFrame, keys: list[str]) -> DataFrame:
     return joined.withColumn("runs", F.coalesce("runs", F.lit(1)))
 
 
-def skew_join(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS) -> DataFrame:
+def skew_join(
+    rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, grows: bool = False
+) -> DataFrame:
     """``rows`` joined to ``others`` on ``keys``; heavy keys of ``rows`` are spread over runs.
 
     ``rows`` is read twice and should be a table; ``how`` is inner or left. Rows that are equal in
-    every column share a run.
+    every column share a run. With ``grows``, for rows that meet many others, both sides are dealt to all
+    shuffle partitions and stay there: Spark merges partitions by what they read, not by what the join makes.
     """
     heavy = stage(heavy_keys(rows, keys, parts))
     spread = [f.name for f in rows.schema if not isinstance(f.dataType, (MapType, VariantType))]
     dealt = _runs(rows, heavy, keys).withColumn("run", F.pmod(F.xxhash64(*spread), F.col("runs")).cast("int")).drop("runs")
     copies = _runs(others, heavy, keys).withColumn("run", F.explode(F.sequence(F.lit(0), F.col("runs") - 1))).drop("runs")
+    if grows:
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt, copies = (side.repartition(tasks, *keys, "run") for side in (dealt, copies))
     return dealt.join(copies, [*keys, "run"], how).drop("run")

@@ -67,14 +67,14 @@ def tables_for_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items with a table pattern, once per matching table of their schema (``match``)."""
     rows = stage(items.filter(has_wildcard(F.col("table"))).withColumn("like", like_pattern(F.col("table"))))
     found = match_patterns(rows, tables.select("schema", "table"), ["schema"], "table")
-    return skew_join(rows, found.withColumnRenamed("table", "match"), ["schema", "like"])
+    return skew_join(rows, found.withColumnRenamed("table", "match"), ["schema", "like"], grows=True)
 
 
 def schemas_for_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items with a schema pattern, once per matching schema (``match``)."""
     rows = stage(items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema"))))
     found = match_patterns(rows, tables.select("schema"), [], "schema")
-    return skew_join(rows, found.withColumnRenamed("schema", "match"), ["like"])
+    return skew_join(rows, found.withColumnRenamed("schema", "match"), ["like"], grows=True)
 
 
 def tables_of_schema_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
@@ -83,17 +83,17 @@ def tables_of_schema_patterns(items: DataFrame, tables: DataFrame) -> DataFrame:
     rows = stage(items.filter(has_wildcard(F.col("schema"))).withColumn("like", like_pattern(F.col("schema"))))
     listing = tables.select(F.col("schema").alias("match"), F.col("table").alias("match_table")).distinct()
     found = match_patterns(rows, tables.select("schema"), [], "schema").withColumnRenamed("schema", "match")
-    return skew_join(rows, found.join(listing, "match"), ["like"])
+    return skew_join(rows, found.join(listing, "match"), ["like"], grows=True)
 
 
 def tables_of_schemas(items: DataFrame, tables: DataFrame) -> DataFrame:
     """Items on all tables of a schema, once per table (``match``)."""
     listing = tables.select("schema", F.col("table").alias("match")).distinct()
-    return skew_join(stage(items.filter(F.col("table").isNull())), listing, ["schema"])
+    return skew_join(stage(items.filter(F.col("table").isNull())), listing, ["schema"], grows=True)
 
 
 def columns_for_patterns(rows: DataFrame, columns: DataFrame) -> DataFrame:
     """Rows with (schema, table, pattern), once per matching column (``match``)."""
     keyed = stage(rows.withColumn("like", like_pattern(F.col("pattern"))))
     found = match_patterns(keyed, columns, ["schema", "table"], "column")
-    return skew_join(keyed, found.withColumnRenamed("column", "match"), ["schema", "table", "like"]).drop("like")
+    return skew_join(keyed, found.withColumnRenamed("column", "match"), ["schema", "table", "like"], grows=True).drop("like")

@@ -81,3 +81,19 @@ def test_masks_translate_as_names_do(spark):
         named = F.coalesce(grants.privilege_mask(F.array_compact(F.array(naming.target_privilege(F.col("p"), F.lit(on_table))))), F.lit(0))
         rows = one.select("p", grants.translated_mask(mask, on_table).alias("got"), named.alias("want")).collect()
         assert [(r.p, r.got) for r in rows] == [(r.p, r.want) for r in rows]
+
+
+def test_rows_that_meet_many_others_stay_dealt(spark):
+    """Spark would merge the small partitions before the join makes them large."""
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "16")
+    try:
+        rows = spark.range(600).selectExpr("id", "'hot' AS k")
+        others = spark.range(200).selectExpr("'hot' AS k", "id AS v")
+        found = skew.skew_join(rows, others, ["k"], grows=True)
+        by_task = sizes(found)
+        assert sum(by_task) == 120_000 and found.distinct().count() == 120_000
+        assert len(by_task) > 8 and by_task[-1] < 120_000 / 4
+    finally:
+        spark.conf.set(key, old)
