@@ -12,18 +12,19 @@ from grantlake.llm import langid, mixing, neardup, packing, registered, scratch,
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Rows sent to a Python worker at a time. A batch is held by the executor and by the worker, with that before it,
-#: and rows are whole texts.
-BATCH_ROWS = 1000
+#: and rows are whole texts, so batches end at so many bytes too.
+BATCH_ROWS, BATCH_BYTES = 1000, 2 << 20
 
 
 def in_small_batches(stage: Stage) -> Stage:
-    """``stage`` in a session that sends rows to Python in batches of at most ``BATCH_ROWS``."""
+    """``stage`` in a session that sends rows to Python in batches of at most ``BATCH_ROWS`` and ``BATCH_BYTES``."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         key = "spark.sql.execution.arrow.maxRecordsPerBatch"
         if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
             spark.conf.set(key, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         return stage(spark, docs, sf_dir)
 
     return run

@@ -35,8 +35,9 @@ from . import scratch, texts
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_IDS = PIECES + ", ids array<int>, row long"
-#: Words that a worker remembers, over all its tasks (some 200 MB), before it starts anew.
-CACHED_WORDS = 1_000_000
+#: Words that a worker remembers, over all its tasks, before it starts anew. Frequent words come again soon, and words
+#: that occur once would fill any cache: a worker took 296 MB with 800,000 words and takes some 140 MB with these.
+CACHED_WORDS = 200_000
 
 
 class WordTokens:

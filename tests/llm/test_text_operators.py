@@ -608,3 +608,30 @@ def test_pipeline_sends_texts_to_python_in_small_batches(spark):
         assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= corpus_pipeline.BATCH_ROWS
     finally:
         spark.conf.set(key, before)
+
+
+def test_pipeline_sends_long_texts_in_batches_of_few_bytes(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('some words ', 4000) AS text", "'en' AS lang").coalesce(1)
+    try:
+        spark.conf.set(key, "64m")
+        corpus_pipeline.language(spark, docs, "")
+
+        def sizes(batches):
+            yield from (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches)
+
+        assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 * corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_word_tokens_keep_a_bounded_number_of_words_and_the_same_ids():
+    coder = packing.WordTokens(registered.tokenizer_file())
+    first = coder.encode([b"once w1 again"])[0].tolist()
+    for at in range(0, 300_000, 25_000):
+        coder.encode([b" ".join(b"w%d" % k for k in range(at, at + 25_000))])
+        assert len(coder.number) <= 225_003
+    assert coder.encode([b"once w1 again"])[0].tolist() == first
