@@ -19,7 +19,7 @@ from ..functions.principals import (
     principal_count,
     principal_list,
 )
-from ..functions.rows import unnest
+from ..functions.rows import once, unnest
 from ..sources.exports import SUB_ITEM
 
 # Columns of the item fact, in order.
@@ -321,7 +321,9 @@ def resource_items(policies: DataFrame, catalog: str = "main") -> DataFrame:
     and inner resources are unnested one after the other, so pairs of them are never an array.
     """
     where, kind = F.col("route"), F.col("kind")
-    units = policy_units(policies.filter(~F.coalesce(F.size(resource_values("tag")) > 0, F.lit(False))))
+    # policies may be made row by row: the test must not make each of them a second time
+    tested = once(policies, F.coalesce(F.size(resource_values("tag")) > 0, F.lit(False)), "by_tag")
+    units = policy_units(tested.filter("NOT by_tag"))
     item_type = (
         F.when(where.isin("path", "url"), "hdfs_grant")
         .when(where == "kv", "hbase_grant")

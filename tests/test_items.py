@@ -6,8 +6,9 @@ import pytest
 
 from grantlake.operators import conflicts, gaps, review, scoring, warnings
 from grantlake.operators.fact import items_of_documents
+from grantlake.operators.items import resource_items
 from grantlake.operators.stage import stage
-from grantlake.plans import statements
+from grantlake.plans import bindings, statements
 from grantlake.sources import exports
 
 GRANTS = {
@@ -218,3 +219,11 @@ def test_duplicates_keep_first(spark, items):
     grants = approved.filter("type = 'grant' AND export_id = 'grants'")
     assert conflicts.duplicate_grants(grants).count() == grants.count() / 2
     assert conflicts.duplicate_grants(grants).filter("seq < 4294967296 + 1000000").isEmpty()
+
+
+def test_policies_made_row_by_row_are_made_once(spark, tmp_path):
+    spark.range(4).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    items = resource_items(bindings.part_policies(spark, str(tmp_path)))
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("isDenyAllElse, ") == 1
+    assert {r.policy_id for r in items.collect()} == {0, 1, 2, 3}
