@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from grantlake.llm import perplexity, registered
+from grantlake.llm import perplexity, registered, whole_models
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, word long, n int"
@@ -171,3 +171,28 @@ def test_languages_without_a_frequent_word_have_a_model(spark):
     assert [tuple(r)[:8] for r in got] == [w[:8] for w in want]
     assert [r.perplexity for r in got] == [w[8] if w[8] is None else pytest.approx(w[8], rel=1e-9) for w in want]
     assert all(w[8] is not None for w in whole) and all(w[8] is None for w, r in zip(plain(rows + rare, share=share), rows + rare) if r[2] != "aa")
+
+
+def compare_whole(spark, rows):
+    by = lambda r: (repr(tuple(r)[:8]), r[8] or 0)
+    got = sorted(perplexity.judge(spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA), every_language=True).collect(), key=by)
+    want = sorted(map(tuple, plain(rows, share=0)), key=by)
+    assert [tuple(r)[:8] for r in got] == [w[:8] for w in want]
+    assert [r.perplexity for r in got] == [w[8] if w[8] is None else pytest.approx(w[8], rel=1e-9) for w in want]
+
+
+def test_words_and_pairs_count_however_rare_in_a_large_table(spark):
+    rng = np.random.default_rng(11)
+    rows = [(k, f"{prose(rng, 60)} w{k} w{k % 7}", "aa") for k in range(60)]
+    compare_whole(spark, [*rows, (900, "bal dol " * 1_100_000, "aa")])
+
+
+@pytest.mark.parametrize("frequent", [0.004, 2.0])
+def test_whole_model_from_many_blocks(spark, monkeypatch, frequent):
+    for name, value in {"BLOCK_WORDS": 400, "NAMED": 2, "FREQUENT": frequent, "LEAST_BITS": 2, "ROUNDS": 3}.items():
+        monkeypatch.setattr(whole_models, name, value)
+    rng = np.random.default_rng(12)
+    rare = lambda n: " ".join(f"r{int(rng.exponential(200))}" for _ in range(n))
+    rows = [(k, f"{prose(rng, 40)} {rare(20)} {prose(rng, 5)}", ("aa", "bb", None)[k % 3]) for k in range(90)]
+    rows += [(500, rare(300), "aa"), (500, rare(300), "bb"), (None, None, "aa"), (501, "", "cc"), (502, "bal", "dd"), rows[3], rows[3]]
+    compare_whole(spark, rows)
